@@ -59,45 +59,41 @@ def strip_invisible(html: Column) -> Column:
     return F.regexp_replace(html, pattern, _GAP)
 
 
-def _entity_names() -> Column:
-    """Characters by entity name, and by code for 128-159, which mean Windows-1252.
-
-    A constant, folded to one literal before the job runs.
-    """
+def _entity_names() -> str:
+    """Characters by entity name, and by code for 128-159, which mean Windows-1252."""
     known = {name: chr(code) for name, code in name2codepoint.items()}
     for code in range(128, 160):
         known[str(code)] = bytes([code]).decode("cp1252", errors="ignore") or chr(code)
-    return F.from_json(F.lit(json.dumps(known)), "map<string,string>")
-
-
-def _entity(token: Column) -> Column:
-    """The character a reference stands for; an unknown name stays as it is."""
-    # More than seven digits are no code point, and would overflow the conversion.
-    decimal = F.regexp_extract(token, r"^&#0*+([0-9]{1,7});?$", 1)
-    in_hex = F.regexp_extract(token, r"^&#[xX]0*+([0-9a-fA-F]{1,7});?$", 1)
-    code = F.coalesce(decimal.try_cast("int"), F.conv(in_hex, 16, 10).try_cast("int"))
-    return F.element_at(F.transform(F.array(code), lambda c: _character(c, token)), 1)
-
-
-def _character(code: Column, token: Column) -> Column:
-    name = F.coalesce(code.cast("string"), F.regexp_replace(token, "[&;]", ""))
-    sound = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
-    own = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-    other = F.when(token.startswith("&#"), F.lit("\ufffd")).otherwise(token)
-    return F.coalesce(F.try_element_at(_entity_names(), name), F.when(sound, own), other)
+    # ASCII only, so that no character needs quoting.
+    return json.dumps(known).replace("'", r"\u0027")
+
+
+# One token of a text to its characters. As SQL text, because it is used for every
+# field and would otherwise be most of the time it takes to set up a job. More than
+# seven digits are no code point; an unknown name stays as it is.
+_DECODE_TOKEN = rf"""
+t -> CASE WHEN t RLIKE r'^&[#a-zA-Z].' THEN element_at(transform(array(coalesce(
+       try_cast(regexp_extract(t, r'^&#0*+([0-9]{{1,7}});?$', 1) AS int),
+       try_cast(conv(regexp_extract(t, r'^&#[xX]0*+([0-9a-fA-F]{{1,7}});?$', 1), 16, 10) AS int))),
+     c -> coalesce(
+       try_element_at(
+         from_json(r'{_entity_names()}', 'map<string,string>'),
+         coalesce(cast(c AS string), regexp_replace(t, '[&;]', ''))),
+       CASE WHEN c BETWEEN 1 AND {0xD7FF} OR c BETWEEN {0xE000} AND {0x10FFFF}
+         THEN decode(unhex(lpad(hex(c), 8, '0')), 'UTF-32') END,
+       CASE WHEN t LIKE '&#%' THEN '\ufffd' ELSE t END)), 1)
+     ELSE t END
+"""
 
 
 def decode_entities(text: Column) -> Column:
-    """Replace character references; an unknown name stays as it is."""
+    """Replace character references."""
     tokens = F.regexp_extract_all(
         text,
         F.lit(r"&#(?:[0-9]++|[xX][0-9a-fA-F]++);?|&[a-zA-Z][a-zA-Z0-9]*+;?|[^&]++|&"),
         F.lit(0),
     )
-    decoded = F.transform(
-        tokens, lambda t: F.when(t.rlike("^&[#a-zA-Z]."), _entity(t)).otherwise(t)
-    )
-    return F.array_join(decoded, "")
+    return F.array_join(F.call_function("transform", tokens, F.expr(_DECODE_TOKEN)), "")
 
 
 def _raw_attribute(tag: Column, name: str, last: bool) -> Column:

@@ -37,7 +37,8 @@ def split_words(text: Column) -> Column:
 
 def remove_stopwords(words: Column) -> Column:
     """Drop stop-words and empty strings, keep order and repeats."""
-    return F.filter(words, lambda w: ~w.isin([""] + STOPWORDS))
+    dropped = ", ".join(f"'{w}'" for w in ["", *STOPWORDS])
+    return F.call_function("filter", words, F.expr(f"w -> w NOT IN ({dropped})"))
 
 
 def null_if_blank(text: Column) -> Column:

@@ -11,9 +11,10 @@ from urllib.parse import uses_netloc, uses_params
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Scheme, authority, path, query, fragment (RFC 3986, appendix B).
+# Groups: scheme, authority, path, query, fragment (RFC 3986, appendix B).
 _GENERIC = r"(?s)^(?:([a-zA-Z][a-zA-Z0-9+.\-]*+):)?+(?://([^/?#]*+))?+([^?#]*+)(?:\?([^#]*+))?+(?:#(.*))?\z"
-_WITH_PARAMS = r"(?s)^((?:.*/)?[^/;]*+);([^/]*+)\z"
+# Parameters follow the first ``;`` of the last path segment.
+_PARAMS = r"(?s)^((?:.*/)?[^/;]*+);([^/]*+)\z"
 
 
 class UrlParts(NamedTuple):
@@ -25,21 +26,25 @@ class UrlParts(NamedTuple):
     fragment: Column
 
 
-def _trimmed(url: Column) -> Column:
+def trim_url(url: Column) -> Column:
     """Leading control characters and spaces, and any tab or line break, do not count."""
     return F.regexp_replace(url, r"^[\x00-\x20]+|[\t\r\n]+", "")
 
 
 def url_parts(url: Column) -> UrlParts:
-    url = _trimmed(url)
+    """Parts of a URL, empty where absent.
+
+    Make them columns of their own before using one several times.
+    """
+    url = trim_url(url)
     scheme = F.lower(F.regexp_extract(url, _GENERIC, 1))
-    whole_path = F.regexp_extract(url, _GENERIC, 3)
-    has_params = whole_path.rlike(_WITH_PARAMS) & scheme.isin([s for s in uses_params])
+    path = F.regexp_extract(url, _GENERIC, 3)
+    splits = scheme.isin(list(uses_params))
     return UrlParts(
         scheme=scheme,
         netloc=F.regexp_extract(url, _GENERIC, 2),
-        path=F.when(has_params, F.regexp_extract(whole_path, _WITH_PARAMS, 1)).otherwise(whole_path),
-        params=F.when(has_params, F.regexp_extract(whole_path, _WITH_PARAMS, 2)).otherwise(F.lit("")),
+        path=F.when(splits, F.regexp_replace(path, _PARAMS, "$1")).otherwise(path),
+        params=F.when(splits, F.regexp_extract(path, _PARAMS, 2)).otherwise(F.lit("")),
         query=F.regexp_extract(url, _GENERIC, 4),
         fragment=F.regexp_extract(url, _GENERIC, 5),
     )
@@ -47,61 +52,45 @@ def url_parts(url: Column) -> UrlParts:
 
 def url_host(url: Column) -> Column:
     """Authority of a URL, empty if it has none."""
-    return F.regexp_extract(_trimmed(url), _GENERIC, 2)
-
+    return F.regexp_extract(trim_url(url), _GENERIC, 2)
 
-def link_base(source: Column) -> Column:
-    """What rewriting needs of the page URL, as a struct; null if its links are dropped.
 
-    Links count only on pages whose URL has a path and no ``;params``. Compute
-    this once per page, before the links are exploded.
-    """
-    parts = url_parts(source)
-    return F.when(
-        (parts.path != "") & (parts.params == ""),
-        F.struct(parts.scheme.alias("scheme"), parts.netloc.alias("netloc")),
-    )
+def links_count(source: UrlParts) -> Column:
+    """Links are followed only from pages whose URL has a path and no ``;params``."""
+    return (source.path != "") & (source.params == "")
 
 
-def rewrite_link(href: Column, base: Column) -> Column:
+def rewrite_link(href: Column, link: UrlParts, source: UrlParts) -> Column:
     """Absolute links stay; all others are re-rooted at the host of the page.
 
     Re-rooting keeps path and query only: not the link's scheme, parameters or
-    fragment, and not the directory of the page. ``base`` is a ``link_base``.
+    fragment, and not the directory of the page. ``link`` are the parts of
+    ``href``, ``source`` those of the page URL. Null if links of the page do not
+    count.
     """
-    link = url_parts(href)
-    scheme, netloc = base["scheme"], base["netloc"]
-    rooted = (
-        F.when(
-            netloc != "",
-            F.concat(
-                F.lit("//"),
-                netloc,
-                F.when((link.path != "") & ~link.path.startswith("/"), F.lit("/")).otherwise(F.lit("")),
-                link.path,
-            ),
-        )
-        .when(link.path.startswith("//"), F.concat(F.lit("//"), link.path))
-        .when(
-            (scheme != "")
-            & scheme.isin([s for s in uses_netloc])
-            & ((link.path == "") | link.path.startswith("/")),
-            F.concat(F.lit("//"), link.path),
-        )
-        .otherwise(link.path)
+    nothing, slashes = F.lit(""), F.lit("//")
+    slash = F.when((link.path != "") & ~link.path.startswith("/"), F.lit("/")).otherwise(nothing)
+    # Page URLs without a host are no web pages; they are joined as the standard library does.
+    marked = link.path.startswith("//") | (
+        (source.scheme != "")
+        & source.scheme.isin(list(uses_netloc))
+        & ((link.path == "") | link.path.startswith("/"))
     )
     rewritten = F.concat(
-        F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(F.lit("")),
-        rooted,
-        F.when(link.query != "", F.concat(F.lit("?"), link.query)).otherwise(F.lit("")),
+        F.when(source.scheme != "", F.concat(source.scheme, F.lit(":"))).otherwise(nothing),
+        F.when(source.netloc != "", F.concat(slashes, source.netloc, slash))
+        .when(marked, slashes)
+        .otherwise(nothing),
+        link.path,
+        F.when(link.query != "", F.concat(F.lit("?"), link.query)).otherwise(nothing),
     )
-    return F.when(base.isNotNull(), F.when(link.netloc == "", rewritten).otherwise(href))
+    return F.when(links_count(source), F.when(link.netloc == "", rewritten).otherwise(href))
 
 
-def resolve_link(link: Column, base: Column) -> Column:
-    """Give scheme-less ``//host/path`` links the scheme of the page."""
+def resolve_link(link: Column, scheme: Column) -> Column:
+    """Give ``//host/path`` links the scheme of the page."""
     return F.when(
-        link.startswith("//") & (base["scheme"] != ""), F.concat(base["scheme"], F.lit(":"), link)
+        link.startswith("//") & (scheme != ""), F.concat(scheme, F.lit(":"), link)
     ).otherwise(link)
 
 

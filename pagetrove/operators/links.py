@@ -4,29 +4,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.html import nav_links, strip_invisible
-from ..functions.urls import link_base, resolve_link, rewrite_link, url_key
+from ..functions.urls import UrlParts, links_count, resolve_link, rewrite_link, url_key, url_parts
 from ..session import settle
 
 
+def _with_parts(df: DataFrame, url: str, prefix: str) -> tuple[DataFrame, UrlParts]:
+    """Add the parts of a URL column as columns, so that each is worked out once."""
+    parts = url_parts(F.col(url))
+    names = [f"_{prefix}_{name}" for name in parts._fields]
+    return df.select("*", *[c.alias(n) for c, n in zip(parts, names)]), UrlParts(*map(F.col, names))
+
+
 def link_edges(pages: DataFrame) -> DataFrame:
     """One row (src_url, pos, href, dst_url) per followed navigation link.
 
-    ``pos`` counts all links of a page, also those that are dropped. Narrow: no
-    shuffle.
+    ``pos`` counts all links of a page. Narrow: no shuffle.
     """
-    links = pages.withColumn("_html", strip_invisible(F.col("content"))).select(
-        F.col("url").alias("src_url"),
-        link_base(F.col("url")).alias("_base"),
-        F.posexplode(nav_links(F.col("_html"))).alias("pos", "href"),
-    )
-    base = F.col("_base")
-    # Pages whose links do not count are dropped before any link is rewritten.
-    return links.where(base.isNotNull()).select(
-        "src_url",
-        "pos",
-        "href",
-        resolve_link(rewrite_link(F.col("href"), base), base).alias("dst_url"),
-    )
+    sources, source = _with_parts(pages.select("url", "content"), "url", "src")
+    # Pages whose links do not count are dropped before their HTML is searched.
+    html = sources.where(links_count(source)).withColumn("_html", strip_invisible(F.col("content")))
+    hrefs = html.select("*", F.posexplode(nav_links(F.col("_html"))).alias("pos", "href"))
+    links, link = _with_parts(hrefs.drop("_html", "content"), "href", "dst")
+    target = resolve_link(rewrite_link(F.col("href"), link, source), source.scheme)
+    return links.select(F.col("url").alias("src_url"), "pos", "href", target.alias("dst_url"))
 
 
 def key_edges(edges: DataFrame) -> DataFrame:
