@@ -6,13 +6,14 @@ purpose of a seen-URL cache with expiry; a cache check that lets everything pass
 is not reproduced.)
 
 The rule is sequential per key, so a key with very many sightings must not be
-one task's work. Time is cut into slices one TTL long; a slice can emit at most
-once. What a slice does is a step function of the earliest instant at which it
-may emit, and step functions of neighbouring slices compose. Heavy keys are
-solved by composing pairs of slices, pairs of pairs and so on, then walking back
-down with the known start. Each level halves the number of functions and none
-has more steps than its slice has instants, so all levels together move about
-twice the sightings.
+one task's work. Its time is cut into chunks. What a chunk does depends only on
+when it may first emit, an instant less than one TTL after its start: a step
+function, kept as rows (key, chunk, upto, leave). Step functions of neighbouring
+chunks compose. Heavy keys are solved by composing pairs of chunks, pairs of
+pairs and so on, until what is left of a key fits one array; then entries are
+handed back down. Each level halves the number of functions and none has more
+steps than a TTL has sightings, so all levels together move about twice the
+sightings. Every step is spread over (key, chunk).
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,105 +21,171 @@ from pyspark.sql import functions as F
 
 from ..session import settle
 
-# Sightings per key up to which one sorted array is folded.
+# Sightings of a key up to which they are walked as one sorted array.
 FOLD_ROWS = 10_000
 
+# Sightings of a chunk, or steps left of a key, that are handled as one array.
+CHUNK_ROWS = 4_096
+
 # Heavy keys up to which their list is broadcast: they are longs or URLs of limited length.
 BROADCAST_KEYS = 100_000
 
+# Before any instant.
+_EVER = -(1 << 62)
+
 
 def micros(ts: Column) -> Column:
     """Microseconds since 1970 of a zone-less timestamp, whatever the session zone."""
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), ts)
 
 
-def seen_within_ttl(sightings: DataFrame, ttl: int, fold_rows: int = FOLD_ROWS) -> DataFrame:
+def seen_within_ttl(
+    sightings: DataFrame, ttl: int, fold_rows: int = FOLD_ROWS, chunk_rows: int = CHUNK_ROWS
+) -> DataFrame:
     """Emitted sightings of a table (key, t, id); ``t`` and ``ttl`` in one unit.
 
     Of sightings at the same instant the smallest id counts. Keys with more than
     ``fold_rows`` instants take the distributed way; the result is the same.
     """
     instants = settle(
-        sightings.where(F.col("key").isNotNull()).groupBy("key", "t").agg(F.min("id").alias("id")),
+        sightings.where(F.col("key").isNotNull())
+        .groupBy("key", F.col("t").cast("long").alias("t"))
+        .agg(F.min(F.col("id").cast("long")).alias("id")),
         "instants",
     )
-    heavy = settle(
-        instants.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > fold_rows).select("key"),
-        "heavy",
-    )
+    sizes = instants.groupBy("key").agg(F.count("*").alias("n"))
+    heavy = settle(sizes.where(F.col("n") > fold_rows).select("key"), "heavy")
     n_heavy = heavy.count()
     if n_heavy == 0:
-        return _fold(instants, ttl)
+        return _walk(instants, ["key"], F.lit(_EVER), ttl)
     if n_heavy <= BROADCAST_KEYS:
         heavy = F.broadcast(heavy)
-    light = _fold(instants.join(heavy, "key", "left_anti"), ttl)
-    return light.unionByName(_compose(instants.join(heavy, "key", "left_semi"), ttl))
+    light = _walk(instants.join(heavy, "key", "left_anti"), ["key"], F.lit(_EVER), ttl)
+    return light.unionByName(_compose(instants.join(heavy, "key", "left_semi"), ttl, chunk_rows))
 
 
-def _fold(instants: DataFrame, ttl: int) -> DataFrame:
-    """Walk each key's sorted sightings in one array."""
-    row = F.struct("t", "id")
+def _walk(instants: DataFrame, group: list[str], due: Column, ttl: int) -> DataFrame:
+    """Emitted (key, t, id), each group walked in time order; ``due`` is when it may first emit."""
     start = F.struct(
-        F.lit(None).cast("long").alias("last"),
-        F.array().cast("array<struct<t:bigint,id:bigint>>").alias("out"),
+        due.cast("long").alias("due"), F.array().cast("array<struct<t:bigint,id:bigint>>").alias("out")
     )
 
     def step(acc: Column, x: Column) -> Column:
-        due = acc["last"].isNull() | (x["t"] >= acc["last"] + F.lit(ttl))
-        emitted = F.struct(x["t"].alias("last"), F.array_append(acc["out"], x).alias("out"))
-        return F.when(due, emitted).otherwise(acc)
-
-    walked = F.aggregate(F.col("all"), start, step, lambda acc: acc["out"])
-    return (
-        instants.select("key", F.col("t").cast("long"), F.col("id").cast("long"))
-        .groupBy("key")
-        .agg(F.sort_array(F.collect_list(row)).alias("all"))
-        .select("key", F.inline(walked))
+        emitted = F.struct((x["t"] + F.lit(ttl)).alias("due"), F.array_append(acc["out"], x).alias("out"))
+        return F.when(x["t"] >= acc["due"], emitted).otherwise(acc)
+
+    grouped = instants.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("t", "id"))).alias("all"))
+    return grouped.select(
+        "key", F.inline(F.aggregate(F.col("all"), start, step, lambda acc: acc["out"]))
     )
 
 
-def _compose(instants: DataFrame, ttl: int) -> DataFrame:
-    """Solve heavy keys level by level; no step needs a whole key in one task."""
-    at = F.pmod(F.col("t"), F.lit(ttl))
-    placed = instants.select(
-        "key",
-        ((F.col("t") - at) / F.lit(ttl)).cast("long").alias("slice"),
-        at.cast("long").alias("at"),
-        "t",
-        "id",
+def _compose(instants: DataFrame, ttl: int, chunk_rows: int) -> DataFrame:
+    """Emitted sightings of heavy keys; no step needs a whole key in one task."""
+    # A chunk is as many TTLs as still fit an array everywhere, at least one.
+    slices = instants.groupBy(
+        "key", ((F.col("t") - F.pmod(F.col("t"), F.lit(ttl))) / ttl).cast("long").alias("slice")
+    ).agg(F.count("*").alias("n"))
+    low, high, densest = slices.agg(F.min("slice"), F.max("slice"), F.max("n")).first()
+    doublings = min((chunk_rows // densest).bit_length() - 1, (high - low).bit_length())
+    in_arrays = doublings >= 0
+    width = ttl << max(doublings, 0)
+    since = F.col("t") - F.lit(low * ttl)
+    at = F.pmod(since, F.lit(width))
+    placed = settle(
+        instants.select(
+            "key", ((since - at) / F.lit(width)).cast("long").alias("chunk"), at.alias("at"), "t", "id"
+        ),
+        "chunks",
     )
-    low, high = placed.agg(F.min("slice"), F.max("slice")).first()
-    placed = settle(placed.withColumn("chunk", F.col("slice") - F.lit(low)), "slices")
-    levels = [_slice_functions(placed, ttl)]
-    while (high - low) >> (len(levels) - 1):
+    functions = _array_functions(placed, ttl, width) if in_arrays else _slice_functions(placed, ttl)
+    levels = [settle(functions, "level")]
+    while _most_steps(levels[-1]) > chunk_rows and levels[-1].where("chunk > 0").limit(1).count():
         levels.append(settle(_join_pairs(levels[-1], ttl), "level"))
-    # At the top there is one chunk per key, entered with nothing emitted before.
-    entries = levels[-1].select("key", "chunk").distinct().withColumn("enter", F.lit(0).cast("long"))
+    entries = settle(_enter_chunks(levels[-1]), "entries")
     for level in reversed(levels[:-1]):
         entries = settle(_enter_halves(entries, level), "entries")
+    # What came before the entry of a chunk cannot be emitted.
     due = placed.join(entries, ["key", "chunk"]).where(F.col("at") >= F.col("enter"))
-    return due.groupBy("key", "chunk").agg(F.min(F.struct("t", "id")).alias("first")).select(
-        "key", "first.t", "first.id"
-    )
+    if in_arrays:
+        return _walk(due, ["key", "chunk"], F.lit(_EVER), ttl)
+    first = due.groupBy("key", "chunk").agg(F.min(F.struct("t", "id")).alias("first"))
+    return first.select("key", "first.t", "first.id")
+
+
+def _most_steps(functions: DataFrame) -> int:
+    steps = functions.groupBy("key").agg(F.count("*").alias("n"))
+    return steps.agg(F.max("n")).first()[0]
 
 
 def _slice_functions(placed: DataFrame, ttl: int) -> DataFrame:
-    """Functions of single slices as rows (key, chunk, upto, leave).
+    """Step functions of chunks one TTL long.
 
     Entered at ``upto`` or before, but after the previous row's ``upto``, the
-    chunk leaves the next one due at ``leave``; 0 means free from its start. A
-    slice emits its first instant not before the entry; past the last instant it
-    emits nothing.
+    chunk leaves the next one due at ``leave``; 0 means free from its start. It
+    emits its first instant not before the entry, and nothing past its last.
     """
-    past_end = (
-        placed.select("key", "chunk")
-        .distinct()
-        .select("key", "chunk", F.lit(ttl).cast("long").alias("upto"), F.lit(0).cast("long").alias("leave"))
+    past_end = placed.select("key", "chunk").distinct().select(
+        "key", "chunk", F.lit(ttl).cast("long").alias("upto"), F.lit(0).cast("long").alias("leave")
     )
     steps = placed.select("key", "chunk", F.col("at").alias("upto"), F.col("at").alias("leave"))
     return steps.unionByName(past_end)
 
 
+def _array_functions(placed: DataFrame, ttl: int, width: int) -> DataFrame:
+    """Step functions of longer chunks: one walk for every way to enter."""
+    chunks = placed.groupBy("key", "chunk").agg(F.sort_array(F.collect_list("at")).alias("all"))
+    ttl_long = F.lit(ttl).cast("long")
+    ways = F.array_append(F.filter("all", lambda a: a < ttl_long), ttl_long)
+
+    def leave(enter: Column) -> Column:
+        last_due = F.aggregate(
+            F.col("all"), enter, lambda due, a: F.when(a >= due, a + ttl_long).otherwise(due)
+        )
+        return F.greatest(last_due - F.lit(width), F.lit(0))
+
+    steps = F.transform(ways, lambda e: F.struct(e.alias("upto"), leave(e).alias("leave")))
+    return chunks.select("key", "chunk", F.inline(steps))
+
+
+def _enter_chunks(functions: DataFrame) -> DataFrame:
+    """Entry of every chunk (key, chunk, enter), each key walked from its first chunk."""
+    start = F.struct(
+        F.lit(_EVER).alias("chunk"),
+        F.lit(0).cast("long").alias("enter"),
+        F.lit(None).cast("long").alias("leave"),
+        F.array().cast("array<struct<chunk:bigint,enter:bigint>>").alias("out"),
+    )
+
+    def step(acc: Column, x: Column) -> Column:
+        begun = x["chunk"] == acc["chunk"]
+        # After a chunk without sightings the next one is free.
+        enter = (
+            F.when(begun, acc["enter"])
+            .when(x["chunk"] == acc["chunk"] + 1, F.coalesce(acc["leave"], F.lit(0)))
+            .otherwise(F.lit(0))
+        )
+        return F.element_at(
+            F.transform(
+                F.array(enter),
+                lambda e: F.struct(
+                    x["chunk"].alias("chunk"),
+                    e.alias("enter"),
+                    F.coalesce(F.when(begun, acc["leave"]), F.when(x["upto"] >= e, x["leave"])).alias("leave"),
+                    F.when(begun, acc["out"])
+                    .otherwise(F.array_append(acc["out"], F.struct(x["chunk"].alias("chunk"), e.alias("enter"))))
+                    .alias("out"),
+                ),
+            ),
+            1,
+        )
+
+    steps = functions.groupBy("key").agg(
+        F.sort_array(F.collect_list(F.struct("chunk", "upto", "leave"))).alias("all")
+    )
+    return steps.select("key", F.inline(F.aggregate(F.col("all"), start, step, lambda acc: acc["out"])))
+
+
 def _join_pairs(functions: DataFrame, ttl: int) -> DataFrame:
     """Compose chunk 2i with chunk 2i+1 into chunk i of the next level.
 

@@ -17,42 +17,48 @@ def replay(rows, ttl):
     return out
 
 
-def run(spark, rows, ttl, fold_rows):
+def run(spark, rows, ttl, fold_rows=10_000, chunk_rows=4_096):
     df = spark.createDataFrame(rows, "key string, t long, id long")
-    got = [tuple(r) for r in seen_within_ttl(df, ttl, fold_rows).select("key", "t", "id").collect()]
+    emitted = seen_within_ttl(df, ttl, fold_rows, chunk_rows).select("key", "t", "id")
+    got = [tuple(r) for r in emitted.collect()]
     assert len(got) == len(set(got))
     return set(got)
 
 
-@pytest.mark.parametrize("fold_rows", [10_000, 0])
-def test_suppressed_sightings_do_not_restart_the_clock(spark, fold_rows):
+# One array per key; arrays of chunks; pairs of chunks down to single slices.
+WAYS = [(10_000, 4_096), (0, 4_096), (0, 12), (0, 0)]
+
+
+@pytest.mark.parametrize("fold_rows,chunk_rows", WAYS)
+def test_suppressed_sightings_do_not_restart_the_clock(spark, fold_rows, chunk_rows):
     rows = [("u", t, t) for t in (0, 300, 599, 600, 900, 1200)]
-    assert {r[1] for r in run(spark, rows, 600, fold_rows)} == {0, 600, 1200}
+    assert {r[1] for r in run(spark, rows, 600, fold_rows, chunk_rows)} == {0, 600, 1200}
 
 
-@pytest.mark.parametrize("span,n,ttl", [(2_000, 400, 37), (50_000, 300, 3_000)])
-def test_both_ways_equal_replay(spark, span, n, ttl):
-    rng = random.Random(span)
-    rows = [(rng.choice("aab"), rng.randrange(-span, span), i) for i in range(n)]
-    want = replay(rows, ttl)
-    assert run(spark, rows, ttl, 10_000) == want
-    assert run(spark, rows, ttl, 0) == want
+@pytest.mark.parametrize("fold_rows,chunk_rows", WAYS)
+def test_every_way_equals_replay(spark, fold_rows, chunk_rows):
+    rng = random.Random(7)
+    rows = [(rng.choice("aab"), rng.randrange(-1_500, 1_500), i) for i in range(500)]
+    # A quiet stretch, so that some chunks are missing.
+    rows = [r for r in rows if not 200 < r[1] < 600]
+    assert run(spark, rows, 53, fold_rows, chunk_rows) == replay(rows, 53)
 
 
 def test_only_heavy_keys_take_the_distributed_way(spark):
     rng = random.Random(5)
     rows = [("hot", rng.randrange(5_000), i) for i in range(900)]
     rows += [(f"k{i % 40}", rng.randrange(5_000), 1_000 + i) for i in range(200)]
-    assert run(spark, rows, 60, 100) == replay(rows, 60)
+    assert run(spark, rows, 60, 100, 64) == replay(rows, 60)
 
 
-@settings(max_examples=2, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(
     st.lists(st.tuples(st.sampled_from("xy"), st.integers(0, 120), st.integers(0, 999)), min_size=1, max_size=80),
     st.integers(1, 30),
+    st.sampled_from([8, 30, 4_096]),
 )
-def test_distributed_way_property(spark, rows, ttl):
-    assert run(spark, rows, ttl, 0) == replay(rows, ttl)
+def test_distributed_way_property(spark, rows, ttl, chunk_rows):
+    assert run(spark, rows, ttl, 0, chunk_rows) == replay(rows, ttl)
 
 
 def test_events(spark, sf_dir):
