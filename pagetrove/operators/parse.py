@@ -60,8 +60,10 @@ def overlong(column: str) -> Column:
 
 
 def fit_columns(docs: DataFrame) -> DataFrame:
-    """Cut the surplus trailing spaces that a length limit forgives."""
-    return docs.withColumns({c: F.left(F.col(c), F.lit(n)) for c, n in LIMITS.items()})
+    """Cut the surplus trailing spaces that a length limit forgives; overlong values stay whole."""
+    return docs.withColumns(
+        {c: F.when(overlong(c), F.col(c)).otherwise(F.left(F.col(c), F.lit(n))) for c, n in LIMITS.items()}
+    )
 
 
 def too_long() -> Column:

@@ -30,20 +30,29 @@ def judge(lines: DataFrame) -> DataFrame:
     return fit_columns(parsed.withColumn("reject_reason", reason).drop("_fault"))
 
 
+def set_aside(judged: DataFrame, kept: DataFrame, order: list[str] = ORDER) -> DataFrame:
+    """Every record that was not kept, with its reason: (url, reject_reason, order columns).
+
+    Good documents that are missing from ``kept`` are copies of a kept URL. They
+    are found by position: narrow rows and a key that is never hot.
+    """
+    good = judged.where(F.col("reject_reason").isNull())
+    copies = good.select("url", F.lit("duplicate_url").alias("reject_reason"), *order).join(
+        kept.select(*order), order, "left_anti"
+    )
+    faulty = judged.where(F.col("reject_reason").isNotNull())
+    return faulty.select("url", "reject_reason", *order).unionByName(
+        copies.select("url", "reject_reason", *order)
+    )
+
+
 def split_duplicates(
     judged: DataFrame, order: list[str] = ORDER
 ) -> tuple[DataFrame, DataFrame]:
     """Good documents, first one per URL, and every other record with its reason.
 
-    ``judged`` is read twice and should be a written table. Later copies are
-    found by position, on narrow rows and on a key that is never hot.
+    ``judged`` is read several times and should be a written table.
     """
     good = judged.where(F.col("reject_reason").isNull())
-    winners = unique_url(good, order).drop("reject_reason")
-    copies = (
-        good.select("url", *order)
-        .join(unique_url(good.select("url", *order), order).select(*order), order, "left_anti")
-        .select("url", F.lit("duplicate_url").alias("reject_reason"), *order)
-    )
-    faulty = judged.where(F.col("reject_reason").isNotNull())
-    return winners, faulty.select("url", "reject_reason", *order).unionByName(copies)
+    first = unique_url(good.select("url", *order), order)
+    return unique_url(good, order).drop("reject_reason"), set_aside(judged, first, order)

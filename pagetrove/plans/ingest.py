@@ -5,8 +5,9 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.dedup import unique_url
 from ..operators.numbering import assign_id
-from ..operators.quarantine import judge, split_duplicates
+from ..operators.quarantine import judge, set_aside
 from ..schemas import ORDER
 from ..session import settle
 from ..sources.store import (
@@ -51,21 +52,15 @@ def ingest(
     create_store(spark, store_path)
     store = read_store(spark, store_path).where(F.col(BATCH) != batch)
     judged = settle(judge(lines), "judged")
-    winners, rejects = split_duplicates(judged, order)
-    winners = settle(winners, "winners")
-    fresh = settle(not_stored(winners, store, winners.count()), "fresh")
-    known = (
-        winners.select("url", *order)
-        .join(fresh.select(*order), order, "left_anti")
-        .select("url", F.lit("duplicate_url").alias("reject_reason"), *order)
-    )
-    rejects = settle(rejects.unionByName(known), "rejects")
+    good = judged.where(F.col("reject_reason").isNull())
+    fresh = not_stored(unique_url(good, order), good.select("url"), store, good.count())
+    numbered = assign_id(fresh, order, next_id(store))
+    rejects = settle(set_aside(judged, numbered, order), "rejects")
     if on_error == "fail":
         counts = rejects.where(F.col("reject_reason") != "invalid").groupBy("reject_reason").count()
         faults = {r["reject_reason"]: r["count"] for r in counts.collect()}
         if faults:
             raise IngestError(f"bad records: {faults}")
-    numbered = assign_id(fresh, order, next_id(store))
     append_store(to_stored_doc(numbered), store_path, batch)
     stored = read_store(spark, store_path).where(F.col(BATCH) == batch).drop(BATCH)
     return IngestResult(stored, rejects)

@@ -50,16 +50,17 @@ def append_store(docs: DataFrame, path: str, batch: int) -> None:
     docs.select(*STORED_COLUMNS).write.mode("overwrite").parquet(f"{path}/{BATCH}={batch}")
 
 
-def not_stored(docs: DataFrame, store: DataFrame, rows: int) -> DataFrame:
-    """Documents whose URL the store does not hold. ``rows`` is the count of ``docs``.
+def not_stored(docs: DataFrame, urls: DataFrame, store: DataFrame, rows: int) -> DataFrame:
+    """Documents whose URL the store does not hold.
 
+    ``urls`` are the URLs of the batch, ``rows`` an upper bound of their number.
     A small batch is broadcast against the store's URL column to find its known
     URLs, so the store is scanned but not shuffled. A large batch is joined by
-    URL; both sides hold each URL once, so no key is hot.
+    URL; ``docs`` and the store hold each URL once, so no key is hot.
     """
     known = store.select("url")
     if rows <= BROADCAST_URLS:
-        known = known.join(F.broadcast(docs.select("url")), "url", "left_semi")
+        known = known.join(F.broadcast(urls.distinct()), "url", "left_semi")
         return docs.join(F.broadcast(known), "url", "left_anti")
     return docs.join(known, "url", "left_anti")
 
