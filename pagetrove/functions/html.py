@@ -7,8 +7,8 @@ pages cannot overflow the stack.
 
 Where this differs from a tree builder:
 
-* a heading or ``nav`` ends at its first end tag, so nested ones of the same
-  name are cut short; an unclosed one runs to the end of the page;
+* a heading or ``nav`` ends at its first end tag, so one around another of the
+  same name is cut short; an unclosed one runs to the end of the page;
 * a title that holds child tags counts as no title;
 * named entities are those of HTML 4; a name without ``;`` must end at a character
   that is neither a letter nor a digit.
@@ -39,14 +39,20 @@ def _open_tag(name: str) -> str:
     return f"(?is)<{name}{_AFTER_NAME}{_REST}"
 
 
+def _until_end_tag(name: str) -> str:
+    """Anything up to the end tag of that name, or to the end of the page."""
+    return rf"(?:[^<]++|<(?!/{name}[\s/>]))*+"
+
+
 def _element(name: str) -> str:
-    """Open tag, inner HTML as group 1, end tag or end of page."""
-    return rf"(?is)<{name}{_AFTER_NAME}{_REST}(.*?)(?:</{name}{_AFTER_NAME}[^>]*+>|\z)"
+    """Open tag and, as group 1, inner HTML."""
+    return rf"(?is)<{name}{_AFTER_NAME}{_REST}({_until_end_tag(name)})"
 
 
 def _raw_text_element(name: str) -> str:
     """Script-like element; a self-closed tag does not open one."""
-    return rf"{name}{_AFTER_NAME}{_TO_CLOSE}(?<!/)>.*?(?:</{name}{_AFTER_NAME}[^>]*+>|\z)"
+    end = rf"(?:</{name}[^>]*+>)?+"
+    return rf"{name}{_AFTER_NAME}{_TO_CLOSE}(?<!/)>{_until_end_tag(name)}{end}"
 
 
 def strip_invisible(html: Column) -> Column:
@@ -55,7 +61,8 @@ def strip_invisible(html: Column) -> Column:
     Run it once per page as a column of its own; every other function here
     expects its result.
     """
-    pattern = rf"(?is)<(?:!--.*?(?:-->|\z)|{_raw_text_element('script')}|{_raw_text_element('style')})"
+    comment = r"!--(?:[^-]++|-(?!->))*+(?:-->)?+"
+    pattern = rf"(?is)<(?:{comment}|{_raw_text_element('script')}|{_raw_text_element('style')})"
     return F.regexp_replace(html, pattern, _GAP)
 
 
@@ -68,32 +75,31 @@ def _entity_names() -> str:
     return json.dumps(known).replace("'", r"\u0027")
 
 
-# One token of a text to its characters. As SQL text, because it is used for every
-# field and would otherwise be most of the time it takes to set up a job. More than
-# seven digits are no code point; an unknown name stays as it is.
-_DECODE_TOKEN = rf"""
-t -> CASE WHEN t RLIKE r'^&[#a-zA-Z].' THEN element_at(transform(array(coalesce(
-       try_cast(regexp_extract(t, r'^&#0*+([0-9]{{1,7}});?$', 1) AS int),
-       try_cast(conv(regexp_extract(t, r'^&#[xX]0*+([0-9a-fA-F]{{1,7}});?$', 1), 16, 10) AS int))),
-     c -> coalesce(
-       try_element_at(
-         from_json(r'{_entity_names()}', 'map<string,string>'),
-         coalesce(cast(c AS string), regexp_replace(t, '[&;]', ''))),
-       CASE WHEN c BETWEEN 1 AND {0xD7FF} OR c BETWEEN {0xE000} AND {0x10FFFF}
-         THEN decode(unhex(lpad(hex(c), 8, '0')), 'UTF-32') END,
-       CASE WHEN t LIKE '&#%' THEN '\ufffd' ELSE t END)), 1)
-     ELSE t END
+# As SQL text, because it is used for every field and would otherwise be most of the
+# time it takes to set up a job. More than seven digits are no code point; an unknown
+# name stays as it is; a text without ``&`` is passed through.
+_DECODE = rf"""
+x -> CASE WHEN contains(x, '&') THEN array_join(transform(
+  regexp_extract_all(
+    x, r'&#(?:[0-9]++|[xX][0-9a-fA-F]++);?|&[a-zA-Z][a-zA-Z0-9]*+;?|[^&]++|&', 0),
+  t -> CASE WHEN startswith(t, '&') THEN element_at(transform(array(coalesce(
+         try_cast(regexp_extract(t, r'^&#0*+([0-9]{{1,7}});?$', 1) AS int),
+         try_cast(conv(regexp_extract(t, r'^&#[xX]0*+([0-9a-fA-F]{{1,7}});?$', 1), 16, 10) AS int))),
+       c -> coalesce(
+         try_element_at(
+           from_json(r'{_entity_names()}', 'map<string,string>'),
+           coalesce(cast(c AS string), regexp_replace(t, '[&;]', ''))),
+         CASE WHEN c BETWEEN 1 AND {0xD7FF} OR c BETWEEN {0xE000} AND {0x10FFFF}
+           THEN decode(unhex(lpad(hex(c), 8, '0')), 'UTF-32') END,
+         CASE WHEN startswith(t, '&#') THEN '\ufffd' ELSE t END)), 1)
+       ELSE t END), '')
+ELSE x END
 """
 
 
 def decode_entities(text: Column) -> Column:
     """Replace character references."""
-    tokens = F.regexp_extract_all(
-        text,
-        F.lit(r"&#(?:[0-9]++|[xX][0-9a-fA-F]++);?|&[a-zA-Z][a-zA-Z0-9]*+;?|[^&]++|&"),
-        F.lit(0),
-    )
-    return F.array_join(F.call_function("transform", tokens, F.expr(_DECODE_TOKEN)), "")
+    return F.element_at(F.call_function("transform", F.array(text), F.expr(_DECODE)), 1)
 
 
 def _raw_attribute(tag: Column, name: str, last: bool) -> Column:
@@ -130,9 +136,13 @@ def html_title(html: Column) -> Column:
     return decode_entities(F.try_element_at(plain, F.lit(1)))
 
 
-def html_meta(html: Column, name: str) -> Column:
-    """``content`` of the first ``meta`` tag with that name, null if it has none."""
-    tags = F.regexp_extract_all(html, F.lit(_open_tag("meta")), F.lit(0))
+def meta_tags(html: Column) -> Column:
+    """All ``meta`` open tags of a page."""
+    return F.regexp_extract_all(html, F.lit(_open_tag("meta")), F.lit(0))
+
+
+def html_meta(tags: Column, name: str) -> Column:
+    """``content`` of the first of the ``meta`` tags with that name, null if it has none."""
     named = F.filter(tags, lambda t: _raw_attribute(t, "name", last=True) == name)
     return attribute(F.try_element_at(named, F.lit(1)), "content", last=True)
 
@@ -149,10 +159,19 @@ def node_text(inner: Column) -> Column:
 
 def html_headings(html: Column) -> Column:
     """Cleaned h1 texts, then h2, then h3; null if none survives cleaning."""
-    inner = F.concat(
-        *[F.regexp_extract_all(html, F.lit(_element(f"h{n}")), F.lit(1)) for n in (1, 2, 3)]
+    # One scan for all levels. The element is captured by looking ahead and only its
+    # first characters are passed, so a heading inside another one is found as well.
+    pattern = rf"(?is)(?=(<h([1-3]){_AFTER_NAME}{_REST}(?:[^<]++|<(?!/h\2[\s/>]))*+))<h"
+    found = F.regexp_extract_all(html, F.lit(pattern), F.lit(1))
+    by_level = F.sort_array(
+        F.transform(
+            found,
+            lambda x, i: F.struct(F.substring(x, 3, 1).alias("level"), i.alias("i"), x.alias("x")),
+        )
+    )
+    cleaned = F.filter(
+        F.transform(by_level, lambda e: clean_words(node_text(e["x"]))), lambda x: x != ""
     )
-    cleaned = F.filter(F.transform(inner, lambda x: clean_words(node_text(x))), lambda x: x != "")
     return F.try_element_at(F.filter(F.array(cleaned), lambda a: F.size(a) > 0), F.lit(1))
 
 

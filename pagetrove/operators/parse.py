@@ -8,18 +8,20 @@ from ..functions.html import (
     html_meta,
     html_published_date,
     html_title,
+    meta_tags,
     strip_invisible,
 )
 from ..functions.patterns import array_to_text
 from ..schemas import LIMITS
 
 
+# Each field from the visible HTML and its meta tags.
 FIELDS = {
-    "author": lambda html: html_meta(html, "author"),
-    "content": html_headings,
-    "description": lambda html: html_meta(html, "description"),
-    "published_date": html_published_date,
-    "title": html_title,
+    "author": lambda html, metas: html_meta(metas, "author"),
+    "content": lambda html, metas: html_headings(html),
+    "description": lambda html, metas: html_meta(metas, "description"),
+    "published_date": lambda html, metas: html_published_date(html),
+    "title": lambda html, metas: html_title(html),
 }
 
 
@@ -32,13 +34,12 @@ def parse_pages(pages: DataFrame, fields: list[str] | None = None) -> DataFrame:
     stays above it, where the optimizer would otherwise copy the extraction into
     the filter and run it twice. Name the ``fields`` wanted if not all are.
     """
-    html = F.col("_html")
-    wanted = list(FIELDS) if fields is None else fields
-    row = F.struct(*[FIELDS[f](html).alias(f) for f in wanted])
     kept = [c for c in pages.columns if c != "content"]
-    return pages.withColumn("_html", strip_invisible(F.col("content"))).select(
-        *kept, F.inline(F.array(row))
-    )
+    html, metas = F.col("_html"), F.col("_metas")
+    wanted = list(FIELDS) if fields is None else fields
+    row = F.struct(*[FIELDS[f](html, metas).alias(f) for f in wanted])
+    visible = pages.withColumn("_html", strip_invisible(F.col("content")))
+    return visible.withColumn("_metas", meta_tags(html)).select(*kept, F.inline(F.array(row)))
 
 
 def with_content_text(docs: DataFrame) -> DataFrame:
