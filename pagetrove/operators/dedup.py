@@ -22,4 +22,5 @@ def unique_url(docs: DataFrame, order: list[str], key: str = "url") -> DataFrame
 
 def frontier_dedup(urls: DataFrame, url: str = "url") -> DataFrame:
     """Distinct pages to fetch: (url_key, url), the smallest spelling of each."""
-    return urls.groupBy(url_key(F.col(url)).alias("url_key")).agg(F.min(url).alias("url"))
+    spelled = urls.select(F.col(url).alias("url")).distinct()
+    return spelled.groupBy(url_key(F.col("url")).alias("url_key")).agg(F.min("url").alias("url"))

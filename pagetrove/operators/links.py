@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions.html import nav_links, strip_invisible
 from ..functions.urls import UrlParts, links_count, resolve_link, rewrite_link, url_key, url_parts
-from ..session import settle
+from ..session import settle, settle_counted
 
 
 def _with_parts(df: DataFrame, url: str, prefix: str) -> tuple[DataFrame, UrlParts]:
@@ -44,11 +44,12 @@ def page_keys(pages: DataFrame) -> DataFrame:
 def undiscovered(edges: DataFrame, pages: DataFrame) -> DataFrame:
     """Linked pages that the snapshot lacks: (url_key, url, links), the next crawl list.
 
-    Links are counted per target before the shuffle, so a target that many pages
-    share is no hot key.
+    Links are counted per target URL before the shuffle, in hash tables, so a
+    target that many pages share is no hot key. Only then are spellings compared.
     """
-    targets = edges.groupBy(url_key(F.col("dst_url")).alias("url_key")).agg(
-        F.min("dst_url").alias("url"), F.count("*").alias("links")
+    spelled = edges.groupBy("dst_url").agg(F.count("*").alias("links"))
+    targets = spelled.groupBy(url_key(F.col("dst_url")).alias("url_key")).agg(
+        F.min("dst_url").alias("url"), F.sum("links").alias("links")
     )
     return targets.join(page_keys(pages), "url_key", "left_anti")
 
@@ -75,17 +76,16 @@ def expand_frontier(
         ),
         "edges",
     )
-    newest = settle(seeds.select("url_key").distinct().join(pages, "url_key", "left_semi"), "seeds")
+    seeds = seeds.select("url_key").distinct().join(pages, "url_key", "left_semi")
+    newest, rows = settle_counted(seeds, "seeds")
     depth = 0
     reached = newest.withColumn("depth", F.lit(0))
-    while (max_depth is None or depth < max_depth) and not newest.isEmpty():
+    while rows and (max_depth is None or depth < max_depth):
         depth += 1
         found = edges.join(newest, F.col("src_key") == F.col("url_key"), "left_semi")
-        newest = settle(
-            found.select(F.col("dst_key").alias("url_key"))
-            .distinct()
-            .join(reached.select("url_key"), "url_key", "left_anti"),
-            "frontier",
+        targets = found.select(F.col("dst_key").alias("url_key")).distinct()
+        newest, rows = settle_counted(
+            targets.join(reached.select("url_key"), "url_key", "left_anti"), "frontier"
         )
         reached = reached.unionByName(newest.withColumn("depth", F.lit(depth)))
         if depth % merge_every == 0:

@@ -19,7 +19,7 @@ sightings. Every step is spread over (key, chunk).
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import settle
+from ..session import settle, settle_counted
 
 # Sightings of a key up to which they are walked as one sorted array.
 FOLD_ROWS = 10_000
@@ -54,8 +54,7 @@ def seen_within_ttl(
         "instants",
     )
     sizes = instants.groupBy("key").agg(F.count("*").alias("n"))
-    heavy = settle(sizes.where(F.col("n") > fold_rows).select("key"), "heavy")
-    n_heavy = heavy.count()
+    heavy, n_heavy = settle_counted(sizes.where(F.col("n") > fold_rows).select("key"), "heavy")
     if n_heavy == 0:
         return _walk(instants, ["key"], F.lit(_EVER), ttl)
     if n_heavy <= BROADCAST_KEYS:

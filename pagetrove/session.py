@@ -4,7 +4,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "pagetrove", cores: str = "*", **conf: str) -> SparkSession:
@@ -42,9 +43,23 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def _run_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/pagetrove/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/pagetrove/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the part of the shared folder that belongs to this application."""
+    return f"{_run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this application wrote to the shared folder.
+
+    For the end of a job: results that were not written elsewhere go with it.
+    """
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(_run_folder(spark))
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
@@ -56,3 +71,10 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def settle_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """``settle`` with the number of rows, counted while they are written."""
+    rows = Observation()
+    settled = settle(df.observe(rows, F.count(F.lit(1)).alias("rows")), name)
+    return settled, rows.get["rows"]
