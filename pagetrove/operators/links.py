@@ -44,14 +44,36 @@ def page_keys(pages: DataFrame) -> DataFrame:
 def undiscovered(edges: DataFrame, pages: DataFrame) -> DataFrame:
     """Linked pages that the snapshot lacks: (url_key, url, links), the next crawl list.
 
-    Links are counted per target URL before the shuffle, in hash tables, so a
-    target that many pages share is no hot key. Only then are spellings compared.
+    Link targets and page keys meet in one aggregate instead of a join: both are
+    combined per task before the only shuffle by key, so a target that many pages
+    share is no hot key.
     """
-    spelled = edges.groupBy("dst_url").agg(F.count("*").alias("links"))
-    targets = spelled.groupBy(url_key(F.col("dst_url")).alias("url_key")).agg(
-        F.min("dst_url").alias("url"), F.sum("links").alias("links")
+    linked = edges.groupBy("dst_url").agg(F.count("*").alias("links"))
+    targets = linked.select(
+        url_key(F.col("dst_url")).alias("url_key"),
+        F.col("dst_url").alias("url"),
+        "links",
+        F.lit(False).alias("there"),
     )
-    return targets.join(page_keys(pages), "url_key", "left_anti")
+    there = pages.select(
+        url_key(F.col("url")).alias("url_key"),
+        F.lit(None).cast("string").alias("url"),
+        F.lit(0).cast("long").alias("links"),
+        F.lit(True).alias("there"),
+    )
+    met = targets.unionByName(there).groupBy("url_key").agg(
+        F.min("url").alias("url"), F.sum("links").alias("links"), F.max("there").alias("there")
+    )
+    return met.where(~F.col("there")).drop("there")
+
+
+def _not_reached(found: DataFrame, reached: DataFrame) -> DataFrame:
+    """Distinct ``url_key`` of ``found`` that ``reached`` lacks, in one hash aggregate."""
+    both = found.select("url_key", F.lit(False).alias("old")).unionByName(
+        reached.select("url_key", F.lit(True).alias("old"))
+    )
+    met = both.groupBy("url_key").agg(F.max("old").alias("old"))
+    return met.where(~F.col("old")).select("url_key")
 
 
 def expand_frontier(
@@ -64,29 +86,24 @@ def expand_frontier(
     """Pages reached from the seeds: (url_key, depth).
 
     ``edges`` holds (src_key, dst_key), ``pages`` and ``seeds`` hold ``url_key``.
-    Round by round: the links of the newest pages, distinct, present in the
-    snapshot, not reached before. Each round is written to the shared folder, so
-    plans stay short and a lost executor costs one round. Ends when a round
-    finds nothing, so cycles are harmless.
+    Round by round: the links of the newest pages, distinct, not reached before,
+    present in the snapshot. Each round is written to the shared folder, so plans
+    stay short and a lost executor costs one round. Ends when a round finds
+    nothing, so cycles are harmless.
+
+    While a frontier is small it is broadcast, and edges and pages are scanned
+    but not shuffled. Page keys are distinct, so joins on them have no hot key.
     """
     pages = settle(pages.select("url_key").distinct(), "pages")
-    edges = settle(
-        edges.select("src_key", "dst_key").distinct().join(
-            pages, F.col("dst_key") == F.col("url_key"), "left_semi"
-        ),
-        "edges",
-    )
-    seeds = seeds.select("url_key").distinct().join(pages, "url_key", "left_semi")
-    newest, rows = settle_counted(seeds, "seeds")
+    edges = settle(edges.select("src_key", "dst_key").distinct(), "edges")
+    newest, rows = settle_counted(pages.join(seeds.select("url_key"), "url_key", "left_semi"), "seeds")
     depth = 0
     reached = newest.withColumn("depth", F.lit(0))
     while rows and (max_depth is None or depth < max_depth):
         depth += 1
         found = edges.join(newest, F.col("src_key") == F.col("url_key"), "left_semi")
-        targets = found.select(F.col("dst_key").alias("url_key")).distinct()
-        newest, rows = settle_counted(
-            targets.join(reached.select("url_key"), "url_key", "left_anti"), "frontier"
-        )
+        fresh = _not_reached(found.select(F.col("dst_key").alias("url_key")), reached)
+        newest, rows = settle_counted(pages.join(fresh, "url_key", "left_semi"), "frontier")
         reached = reached.unionByName(newest.withColumn("depth", F.lit(depth)))
         if depth % merge_every == 0:
             reached = settle(reached, "reached")

@@ -32,6 +32,11 @@ def scan_store(spark: SparkSession, path: str) -> DataFrame:
     return read_store(spark, path).select(*STORED_COLUMNS)
 
 
+def store_view(spark: SparkSession, path: str, name: str) -> None:
+    """Make the store readable by name in SQL."""
+    scan_store(spark, path).createOrReplaceTempView(name)
+
+
 def to_stored_doc(docs: DataFrame) -> DataFrame:
     """Stored column order, heading list already turned to text."""
     return docs.select(

@@ -16,7 +16,7 @@ from pagetrove.sources.feed import (
     write_feed,
     write_numbered_feed,
 )
-from pagetrove.sources.store import create_store, read_store, scan_store
+from pagetrove.sources.store import create_store, read_store, scan_store, store_view
 from pagetrove.streaming.ingest import ingest_stream
 
 
@@ -110,6 +110,9 @@ def test_arrival_order_decides(spark, tmp_path):
         (path / name).write_text(json.dumps(page("http://same.example/", title)) + "\n")
     result = ingest(read_feed(spark, str(path)), str(tmp_path / "store"), 0)
     assert [r.title for r in result.stored.collect()] == ["early"]
+    store_view(spark, str(tmp_path / "store"), "documents_view")
+    found = spark.sql("SELECT url FROM documents_view WHERE title ILIKE :p", args={"p": "%EARL%"})
+    assert [r.url for r in found.collect()] == ["http://same.example/"]
 
 
 def test_stream_equals_batch(spark, tmp_path, sf_dir):
