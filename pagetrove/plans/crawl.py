@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import url_key
 from ..operators.links import expand_frontier, key_edges, link_edges, page_keys, undiscovered
+from ..operators.seen import seen_within_ttl
 from ..operators.stats import crawl_stats
 from ..session import settle
 from ..sources.pages import filter_status, to_raw_page
@@ -36,3 +37,20 @@ def crawl(responses: DataFrame, seeds: DataFrame, max_depth: int | None = None)
     return Crawl(
         reached, to_raw_page(items), undiscovered(followed, fetched), crawl_stats(responses)
     )
+
+
+def crawl_items(responses: DataFrame, ttl: int) -> DataFrame:
+    """Responses that go into the feed: fetched, and not seen within the TTL.
+
+    ``responses`` holds url, status, content, the fetch instant ``t`` and a
+    unique ``id``. Sightings are judged on narrow rows; pages are only matched
+    with the ids of the suppressed few, which Spark broadcasts while they are
+    small.
+    """
+    fetched, _ = filter_status(responses)
+    sightings = settle(fetched.select(F.col("url").alias("key"), "t", "id"), "sightings")
+    emitted = seen_within_ttl(sightings, ttl)
+    # A sighting without a URL has no key to be seen under; it is not suppressed.
+    keyed = sightings.where(F.col("key").isNotNull()).select("id")
+    suppressed = settle(keyed.join(emitted.select("id"), "id", "left_anti"), "suppressed")
+    return fetched.join(suppressed, "id", "left_anti")

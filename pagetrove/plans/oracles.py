@@ -1,7 +1,7 @@
 """The registered queries restated in DuckDB SQL, for comparison only."""
 
 from ..functions.text import STOPWORDS
-from .queries import FRONTIER_DEPTH, HOUR, MANY, SEARCH, SEEN_GLOB, WILDCARD_SEARCH
+from .queries import FRONTIER_DEPTH, HOUR, MANY, SEARCH, SEEN_GLOB, TURNS_TTL, WILDCARD_SEARCH
 
 _SPACE = r"\x09-\x0d\x1c-\x1f\x{85}\p{Z}"
 _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
@@ -221,6 +221,14 @@ SELECT (SELECT count(*) FROM first_batch) + row_number() OVER (ORDER BY id), aut
     "seen_users": _seen("user_id", 6 * HOUR),
     "seen_event_types": _seen("event_type", HOUR // 6),
     "seen_users_stream": _seen("user_id", 6 * HOUR),
+    "crawled_turns": f"""
+WITH RECURSIVE fetched AS (SELECT * FROM conversations WHERE role <> 'system'),
+chain AS (
+  SELECT conv_id, min(turn) AS turn FROM fetched GROUP BY conv_id
+  UNION ALL
+  SELECT f.conv_id, min(f.turn) AS turn FROM chain c
+  JOIN fetched f ON f.conv_id = c.conv_id AND f.turn >= c.turn + {TURNS_TTL} GROUP BY f.conv_id)
+SELECT 'https://talk.example/' || conv_id AS url, turn, text AS content FROM chain JOIN fetched USING (conv_id, turn)""",
     "seen_pages_lookup": f"SELECT page_id, url FROM pages WHERE url GLOB '{SEEN_GLOB}'",
 }
 

@@ -28,6 +28,7 @@ from ..sources.seeds import seed_source
 from ..sources.store import scan_store, to_stored_doc
 from ..streaming.ingest import ingest_stream
 from ..streaming.seen import seen_stream
+from .crawl import crawl_items
 from .ingest import ingest
 
 HOUR = 3_600_000_000
@@ -36,6 +37,7 @@ WILDCARD_SEARCH = "t_on%the"
 MANY = ["the", "TION", "er%on", "_ich", "é", "{", "a b", "no such words", " ", "", None]
 SEEN_GLOB = "http*://*.example.[no]??/[a-e]?/*"
 HEAVY_ROWS = 1_000
+TURNS_TTL = 3
 FRONTIER_DEPTH = 5
 
 
@@ -71,6 +73,10 @@ def _events(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
     return events.select(F.col(key).alias("key"), micros(F.col("ts")).alias("t"), F.col("event_id").alias("id"))
 
 
+def _talk_url() -> Column:
+    return F.concat(F.lit("https://talk.example/"), F.col("conv_id").cast("string"))
+
+
 def _escaped(text: Column) -> Column:
     for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         text = F.replace(text, F.lit(char), F.lit(name))
@@ -216,9 +222,7 @@ def assign_ids(spark, sf_dir):
 
 def unique_urls(spark, sf_dir):
     """Conversations as pages of one URL each: the first turn wins."""
-    turns = _conversations(spark, sf_dir).select(
-        F.concat(F.lit("https://talk.example/"), F.col("conv_id").cast("string")).alias("url"), "turn", "role", "text"
-    )
+    turns = _conversations(spark, sf_dir).select(_talk_url().alias("url"), "turn", "role", "text")
     return unique_url(turns, ["turn"])
 
 
@@ -311,6 +315,19 @@ def seen_users_stream(spark, sf_dir):
     return spark.read.schema(events.schema).parquet(out).select("key", "t", "id")
 
 
+def crawled_turns(spark, sf_dir):
+    """Conversations as pages fetched again at every turn, kept once per TTL."""
+    refused = F.col("role") == "system"
+    responses = _conversations(spark, sf_dir).select(
+        _talk_url().alias("url"),
+        F.when(refused, 403).otherwise(200).alias("status"),
+        F.col("text").alias("content"),
+        F.col("turn").alias("t"),
+        F.xxhash64("conv_id", "turn").alias("id"),
+    )
+    return crawl_items(responses, TURNS_TTL).select("url", F.col("t").alias("turn"), "content")
+
+
 def seen_pages_lookup(spark, sf_dir):
     return seen_lookup(_pages(spark, sf_dir), SEEN_GLOB).select("page_id", "url")
 
@@ -356,6 +373,6 @@ QUERIES = {
         undiscovered_links, undiscovered_seeds, frontier_urls, frontier_reach, fetched_pages,
         refused_pages, crawl_stats_by_host, unique_urls, unique_sources, feed_batches,
         feed_roundtrip, store_ingest, stream_ingest, assign_ids, seen_users, seen_event_types,
-        seen_users_stream, seen_pages_lookup,
+        seen_users_stream, seen_pages_lookup, crawled_turns,
     )
 }

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from pagetrove.operators.dedup import frontier_dedup
 from pagetrove.operators.links import expand_frontier, key_edges, link_edges, undiscovered
 from pagetrove.operators.stats import crawl_stats, observe_crawl
-from pagetrove.plans.crawl import crawl
+from pagetrove.plans.crawl import crawl, crawl_items
 from pagetrove.sources.seeds import START_URLS, seed_source
 
 H = "https://h.com/"
@@ -70,6 +70,18 @@ def test_undiscovered_and_keys(spark, responses):
     assert key_edges(edges.unionByName(edges)).count() == 7
 
 
+def test_next_crawl_list_needs_no_join(spark, responses):
+    plan = undiscovered(link_edges(responses), responses)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "partial_count" in plan
+
+
+def test_items_are_emitted_once_per_ttl(spark):
+    rows = [("u", 200, f"c{t}", t, t) for t in (0, 300, 599, 600, 900, 1200)]
+    rows += [("u", 500, "bad", 700, 70), (None, 200, "no url", 1, 71), (None, 200, "no url", 2, 72)]
+    df = spark.createDataFrame(rows, "url string, status int, content string, t long, id long")
+    assert sorted(r.id for r in crawl_items(df, 600).collect()) == [0, 71, 72, 600, 1200]
+
+
 def test_frontier_dedup(spark):
     urls = spark.createDataFrame([("http://a/?y&x",), ("http://a/?x&y#f",), ("http://b/",)], "url string")
     assert {tuple(r) for r in frontier_dedup(urls).collect()} == {
