@@ -82,9 +82,11 @@ _DECODE = rf"""
 x -> CASE WHEN contains(x, '&') THEN array_join(transform(
   regexp_extract_all(
     x, r'&#(?:[0-9]++|[xX][0-9a-fA-F]++);?|&[a-zA-Z][a-zA-Z0-9]*+;?|[^&]++|&', 0),
-  t -> CASE WHEN startswith(t, '&') THEN element_at(transform(array(coalesce(
-         try_cast(regexp_extract(t, r'^&#0*+([0-9]{{1,7}});?$', 1) AS int),
-         try_cast(conv(regexp_extract(t, r'^&#[xX]0*+([0-9a-fA-F]{{1,7}});?$', 1), 16, 10) AS int))),
+  t -> CASE WHEN startswith(t, '&') THEN element_at(transform(array(
+         CASE WHEN lower(left(t, 3)) = '&#x'
+             THEN cast(conv(nullif(regexp_extract(t, r'^&#.0*+([0-9a-fA-F]{{1,7}});?$', 1), ''), 16, 10) AS int)
+           WHEN startswith(t, '&#')
+             THEN cast(nullif(regexp_extract(t, r'^&#0*+([0-9]{{1,7}});?$', 1), '') AS int) END),
        c -> coalesce(
          try_element_at(
            from_json(r'{_entity_names()}', 'map<string,string>'),
@@ -159,14 +161,18 @@ def node_text(inner: Column) -> Column:
 
 def html_headings(html: Column) -> Column:
     """Cleaned h1 texts, then h2, then h3; null if none survives cleaning."""
-    # One scan for all levels. The element is captured by looking ahead and only its
-    # first characters are passed, so a heading inside another one is found as well.
-    pattern = rf"(?is)(?=(<h([1-3]){_AFTER_NAME}{_REST}(?:[^<]++|<(?!/h\2[\s/>]))*+))<h"
-    found = F.regexp_extract_all(html, F.lit(pattern), F.lit(1))
+    # One scan for all levels. The element after ``<`` is captured by looking ahead and
+    # only ``<`` is passed, so a heading inside another one is found as well.
+    inner = r"(?:[^<]++|<(?!/h\2[\s/>]))*+"
+    found = F.regexp_extract_all(
+        html, F.lit(rf"(?is)<(?=(h([1-3]){_AFTER_NAME}{_REST}{inner}))"), F.lit(1)
+    )
     by_level = F.sort_array(
         F.transform(
             found,
-            lambda x, i: F.struct(F.substring(x, 3, 1).alias("level"), i.alias("i"), x.alias("x")),
+            lambda x, i: F.struct(
+                F.substring(x, 2, 1).alias("level"), i.alias("i"), F.concat(F.lit("<"), x).alias("x")
+            ),
         )
     )
     cleaned = F.filter(
