@@ -17,7 +17,7 @@ def _clean(x: str) -> str:
 
 def _decode(x: str) -> str:
     for name, char in (("quot", '"'), ("copy", "©"), ("middot", "·"), ("lt", "<"), ("gt", ">"), ("amp", "&")):
-        x = f"replace({x}, '&{name};', '{char}')"
+        x = rf"regexp_replace({x}, '&{name}(?:;|\b)', '{char}', 'g')"
     return x
 
 
