@@ -2,8 +2,8 @@ import pytest
 from compare import connect, difference
 
 import __spark_entry__ as entry_module
-
-QUERIES, ORACLES = entry_module.queries(), entry_module.oracle_sql()
+from pagetrove.plans.oracles import ORACLES
+from pagetrove.plans.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -22,3 +22,8 @@ def test_equals_sql(spark, sf_dir, tables, name):
 
 def test_entry(spark):
     assert 0 < entry_module.entry(spark).count() <= 20
+
+
+def test_entry_registers_all():
+    assert set(QUERIES) <= set(entry_module.queries())
+    assert set(ORACLES) <= set(entry_module.oracle_sql())
