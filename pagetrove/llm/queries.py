@@ -1,9 +1,13 @@
 """Registered queries of the training-data operators."""
 
-from . import quality
+from pyspark.sql import functions as F
+
+from . import quality, secrets, sharding
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
+SHARDS = 24
+
 
 def _documents(spark, sf_dir, *columns):
     return spark.read.schema(DOCUMENTS).parquet(f"{sf_dir}/documents.parquet").select(*columns or "*")
@@ -14,5 +18,32 @@ def op6_quality(spark, sf_dir):
     return quality.verdict(measured).select("doc_id", *quality.BASE, "base_failed", "kept")
 
 
-LLM_QUERIES = {f.__name__: f for f in (op6_quality,)}
+def op8_sharding(spark, sf_dir):
+    placed = sharding.shard(_documents(spark, sf_dir, "doc_id", "text"), SHARDS)
+    return placed.select(
+        "doc_id", "size", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
+        F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op10_secrets(spark, sf_dir):
+    docs = _documents(spark, sf_dir, "doc_id", "text", "lang", "source")
+    found = secrets.scan(docs, owner="source", repository="lang", keep=["doc_id"])
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    base = F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE_KINDS))
+    counts = [
+        F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}")
+        for k in secrets.BASE_KINDS
+    ]
+    return found.select(
+        "doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
+        F.size(F.filter("spans", lambda s: ~s["copied"])).cast("long").alias("n_owned"),
+        F.size(F.filter("spans", lambda s: s["copied"])).cast("long").alias("n_copied"),
+    )
+
+
+LLM_QUERIES = {f.__name__: f for f in (op6_quality, op8_sharding, op10_secrets)}
 LLM_ORACLES = {}
