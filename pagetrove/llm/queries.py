@@ -1,8 +1,9 @@
 """Registered queries of the training-data operators."""
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import quality, secrets, sharding
+from . import bpe, quality, secrets, sharding
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -13,6 +14,12 @@ def _documents(spark, sf_dir, *columns):
     return spark.read.schema(DOCUMENTS).parquet(f"{sf_dir}/documents.parquet").select(*columns or "*")
 
 
+def op2_bpe(spark, sf_dir):
+    docs = _documents(spark, sf_dir, "doc_id", "text")
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.digest(docs, path, public_tokenizers.PATTERN, ["doc_id"])
+
+
 def op6_quality(spark, sf_dir):
     measured = quality.measure(_documents(spark, sf_dir, "doc_id", "text"), "doc_id")
     return quality.verdict(measured).select("doc_id", *quality.BASE, "base_failed", "kept")
@@ -45,5 +52,5 @@ def op10_secrets(spark, sf_dir):
     )
 
 
-LLM_QUERIES = {f.__name__: f for f in (op6_quality, op8_sharding, op10_secrets)}
+LLM_QUERIES = {f.__name__: f for f in (op2_bpe, op6_quality, op8_sharding, op10_secrets)}
 LLM_ORACLES = {}
