@@ -116,7 +116,7 @@ class Codec:
 _loaded: dict[str, Codec] = {}
 
 
-def _codec(model: bytes, pattern: str) -> Codec:
+def codec(model: bytes, pattern: str) -> Codec:
     """One codec per worker process, kept from task to task."""
     key = hashlib.sha256(model + pattern.encode()).hexdigest()
     if key not in _loaded:
@@ -134,10 +134,10 @@ def _run(df: DataFrame, path: str, pattern: str, keep: list[str], text: str, row
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", " + fields
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(model.value, pattern)
+        loaded = codec(model.value, pattern)
         for batch in batches:
             texts = [t or "" for t in batch.column(len(keep)).to_pylist()]
-            made = [row(codec, ids) for ids in codec.encode_batch(texts)]
+            made = [row(loaded, ids) for ids in loaded.encode_batch(texts)]
             columns = [list(column) for column in zip(*made)]
             names = [*batch.schema.names[:-1], *[f.split()[0] for f in fields.split(", ")]]
             yield pa.RecordBatch.from_arrays(batch.columns[:-1] + [pa.array(c) for c in columns], names=names)

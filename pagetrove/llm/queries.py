@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, quality, secrets, sharding
+from . import bpe, packing, quality, secrets, sharding
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -25,6 +25,11 @@ def op6_quality(spark, sf_dir):
     return quality.verdict(measured).select("doc_id", *quality.BASE, "base_failed", "kept")
 
 
+def op7_packing(spark, sf_dir):
+    docs = _documents(spark, sf_dir, "doc_id", "text")
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
 def op8_sharding(spark, sf_dir):
     placed = sharding.shard(_documents(spark, sf_dir, "doc_id", "text"), SHARDS)
     return placed.select(
@@ -52,5 +57,5 @@ def op10_secrets(spark, sf_dir):
     )
 
 
-LLM_QUERIES = {f.__name__: f for f in (op2_bpe, op6_quality, op8_sharding, op10_secrets)}
+LLM_QUERIES = {f.__name__: f for f in (op2_bpe, op6_quality, op7_packing, op8_sharding, op10_secrets)}
 LLM_ORACLES = {}
