@@ -3,11 +3,12 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality, secrets, sharding
+from . import bpe, packing, quality, secrets, sharding, simhash
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
 SHARDS = 24
+SHINGLE, RADIUS = 3, 2
 
 
 def _documents(spark, sf_dir, *columns):
@@ -20,6 +21,11 @@ def op2_bpe(spark, sf_dir):
     return bpe.digest(docs, path, public_tokenizers.PATTERN, ["doc_id"])
 
 
+def op5_simhash(spark, sf_dir):
+    found = simhash.cluster(_documents(spark, sf_dir, "doc_id", "text"), SHINGLE, RADIUS)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op6_quality(spark, sf_dir):
     measured = quality.measure(_documents(spark, sf_dir, "doc_id", "text"), "doc_id")
     return quality.verdict(measured).select("doc_id", *quality.BASE, "base_failed", "kept")
@@ -57,5 +63,5 @@ def op10_secrets(spark, sf_dir):
     )
 
 
-LLM_QUERIES = {f.__name__: f for f in (op2_bpe, op6_quality, op7_packing, op8_sharding, op10_secrets)}
+LLM_QUERIES = {f.__name__: f for f in (op2_bpe, op5_simhash, op6_quality, op7_packing, op8_sharding, op10_secrets)}
 LLM_ORACLES = {}
