@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality, secrets, sharding, simhash
+from . import bpe, packing, quality, secrets, sharding, simhash, substrings
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -21,6 +21,10 @@ def op2_bpe(spark, sf_dir):
     return bpe.digest(docs, path, public_tokenizers.PATTERN, ["doc_id"])
 
 
+def op3_substrings(spark, sf_dir):
+    return substrings.digest(_documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op5_simhash(spark, sf_dir):
     found = simhash.cluster(_documents(spark, sf_dir, "doc_id", "text"), SHINGLE, RADIUS)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -63,5 +67,5 @@ def op10_secrets(spark, sf_dir):
     )
 
 
-LLM_QUERIES = {f.__name__: f for f in (op2_bpe, op5_simhash, op6_quality, op7_packing, op8_sharding, op10_secrets)}
+LLM_QUERIES = {f.__name__: f for f in (op2_bpe, op3_substrings, op5_simhash, op6_quality, op7_packing, op8_sharding, op10_secrets)}
 LLM_ORACLES = {}
