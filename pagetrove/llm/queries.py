@@ -56,9 +56,12 @@ def op10_secrets(spark, sf_dir):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
     base = F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE_KINDS))
+
+    def number(kind):
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long")
+
     counts = [
-        F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}")
-        for k in secrets.BASE_KINDS
+        number(kind).alias(f"n_{kind}") for kind in secrets.BASE_KINDS
     ]
     return found.select(
         "doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),

@@ -67,11 +67,14 @@ def test_empty_table_and_clashing_columns(spark, documents):
     assert out.columns == clash.columns and out.first().text == secrets.REDACTED
 
 
-def test_query_digest(spark, sf_dir):
+def test_query_digest(spark):
+    sf_dir = "/root/testdata/sf0.01"
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     rows = queries.op10_secrets(spark, sf_dir).collect()
     assert len(rows) == len(texts)
     for row in rows:
+        kinds = [k for k, _, _ in expected(texts[row.doc_id])]
+        assert (row.n_assign, row.n_access, row.n_hex) == tuple(map(kinds.count, BASE))
         base = ",".join(f"{k}:{a}:{b}" for k, a, b in expected(texts[row.doc_id]))
         assert row.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
         assert set(filter(None, base.split(","))) <= set(row.spans.split(","))
