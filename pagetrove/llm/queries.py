@@ -41,9 +41,9 @@ def op7_packing(spark, sf_dir):
 
 
 def op8_sharding(spark, sf_dir):
-    placed = sharding.shard(_documents(spark, sf_dir, "doc_id", "text"), SHARDS)
-    return placed.select(
-        "doc_id", "size", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
+    docs = _documents(spark, sf_dir, "doc_id", "text").withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit(""))))
+    return sharding.shard(docs, SHARDS).select(
+        "doc_id", "size", "text_crc32",
         F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
     )
 
