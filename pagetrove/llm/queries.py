@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality, secrets, sharding, simhash, substrings
+from . import bpe, packing, quality, secrets, sharding, simhash, substrings, warc
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -15,6 +15,11 @@ def _documents(spark, sf_dir, *columns):
     return spark.read.schema(DOCUMENTS).parquet(f"{sf_dir}/documents.parquet").select(*columns or "*")
 
 
+def op1_warc(spark, sf_dir):
+    pages = spark.read.schema("page_id long, url string, html string").parquet(f"{sf_dir}/pages.parquet")
+    return warc.roundtrip(pages)
+
+
 def op2_bpe(spark, sf_dir):
     docs = _documents(spark, sf_dir, "doc_id", "text")
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -70,5 +75,19 @@ def op10_secrets(spark, sf_dir):
     )
 
 
-LLM_QUERIES = {f.__name__: f for f in (op2_bpe, op3_substrings, op5_simhash, op6_quality, op7_packing, op8_sharding, op10_secrets)}
-LLM_ORACLES = {}
+LLM_QUERIES = {f.__name__: f for f in (op1_warc, op2_bpe, op3_substrings, op5_simhash, op6_quality, op7_packing, op8_sharding, op10_secrets)}
+LLM_ORACLES = {
+    "op1_warc": """
+        WITH p AS (
+            SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
+        ), d AS (
+            SELECT page_id, octet_length(payload) AS n, sha256(payload) AS digest FROM p
+        ), f AS (
+            SELECT *, min(page_id) OVER (PARTITION BY digest) AS first FROM d
+        )
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+            CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
+        FROM f
+    """,
+}
