@@ -3,10 +3,11 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality, secrets, sharding, simhash, substrings, warc
+from . import bpe, neighbours, packing, quality, secrets, sharding, simhash, substrings, warc
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
+COSINE = 0.98
 SHARDS = 24
 SHINGLE, RADIUS = 3, 2
 
@@ -30,6 +31,11 @@ def op3_substrings(spark, sf_dir):
     return substrings.digest(_documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op4_embeddings(spark, sf_dir):
+    schema = "vec_id long, embedding array<float>, label int"
+    return neighbours.cluster(spark.read.schema(schema).parquet(f"{sf_dir}/embeddings.parquet"), COSINE).rows
+
+
 def op5_simhash(spark, sf_dir):
     found = simhash.cluster(_documents(spark, sf_dir, "doc_id", "text"), SHINGLE, RADIUS)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -75,7 +81,7 @@ def op10_secrets(spark, sf_dir):
     )
 
 
-LLM_QUERIES = {f.__name__: f for f in (op1_warc, op2_bpe, op3_substrings, op5_simhash, op6_quality, op7_packing, op8_sharding, op10_secrets)}
+LLM_QUERIES = {f.__name__: f for f in (op1_warc, op2_bpe, op3_substrings, op4_embeddings, op5_simhash, op6_quality, op7_packing, op8_sharding, op10_secrets)}
 LLM_ORACLES = {
     "op1_warc": """
         WITH p AS (
