@@ -26,7 +26,7 @@ from . import bpe
 from .shipping import map_arrow, ship
 from ..session import settle
 
-CHUNK_ROWS = 50_000
+CHUNK_ROWS = 1_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 SPANS = "length long, low long, high long, sequence long, per long, place long"
 
