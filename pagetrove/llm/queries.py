@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, neighbours, packing, quality, secrets, sharding, simhash, substrings, warc
+from . import bpe, licences, neighbours, packing, quality, secrets, sharding, simhash, substrings, warc
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -59,6 +59,10 @@ def op8_sharding(spark, sf_dir):
     )
 
 
+def op9_licences(spark, sf_dir):
+    return licences.scan(_documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op10_secrets(spark, sf_dir):
     docs = _documents(spark, sf_dir, "doc_id", "text", "lang", "source")
     found = secrets.scan(docs, owner="source", repository="lang", keep=["doc_id"])
@@ -81,7 +85,7 @@ def op10_secrets(spark, sf_dir):
     )
 
 
-LLM_QUERIES = {f.__name__: f for f in (op1_warc, op2_bpe, op3_substrings, op4_embeddings, op5_simhash, op6_quality, op7_packing, op8_sharding, op10_secrets)}
+LLM_QUERIES = {f.__name__: f for f in (op1_warc, op2_bpe, op3_substrings, op4_embeddings, op5_simhash, op6_quality, op7_packing, op8_sharding, op9_licences, op10_secrets)}
 LLM_ORACLES = {
     "op1_warc": """
         WITH p AS (
