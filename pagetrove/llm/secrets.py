@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import settle
-from .words import or_empty
+from .words import or_empty, pin
 
 # Fixed patterns of the base kinds and the smallest length of the group that decides.
 BASE = {
@@ -147,17 +147,22 @@ def scan(docs: DataFrame, owner: str, repository: str, keep: list[str]) -> DataF
     return plain.unionByName(held.select("_row.*", F.coalesce("spans", none).alias("spans")))
 
 
-def _without(text: Column, kind: str, hashes: Column) -> Column:
-    """``text`` with the matches of a kind replaced whose hash is listed, in one pass."""
+def _without(df: DataFrame, kind: str) -> DataFrame:
+    """Replaces in ``_new`` the matches of a kind whose hash is in ``_hashes``, in one pass."""
     pattern, group, _ = KINDS[kind]
-    every = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    gaps = F.split(text, pattern, -1)
-    pieces = F.transform(gaps, lambda gap, i: F.concat(gap, F.coalesce(
-        F.when(F.array_contains(hashes, F.sha2(F.get(values, i), 256)), F.lit(REDACTED)).otherwise(F.get(every, i)),
-        F.lit(""),
-    )))
-    return F.array_join(pieces, "")
+    text = F.col("_new")
+    parts = pin(df, "_m", F.struct(
+        F.split(text, pattern, -1).alias("gaps"),
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("every"),
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("values"),
+    ), "_row", "_hashes")
+
+    def piece(gap: Column, i: Column) -> Column:
+        listed = F.array_contains("_hashes", F.sha2(F.get("_m.values", i), 256))
+        match = F.when(listed, F.lit(REDACTED)).otherwise(F.get("_m.every", i))
+        return F.concat(gap, F.coalesce(match, F.lit("")))
+
+    return parts.select("_row", "_hashes", F.array_join(F.transform("_m.gaps", piece), "").alias("_new"))
 
 
 def redact(docs: DataFrame, owner: str = "source", repository: str = "lang") -> DataFrame:
@@ -172,9 +177,9 @@ def redact(docs: DataFrame, owner: str = "source", repository: str = "lang") ->
     found = settle(candidates(docs.where(suspect), owner, repository, []), "secret-candidates")
     judged = verdicts(found).select("_key", F.col("spans.hash").alias("_hashes"))
     rows = docs.where(suspect).select(F.struct(*docs.columns).alias("_row"), F.sha2(text, 256).alias("_key"))
-    out = rows.join(judged, "_key", "left").withColumn("_new", F.col("_row.text"))
+    out = rows.join(judged, "_key", "left").select("_row", "_hashes", F.col("_row.text").alias("_new"))
     for kind in KINDS:
-        out = out.withColumn("_new", _without(F.col("_new"), kind, F.col("_hashes")))
+        out = _without(out, kind)
     new = {"text": F.col("_new")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.length("_new").cast(docs.schema["n_chars"].dataType)
