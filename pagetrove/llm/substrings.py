@@ -8,14 +8,16 @@ least hash, so equal windows select equal phrases wherever they stand.
    everywhere belongs, with its windows, to its smallest document.
 2. Confirm: windows around the other recurring phrases are counted one by one; a window of two
    or more documents belongs to the smallest. What a document owns, joined, are its passages.
-3. Compile: passages are dealt to shards; a shard's automaton holds the phrases of its passages.
-4. Stream: the parts of every document that hold a phrase of a shard pass through its automaton.
-   A hit is extended in both directions against each passage that has the phrase and a smaller
-   document id, word by word; a common run of at least WINDOW words is a located occurrence.
+3. Compile: passages are dealt to shards by the smallest document that has the phrase, so copies of one
+   text meet in one shard. A shard's automaton holds the phrases of its passages.
+4. Stream: the parts of every document that hold recurring phrases pass through the automaton of their
+   shard. Around each located phrase the windows are looked up among those of the passages, and
+   a run of them that a smaller document has, word by word, is an occurrence.
 
 Hashes only choose what is compared; what is removed has been compared word by word. Groups are
-counted with partial sums, shards with much to stream are split into cells, each with a copy of
-the automaton, and a document's words are the largest thing a task holds at once.
+counted with partial sums. Every phrase of a document goes to one shard, so what is streamed grows
+with the input; shards with much to stream are split into cells, each with a copy of the
+automaton. A document's words are the largest thing a task holds at once.
 
 Null and empty texts have no words. Documents with a null id keep all words and own none. Rows of one
 id do not count against each other; equal rows get equal results. An empty table gives an empty result.
@@ -38,7 +40,7 @@ from .shipping import map_arrow
 
 WINDOW = 50
 PHRASE = 8
-SHARD_WORDS = 500_000
+SHARD_WORDS = 250_000
 CELL_WORDS = 20_000
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -132,99 +134,99 @@ def _mixed_windows(doc_id, h, text, keys, owners):
     return [(doc_id, h, k, w, p) for k, w, p in zip(own[at].tolist(), hashes.tolist(), at.tolist())]
 
 
-def _passages(doc_id, h, text, keys, owners, places):
-    """Merged word spans that the document owns, with their phrases."""
+def _by_least(words: list[bytes], groups: dict[int, list[tuple[int, int]]]):
+    """Merged spans of words by the smallest document of their phrases."""
+    for least, spans in groups.items():
+        for low, high in _merge(spans):
+            yield least, low, high, b" ".join(words[low:high]).decode()
+
+
+def _passages(doc_id, h, text, keys, owners, leasts, places):
+    """Word spans that the document owns."""
     whole = {k for k, owner in zip(keys, owners) if owner == doc_id}
+    least = dict(zip(keys, leasts))
     words = _split(text)
     sequence = Sequence(words)
-    spans = [(p, p + WINDOW) for p in places or ()]
+    groups: dict[int, list[tuple[int, int]]] = {}
+    for p in places or ():
+        key = int(sequence.phrases[sequence.selected[p]].view(np.int64))
+        groups.setdefault(least[key], []).append((p, p + WINDOW))
     for key, low, high in zip(sequence.keys().tolist(), sequence.low.tolist(), sequence.high.tolist()):
         if key in whole:
-            spans.append((low, high + WINDOW))
-    rows = []
-    for low, high in _merge(spans):
-        part = Sequence(words[low:high])
-        rows.append((doc_id, b" ".join(part.words).decode(), high - low, sorted(set(part.keys().tolist()))))
-    return rows
+            groups.setdefault(least[key], []).append((low, high + WINDOW))
+    return [(least, doc_id, high - low, part) for least, low, high, part in _by_least(words, groups)]
 
 
-def _segments(doc_id, h, text, keys, shards):
-    """Parts of the document that each shard must see: all windows around its phrases."""
+def _segments(doc_id, h, text, keys, leasts):
+    """Parts of the document around the phrases that a smaller document has."""
+    least = dict(zip(keys, leasts))
     words = _split(text)
     sequence = Sequence(words)
-    wanted: dict[int, set[int]] = {}
-    for key, shard in zip(keys, shards):
-        wanted.setdefault(key, set()).add(shard)
-    spans: dict[int, list[tuple[int, int]]] = {}
+    groups: dict[int, list[tuple[int, int]]] = {}
     for key, low, high in zip(sequence.keys().tolist(), sequence.low.tolist(), sequence.high.tolist()):
-        for shard in wanted.get(key, ()):
-            spans.setdefault(shard, []).append((low, high + WINDOW))
-    return [
-        (shard, doc_id, h, low, high - low, b" ".join(words[low:high]).decode())
-        for shard, own in spans.items() for low, high in _merge(own)
-    ]
+        if key in least:
+            groups.setdefault(least[key], []).append((low, high + WINDOW))
+    return [(least, doc_id, h, low, high - low, part) for least, low, high, part in _by_least(words, groups)]
 
 
 class Automaton:
-    """Phrases of the passages of one shard; locates common runs with passages of smaller ids."""
+    """Phrases and windows of the passages of one cell; locates what smaller documents have."""
 
     def __init__(self) -> None:
-        self.passages: list[tuple[int, Sequence]] = []
-        self.phrases: dict[tuple[int, ...], list[tuple[int, int]]] = {}
-        self.machine = None
+        self.passages: list[list[bytes]] = []
+        self.windows: dict[int, tuple[int, int, int]] = {}  # hash -> smallest owner, passage, place
+        self.machine = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
+        self.compiled = False
 
     def add(self, owner: int, text: str) -> None:
         sequence = Sequence(_split(text))
         letters = _letters(sequence)
         for at in np.unique(sequence.selected).tolist():
-            self.phrases.setdefault(letters[at : at + PHRASE], []).append((len(self.passages), at))
-        self.passages.append((owner, sequence))
-
-    def compile(self) -> None:
-        self.machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for phrase, places in self.phrases.items():
-            self.machine.add_word(phrase, places)
-        if self.phrases:
-            self.machine.make_automaton()
+            self.machine.add_word(letters[at : at + PHRASE])
+        starts = np.arange(sequence.windows)
+        number = len(self.passages)
+        for at, key in enumerate(sequence.spans(starts, starts + WINDOW).tolist()):
+            if key not in self.windows or owner < self.windows[key][0]:
+                self.windows[key] = (owner, number, at)
+        self.passages.append(sequence.words)
 
     def locate(self, doc_id: int, text: str) -> list[tuple[int, int]]:
         """Merged word spans of ``text`` that stand in passages of smaller documents."""
-        if self.machine is None:
-            self.compile()
-        if not self.phrases:
+        if not self.passages:
             return []
-        words = _split(text)
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-        reach: dict[tuple[int, int], int] = {}
+        if not self.compiled:
+            self.machine.make_automaton()
+            self.compiled = True
+        sequence = Sequence(_split(text))
+        ends = [end for end, _ in self.machine.iter(_letters(sequence))]
+        hit = np.zeros(len(sequence.words), bool)
+        hit[np.array(ends, np.int64) - (PHRASE - 1)] = True
+        at = np.flatnonzero(hit[sequence.selected])
         found = []
-        for end, places in self.machine.iter(tuple((hashes & np.uint64(0x7FFFFFFF)).tolist())):
-            start = end - PHRASE + 1
-            for number, at in places:
-                owner, passage = self.passages[number]
-                if owner >= doc_id or reach.get((number, start - at), -1) > end:
-                    continue
-                low, high = _common(hashes, passage.hashes, start, at)
-                reach[number, start - at] = max(high, end + 1)
-                shift = at - start
-                if high - low >= WINDOW and words[low:high] == passage.words[low + shift : high + shift]:
-                    found.append((low, high))
+        run = None  # first window, next window, passage, place in the passage less that in the text
+        for p, key in zip(at.tolist(), sequence.spans(at, at + WINDOW).tolist()):
+            entry = self.windows.get(key)
+            if entry is None or entry[0] >= doc_id:
+                continue
+            if run is not None and run[1] == p and run[2] == entry[1] and run[3] == entry[2] - p:
+                run = (run[0], p + 1, *run[2:])
+                continue
+            self._confirm(sequence.words, run, found)
+            run = (p, p + 1, entry[1], entry[2] - p)
+        self._confirm(sequence.words, run, found)
         return _merge(found)
 
+    def _confirm(self, words: list[bytes], run, found: list[tuple[int, int]]) -> None:
+        if run is not None:
+            low, high = run[0], run[1] - 1 + WINDOW
+            if words[low:high] == self.passages[run[2]][low + run[3] : high + run[3]]:
+                found.append((low, high))
+
 
 def _letters(sequence: Sequence) -> tuple[int, ...]:
     return tuple((sequence.hashes & np.uint64(0x7FFFFFFF)).tolist())
 
 
-def _common(a: np.ndarray, b: np.ndarray, start: int, at: int) -> tuple[int, int]:
-    """Span of ``a`` around ``start`` that equals ``b`` around ``at``."""
-    left = min(start, at)
-    differ = np.flatnonzero(a[start - left : start] != b[at - left : at])
-    low = start - left + (differ[-1] + 1 if len(differ) else 0)
-    right = min(len(a) - start, len(b) - at)
-    differ = np.flatnonzero(a[start : start + right] != b[at : at + right])
-    return int(low), int(start + (differ[0] if len(differ) else right))
-
-
 def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows by cell, passages (null start) before parts of documents."""
     cell, automaton = None, Automaton()
@@ -285,14 +287,14 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Found:
     flat = scan.where(F.col("doc_id").isNotNull()).select(
         "doc_id", "h", F.explode(F.arrays_zip("keys", "around")).alias("k")
     ).select("doc_id", "h", F.col("k.keys").alias("key"), "k.around")
+    one = F.col("one") == F.col("other")
     recurring = settle(flat.groupBy("key").agg(
         F.min("doc_id").alias("least"), F.max("doc_id").alias("most"),
         F.min("around").alias("one"), F.max("around").alias("other"),
-    ).where("least < most").select("key", F.when(F.col("one") == F.col("other"), F.col("least")).alias("owner")),
-        "recurring-phrases")
+    ).where("least < most").select("key", "least", F.when(one, F.col("least")).alias("owner")), "recurring-phrases")
     hits = flat.select("doc_id", "h", "key").join(recurring, "key").groupBy("doc_id", "h").agg(
-        F.collect_set(F.struct("key", "owner")).alias("hits")
-    ).select("doc_id", "h", F.col("hits.key").alias("keys"), F.col("hits.owner").alias("owners"))
+        F.collect_set(F.struct("key", "owner", "least")).alias("hits")
+    ).select("doc_id", "h", *[F.col(f"hits.{c}").alias(f"{c}s") for c in ("key", "owner", "least")])
     texts = _aside(rows.join(hits.hint("shuffle_hash"), ["doc_id", "h"]), "affected")
 
     mixed = texts.where(F.exists("owners", lambda o: o.isNull()))
@@ -301,46 +303,48 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Found:
         _mapper(_mixed_windows, [*KEY, ("key", pa.int64()), ("window", pa.int64()), ("place", pa.int32())]),
         KEY_DDL + ", key long, window long, place int",
     )
-    owned = windows.groupBy("key", "window").agg(
+    owned = settle(windows.groupBy("key", "window").agg(
         F.min(F.struct("doc_id", "h", "place")).alias("first"), F.max("doc_id").alias("most")
-    ).where("first.doc_id < most").select("first.*")
+    ).where("first.doc_id < most").select("key", "first.*"), "owned-windows")
     places = owned.groupBy("doc_id", "h").agg(F.collect_list("place").alias("places"))
     own = texts.join(places, ["doc_id", "h"], "left").where(
         F.col("places").isNotNull() | F.exists("owners", lambda o: F.coalesce(o == F.col("doc_id"), F.lit(False))))
     passages = settle(map_arrow(
-        own.select("doc_id", "h", "text", "keys", "owners", "places"),
-        _mapper(_passages, [("owner", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("keys", longs)]),
-        "owner long, text string, n_words long, keys array<long>",
+        own.select("doc_id", "h", "text", "keys", "owners", "leasts", "places"),
+        _mapper(_passages, [("least", pa.int64()), ("owner", pa.int64()), ("n_words", pa.int64()), ("text", pa.string())]),
+        "least long, owner long, n_words long, text string",
     ), "passages")
 
-    total = passages.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_WORDS))
-    dealt = passages.withColumn("shard", F.pmod(F.xxhash64("owner"), F.lit(shards)).cast("int"))
-    routes = dealt.select("shard", "owner", F.explode("keys").alias("key")).groupBy("key", "shard").agg(
-        F.min("owner").alias("least"))
-    wanted = texts.select("doc_id", "h", F.explode("keys").alias("key")).join(routes, "key").where(
-        F.col("least") < F.col("doc_id")).groupBy("doc_id", "h").agg(
-        F.collect_set(F.struct("key", "shard")).alias("to")
-    ).select("doc_id", "h", F.col("to.key").alias("to_keys"), F.col("to.shard").alias("to_shards"))
+    # Phrases that recur while none of their windows does are not streamed.
+    flat_hits = texts.select("doc_id", "h", F.explode(F.arrays_zip("keys", "owners", "leasts")).alias("k")).select(
+        "doc_id", "h", F.col("k.keys").alias("key"), F.col("k.owners").alias("owner"), F.col("k.leasts").alias("least")
+    ).where(F.col("least") < F.col("doc_id"))
+    sure = flat_hits.where(F.col("owner").isNotNull()).unionByName(
+        flat_hits.where(F.col("owner").isNull()).join(owned.select("key").distinct(), "key", "left_semi"))
+    wanted = sure.groupBy("doc_id", "h").agg(F.collect_set(F.struct("key", "least")).alias("to")).select(
+        "doc_id", "h", F.col("to.key").alias("to_keys"), F.col("to.least").alias("to_leasts"))
     segments = settle(map_arrow(
-        texts.join(wanted, ["doc_id", "h"]).select("doc_id", "h", "text", "to_keys", "to_shards"),
-        _mapper(_segments, [("shard", pa.int32()), *KEY, ("start", pa.int64()), ("n_words", pa.int64()), ("text", pa.string())]),
-        "shard int, doc_id long, h long, start long, n_words long, text string",
+        texts.join(wanted, ["doc_id", "h"]).select("doc_id", "h", "text", "to_keys", "to_leasts"),
+        _mapper(_segments, [("least", pa.int64()), *KEY, ("start", pa.int64()), ("n_words", pa.int64()), ("text", pa.string())]),
+        "least long, doc_id long, h long, start long, n_words long, text string",
     ), "segments")
 
-    # A cell streams at least four times the words of its automaton, so copies cost little.
-    held = dealt.groupBy("shard").agg(F.sum("n_words").alias("held"))
-    load = segments.groupBy("shard").agg(F.sum("n_words").alias("load"))
+    total = passages.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shard = F.pmod(F.xxhash64("least"), F.lit(max(parts, -(-total // SHARD_WORDS)))).cast("int")
+    books, pages = passages.withColumn("shard", shard), segments.withColumn("shard", shard)
+    # A cell streams at least as many words as its automaton holds, so copies cost little.
+    held = books.groupBy("shard").agg(F.sum("n_words").alias("held"))
+    load = pages.groupBy("shard").agg(F.sum("n_words").alias("load"))
     cells = settle(load.join(held, "shard").select("shard", F.ceil(
-        F.col("load") / F.greatest(F.lit(CELL_WORDS), F.col("held") * 4)).cast("int").alias("cells")), "cells")
-    books = dealt.join(cells, "shard").select(
+        F.col("load") / F.greatest(F.lit(CELL_WORDS), F.col("held"))).cast("int").alias("cells")), "cells")
+    copies = books.join(cells, "shard").select(
         "shard", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"),
         F.col("owner").alias("doc_id"), F.lit(None).cast("long").alias("h"), F.lit(None).cast("long").alias("start"), "text")
-    parts = segments.join(cells, "shard").select(
+    streamed = pages.join(cells, "shard").select(
         "shard", F.pmod(F.xxhash64("doc_id", "h", "start"), F.col("cells")).cast("int").alias("cell"),
         "doc_id", "h", "start", "text")
-    ready = books.unionByName(parts).repartition(
-        max(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))), "shard", "cell"
+    ready = copies.unionByName(streamed).repartition(max(parts, -(-total // SHARD_WORDS)), "shard", "cell"
     ).sortWithinPartitions("shard", "cell", F.col("start").asc_nulls_first())
     removed = map_arrow(ready, _stream, KEY_DDL + ", low long, high long")
     spans = removed.groupBy("doc_id", "h").agg(F.collect_set(F.struct("low", "high")).alias("s")).select(
