@@ -7,15 +7,15 @@ pages cannot overflow the stack.
 
 Where this differs from a tree builder:
 
-* a heading or ``nav`` ends at its first end tag, so one around another of the
-  same name is cut short; an unclosed one runs to the end of the page;
+* a ``nav`` ends at its first end tag, so one around another is cut short; an unclosed one
+  runs to the end of the page;
 * a title that holds child tags counts as no title;
-* named entities are those of HTML 4; a name without ``;`` must end at a character
-  that is neither a letter nor a digit.
+* a heading also ends where the next heading starts, so an unclosed one does not run on, and
+  one around another keeps what stands before the inner one.
 """
 
 import json
-from html.entities import name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -66,9 +66,16 @@ def strip_invisible(html: Column) -> Column:
     return F.regexp_replace(html, pattern, _GAP)
 
 
+# Looked up in order, so the usual ones come first.
+_USUAL = ("amp;", "quot;", "lt;", "gt;", "apos;", "nbsp;", "amp", "quot", "lt", "gt")
+
+# Names that count without ``;`` as well, even before a letter; the longest wins.
+_OPEN_NAMES = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
+
+
 def _entity_names() -> str:
     """Characters by entity name, and by code for 128-159, which mean Windows-1252."""
-    known = {name: chr(code) for name, code in name2codepoint.items()}
+    known = {name: html5[name] for name in _USUAL} | html5
     for code in range(128, 160):
         known[str(code)] = bytes([code]).decode("cp1252", errors="ignore") or chr(code)
     # ASCII only, so that no character needs quoting.
@@ -90,10 +97,15 @@ x -> CASE WHEN contains(x, '&') THEN array_join(transform(
        c -> coalesce(
          try_element_at(
            from_json(r'{_entity_names()}', 'map<string,string>'),
-           coalesce(cast(c AS string), regexp_replace(t, '[&;]', ''))),
+           coalesce(cast(c AS string), substr(t, 2))),
          CASE WHEN c BETWEEN 1 AND {0xD7FF} OR c BETWEEN {0xE000} AND {0x10FFFF}
            THEN decode(unhex(lpad(hex(c), 8, '0')), 'UTF-32') END,
-         CASE WHEN startswith(t, '&#') THEN '\ufffd' ELSE t END)), 1)
+         CASE WHEN startswith(t, '&#') THEN '\ufffd'
+           ELSE coalesce(
+             try_element_at(
+               from_json(r'{_entity_names()}', 'map<string,string>'),
+               regexp_extract(t, r'^&({_OPEN_NAMES})', 1)
+             ) || regexp_replace(t, r'^&(?:{_OPEN_NAMES})', ''), t) END)), 1)
        ELSE t END), '')
 ELSE x END
 """
@@ -162,8 +174,9 @@ def node_text(inner: Column) -> Column:
 def html_headings(html: Column) -> Column:
     """Cleaned h1 texts, then h2, then h3; null if none survives cleaning."""
     # One scan for all levels. The element after ``<`` is captured by looking ahead and
-    # only ``<`` is passed, so a heading inside another one is found as well.
-    inner = r"(?:[^<]++|<(?!/h\2[\s/>]))*+"
+    # only ``<`` is passed. It ends where the next one starts, so all captures together are
+    # no longer than the page.
+    inner = r"(?:[^<]++|<(?!(?:/h\2|h[1-6])[\s/>]))*+"
     found = F.regexp_extract_all(
         html, F.lit(rf"(?is)<(?=(h([1-3]){_AFTER_NAME}{_REST}{inner}))"), F.lit(1)
     )

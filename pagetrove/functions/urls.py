@@ -94,10 +94,22 @@ def resolve_link(link: Column, scheme: Column) -> Column:
     ).otherwise(link)
 
 
+# Groups: scheme, user, host, path of an absolute URL without query and fragment.
+_ABSOLUTE = r"(?s)^([a-zA-Z][a-zA-Z0-9+.\-]*+://)([^/@]*+@)?+([^/]*+)(.*)\z"
+
+
 def url_key(url: Column) -> Column:
-    """Key under which two URLs are one page: no fragment, query arguments sorted."""
+    """Key under which two URLs are one page.
+
+    No fragment, query arguments sorted, scheme and host in lower case, ``/`` for no path.
+    """
     bare = F.substring_index(url, "#", 1)
     path = F.substring_index(bare, "?", 1)
     query = F.substr(bare, F.length(path) + 2)
     ordered = F.array_join(F.sort_array(F.split(query, "&")), "&")
-    return F.when(query == "", path).otherwise(F.concat(path, F.lit("?"), ordered))
+    scheme, user, host, rest = (F.regexp_extract(path, _ABSOLUTE, i) for i in range(1, 5))
+    plain = F.when(
+        path.rlike(_ABSOLUTE),
+        F.concat(F.lower(scheme), user, F.lower(host), F.when(rest == "", F.lit("/")).otherwise(rest)),
+    ).otherwise(path)
+    return F.when(query == "", plain).otherwise(F.concat(plain, F.lit("?"), ordered))

@@ -7,17 +7,20 @@ from ..functions.urls import url_key
 
 
 def unique_url(docs: DataFrame, order: list[str], key: str = "url") -> DataFrame:
-    """Keep the earliest row per URL.
+    """Keep the earliest row per URL; rows without a URL stay, no two of them are copies.
 
-    An aggregate, not a window: every task reduces its copies to one before the
-    shuffle, so a URL that makes up a third of the rows is not one task's load.
+    ``order`` must identify a row among those of its URL. The earliest place of each URL comes from an aggregate over
+    narrow rows, combined per task before the shuffle; documents are only matched with the places of
+    the copies that lose, which Spark broadcasts while they are few. ``docs`` is read several times
+    and should be a written table.
     """
-    row = F.struct(*docs.columns)
-    return (
-        docs.groupBy(F.col(key).alias("_key"))
-        .agg(F.min_by(row, F.struct(*order)).alias("_row"))
-        .select("_row.*")
+    places = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.struct(*order).alias("_at"))
+    first = places.groupBy("_key").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    copied = first.where(F.col("_n") > 1).drop("_n")
+    lost = places.join(copied, "_key").where(F.col("_at") != F.col("_first")).select(
+        F.col("_key").alias(key), *[F.col("_at")[c].alias(c) for c in order]
     )
+    return docs.join(lost, [key, *order], "left_anti").select(*docs.columns)
 
 
 def frontier_dedup(urls: DataFrame, url: str = "url") -> DataFrame:

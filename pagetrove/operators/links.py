@@ -87,7 +87,7 @@ def expand_frontier(
 
     ``edges`` holds (src_key, dst_key), ``pages`` and ``seeds`` hold ``url_key``.
     Round by round: the links of the newest pages, distinct, not reached before,
-    present in the snapshot. Each round is written to the shared folder, so plans
+    present in the snapshot (links to other pages are dropped once, before the rounds). Each round is written to the shared folder, so plans
     stay short and a lost executor costs one round. Ends when a round finds
     nothing, so cycles are harmless.
 
@@ -95,7 +95,10 @@ def expand_frontier(
     but not shuffled. Page keys are distinct, so joins on them have no hot key.
     """
     pages = settle(pages.select("url_key").distinct(), "pages")
-    edges = settle(edges.select("src_key", "dst_key").distinct(), "edges")
+    inside = edges.select("src_key", "dst_key").distinct().join(
+        pages.withColumnRenamed("url_key", "dst_key"), "dst_key", "left_semi"
+    )
+    edges = settle(inside, "edges")
     newest, rows = settle_counted(pages.join(seeds.select("url_key"), "url_key", "left_semi"), "seeds")
     depth = 0
     reached = newest.withColumn("depth", F.lit(0))
@@ -103,7 +106,7 @@ def expand_frontier(
         depth += 1
         found = edges.join(newest, F.col("src_key") == F.col("url_key"), "left_semi")
         fresh = _not_reached(found.select(F.col("dst_key").alias("url_key")), reached)
-        newest, rows = settle_counted(pages.join(fresh, "url_key", "left_semi"), "frontier")
+        newest, rows = settle_counted(fresh, "frontier")
         reached = reached.unionByName(newest.withColumn("depth", F.lit(depth)))
         if depth % merge_every == 0:
             reached = settle(reached, "reached")

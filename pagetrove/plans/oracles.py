@@ -1,7 +1,7 @@
 """The registered queries restated in DuckDB SQL, for comparison only."""
 
 from ..functions.text import STOPWORDS
-from .queries import FRONTIER_DEPTH, HOUR, MANY, SEARCH, SEEN_GLOB, TURNS_TTL, WILDCARD_SEARCH
+from .queries import HOUR, MANY, SEARCH, SEEN_GLOB, TURNS_TTL, WILDCARD_SEARCH
 
 _SPACE = r"\x09-\x0d\x1c-\x1f\x{85}\p{Z}"
 _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
@@ -17,7 +17,7 @@ def _clean(x: str) -> str:
 
 def _decode(x: str) -> str:
     for name, char in (("quot", '"'), ("copy", "©"), ("middot", "·"), ("lt", "<"), ("gt", ">"), ("amp", "&")):
-        x = rf"regexp_replace({x}, '&{name}(?:;|\b)', '{char}', 'g')"
+        x = rf"regexp_replace({x}, '&{name};?', '{char}', 'g')"
     return x
 
 
@@ -34,7 +34,10 @@ def _key(url: str) -> str:
     path = f"split_part({bare}, '?', 1)"
     query = f"substr({bare}, length({path}) + 2)"
     ordered = f"array_to_string(list_sort(string_split({query}, '&')), '&')"
-    return f"CASE WHEN {query} = '' THEN {path} ELSE {path} || '?' || {ordered} END"
+    origin = f"regexp_extract({path}, '^[a-zA-Z]+://[^/]*')"
+    rest = f"substr({path}, length({origin}) + 1)"
+    plain = f"lower({origin}) || CASE WHEN {origin} <> '' AND {rest} = '' THEN '/' ELSE {rest} END"
+    return f"CASE WHEN {query} = '' THEN {plain} ELSE {plain} || '?' || {ordered} END"
 
 
 _SHOWN = (
@@ -187,11 +190,12 @@ SELECT {_key('url')} AS url_key, min(url) AS url FROM urls GROUP BY 1""",
 WITH RECURSIVE {_EDGES}, there AS (
   SELECT DISTINCT {_key('src_url')} AS a, {_key('dst_url')} AS b FROM edges),
 links_both AS (SELECT a, b FROM there UNION SELECT b, a FROM there),
-reach AS (
-  SELECT {_key('url')} AS k, 0 AS d FROM pages WHERE html NOT LIKE '%</html>'
+reach(k, d) USING KEY (k) AS (
+  SELECT {_key('url')}, 0 FROM pages WHERE html NOT LIKE '%</html>'
   UNION
-  SELECT l.b, d + 1 FROM reach JOIN links_both l ON l.a = k WHERE d < {FRONTIER_DEPTH})
-SELECT k AS url_key, min(d)::INTEGER AS depth FROM reach GROUP BY k""",
+  SELECT l.b, min(d) + 1 FROM reach JOIN links_both l ON l.a = k
+  WHERE l.b NOT IN (SELECT r.k FROM recurring.reach r) GROUP BY l.b)
+SELECT k AS url_key, d::INTEGER AS depth FROM reach""",
     "fetched_pages": f"SELECT page_id, url, md5(html) AS content_md5 FROM pages WHERE {_STATUS} = 200",
     "refused_pages": f"SELECT page_id, url, ({_STATUS})::INTEGER AS status FROM pages WHERE {_STATUS} <> 200",
     "crawl_stats_by_host": f"""

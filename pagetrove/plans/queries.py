@@ -38,7 +38,6 @@ MANY = ["the", "TION", "er%on", "_ich", "é", "{", "a b", "no such words", " ",
 SEEN_GLOB = "http*://*.example.[no]??/[a-e]?/*"
 HEAVY_ROWS = 1_000
 TURNS_TTL = 3
-FRONTIER_DEPTH = 5
 
 
 # --- inputs -----------------------------------------------------------------
@@ -287,7 +286,7 @@ def frontier_reach(spark, sf_dir):
     pages = page_keys(responses).unionByName(there.select(F.col("dst_key").alias("url_key")))
     _, refused = filter_status(responses)
     seeds = refused.select(url_key(F.col("url")).alias("url_key"))
-    return expand_frontier(edges, pages, seeds, FRONTIER_DEPTH)
+    return expand_frontier(edges, pages, seeds)
 
 
 # --- sightings --------------------------------------------------------------

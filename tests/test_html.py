@@ -94,7 +94,8 @@ def test_entities(spark):
         "&#0;&#xD800;&#x110000;&#99999999999999999999;": "����",
         "&#x1F600;&#128512;": "😀😀",
         "&#146;&#150;&eacute;&Eacute;": "’–éÉ",
-        "&copy&copyfoo; &": "©&copyfoo; &",
+        "&copy&copyfoo; &": "©©foo; &",
+        "Don&apos;t &nosuch; &NotEqualTilde; &hellip; &ampx &notit; &apos": "Don't &nosuch; ≂̸ … &x ¬it; &apos",
         "&#;&#x;&;": "&#;&#x;&;",
         "a & b": "a & b",
     }
@@ -106,3 +107,14 @@ def test_entities(spark):
 def test_first_or_last_of_repeated_attributes(spark):
     df = spark.createDataFrame([('<a x=1 x="2" y=3>',)], "t string")
     assert tuple(df.select(H.attribute(F.col("t"), "x"), H.attribute(F.col("t"), "x", last=True)).first()) == ("1", "2")
+
+
+def test_unclosed_headings_stay_linear(spark):
+    page = "<h2>word " * 40_000
+    df = spark.createDataFrame([(page,)], "h string").select(F.size(H.html_headings(F.col("h"))).alias("n"))
+    assert df.first().n == 40_000
+
+
+def test_a_heading_ends_where_the_next_starts(spark):
+    df = spark.createDataFrame([("<h1>one<h2>two</h2>three</h1><h3>four",)], "h string")
+    assert df.select(H.html_headings(F.col("h")).alias("x")).first().x == ["one", "two", "four"]

@@ -175,7 +175,7 @@ def test_hot_url_is_reduced_before_the_shuffle(spark):
     got = unique_url(rows, ["_seq"])
     assert got.count() == 2001 and got.where("url = 'hot'").first()._seq == -2997
     plan = got._jdf.queryExecution().executedPlan().toString()
-    assert "partial_min_by" in plan
+    assert "partial_min" in plan and "SortAggregate" not in got._jdf.queryExecution().toString()
 
 
 def test_array_text(spark):
