@@ -10,10 +10,12 @@ one task's work. Its time is cut into chunks. What a chunk does depends only on
 when it may first emit, an instant less than one TTL after its start: a step
 function, kept as rows (key, chunk, upto, leave). Step functions of neighbouring
 chunks compose. Heavy keys are solved by composing pairs of chunks, pairs of
-pairs and so on, until what is left of a key fits one array; then entries are
+pairs and so on, until one chunk is left, which is entered free; then entries are
 handed back down. Each level halves the number of functions and none has more
 steps than a TTL has sightings, so all levels together move about twice the
-sightings. Every step is spread over (key, chunk).
+sightings. Arrays hold at most ``fold_rows`` or ``chunk_rows`` instants; a chunk whose
+TTL has more is kept as rows. Two chunks meet in a sort by (key, pair), which spills; where
+one TTL holds most of a key's sightings, that sort is as large as they are.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,10 +24,11 @@ from pyspark.sql import functions as F
 from ..session import settle, settle_counted
 
 # Sightings of a key up to which they are walked as one sorted array.
-FOLD_ROWS = 10_000
+FOLD_ROWS = 1_024
 
-# Sightings of a chunk, or steps left of a key, that are handled as one array.
-CHUNK_ROWS = 4_096
+# Sightings of a chunk that are handled as one array. A walk copies what it has emitted
+# at every step, so arrays are kept short.
+CHUNK_ROWS = 1_024
 
 # Heavy keys up to which their list is broadcast: they are longs or URLs of limited length.
 BROADCAST_KEYS = 100_000
@@ -83,7 +86,7 @@ def _compose(instants: DataFrame, ttl: int, chunk_rows: int) -> DataFrame:
     """Emitted sightings of heavy keys; no step needs a whole key in one task."""
     # A chunk is as many TTLs as still fit an array everywhere, at least one.
     slices = instants.groupBy(
-        "key", ((F.col("t") - F.pmod(F.col("t"), F.lit(ttl))) / ttl).cast("long").alias("slice")
+        "key", F.expr(f"(t - pmod(t, {ttl}L)) div {ttl}L").alias("slice")
     ).agg(F.count("*").alias("n"))
     low, high, densest = slices.agg(F.min("slice"), F.max("slice"), F.max("n")).first()
     doublings = min((chunk_rows // densest).bit_length() - 1, (high - low).bit_length())
@@ -93,15 +96,16 @@ def _compose(instants: DataFrame, ttl: int, chunk_rows: int) -> DataFrame:
     at = F.pmod(since, F.lit(width))
     placed = settle(
         instants.select(
-            "key", ((since - at) / F.lit(width)).cast("long").alias("chunk"), at.alias("at"), "t", "id"
+            "key", F.expr(f"(t - {low * ttl}L) div {width}L").alias("chunk"), at.alias("at"), "t", "id"
         ),
         "chunks",
     )
     functions = _array_functions(placed, ttl, width) if in_arrays else _slice_functions(placed, ttl)
     levels = [settle(functions, "level")]
-    while _most_steps(levels[-1]) > chunk_rows and levels[-1].where("chunk > 0").limit(1).count():
+    while not levels[-1].where("chunk > 0").isEmpty():
         levels.append(settle(_join_pairs(levels[-1], ttl), "level"))
-    entries = settle(_enter_chunks(levels[-1]), "entries")
+    free = levels[-1].select("key", "chunk").distinct().withColumn("enter", F.lit(0).cast("long"))
+    entries = settle(free, "entries")
     for level in reversed(levels[:-1]):
         entries = settle(_enter_halves(entries, level), "entries")
     # What came before the entry of a chunk cannot be emitted.
@@ -112,11 +116,6 @@ def _compose(instants: DataFrame, ttl: int, chunk_rows: int) -> DataFrame:
     return first.select("key", "first.t", "first.id")
 
 
-def _most_steps(functions: DataFrame) -> int:
-    steps = functions.groupBy("key").agg(F.count("*").alias("n"))
-    return steps.agg(F.max("n")).first()[0]
-
-
 def _slice_functions(placed: DataFrame, ttl: int) -> DataFrame:
     """Step functions of chunks one TTL long.
 
@@ -147,44 +146,6 @@ def _array_functions(placed: DataFrame, ttl: int, width: int) -> DataFrame:
     return chunks.select("key", "chunk", F.inline(steps))
 
 
-def _enter_chunks(functions: DataFrame) -> DataFrame:
-    """Entry of every chunk (key, chunk, enter), each key walked from its first chunk."""
-    start = F.struct(
-        F.lit(_EVER).alias("chunk"),
-        F.lit(0).cast("long").alias("enter"),
-        F.lit(None).cast("long").alias("leave"),
-        F.array().cast("array<struct<chunk:bigint,enter:bigint>>").alias("out"),
-    )
-
-    def step(acc: Column, x: Column) -> Column:
-        begun = x["chunk"] == acc["chunk"]
-        # After a chunk without sightings the next one is free.
-        enter = (
-            F.when(begun, acc["enter"])
-            .when(x["chunk"] == acc["chunk"] + 1, F.coalesce(acc["leave"], F.lit(0)))
-            .otherwise(F.lit(0))
-        )
-        return F.element_at(
-            F.transform(
-                F.array(enter),
-                lambda e: F.struct(
-                    x["chunk"].alias("chunk"),
-                    e.alias("enter"),
-                    F.coalesce(F.when(begun, acc["leave"]), F.when(x["upto"] >= e, x["leave"])).alias("leave"),
-                    F.when(begun, acc["out"])
-                    .otherwise(F.array_append(acc["out"], F.struct(x["chunk"].alias("chunk"), e.alias("enter"))))
-                    .alias("out"),
-                ),
-            ),
-            1,
-        )
-
-    steps = functions.groupBy("key").agg(
-        F.sort_array(F.collect_list(F.struct("chunk", "upto", "leave"))).alias("all")
-    )
-    return steps.select("key", F.inline(F.aggregate(F.col("all"), start, step, lambda acc: acc["out"])))
-
-
 def _join_pairs(functions: DataFrame, ttl: int) -> DataFrame:
     """Compose chunk 2i with chunk 2i+1 into chunk i of the next level.
 

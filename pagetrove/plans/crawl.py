@@ -42,15 +42,16 @@ def crawl(responses: DataFrame, seeds: DataFrame, max_depth: int | None = None)
 def crawl_items(responses: DataFrame, ttl: int) -> DataFrame:
     """Responses that go into the feed: fetched, and not seen within the TTL.
 
-    ``responses`` holds url, status, content, the fetch instant ``t`` and a
-    unique ``id``. Sightings are judged on narrow rows; pages are only matched
-    with the ids of the suppressed few, which Spark broadcasts while they are
-    small.
+    ``responses`` holds url, status, content, the fetch instant ``t`` and an ``id`` that tells
+    fetches of one URL at one instant apart. Sightings are judged on narrow rows; pages are only
+    matched with the url, instant and id of the suppressed few, which Spark broadcasts while
+    they are small. A response without a URL has no key to be seen under; it is not suppressed.
     """
     fetched, _ = filter_status(responses)
     sightings = settle(fetched.select(F.col("url").alias("key"), "t", "id"), "sightings")
-    emitted = seen_within_ttl(sightings, ttl)
-    # A sighting without a URL has no key to be seen under; it is not suppressed.
-    keyed = sightings.where(F.col("key").isNotNull()).select("id")
-    suppressed = settle(keyed.join(emitted.select("id"), "id", "left_anti"), "suppressed")
-    return fetched.join(suppressed, "id", "left_anti")
+    emitted = seen_within_ttl(sightings, ttl).select("key", "t", "id")
+    keyed = sightings.where(F.col("key").isNotNull())
+    suppressed = settle(keyed.join(emitted, ["key", "t", "id"], "left_anti"), "suppressed")
+    return fetched.join(suppressed.withColumnRenamed("key", "url"), ["url", "t", "id"], "left_anti").select(
+        *fetched.columns
+    )

@@ -9,15 +9,19 @@ from ..operators.dedup import unique_url
 from ..operators.numbering import assign_id
 from ..operators.quarantine import judge, set_aside
 from ..schemas import ORDER
-from ..session import settle
+from ..session import settle, settle_counted
 from ..sources.store import (
     BATCH,
+    PART,
+    RUN,
     append_store,
     create_store,
+    is_batch,
     next_id,
     not_stored,
     read_store,
     to_stored_doc,
+    touched_parts,
 )
 
 
@@ -36,12 +40,14 @@ def ingest(
     batch: int,
     order: list[str] = ORDER,
     on_error: str = "quarantine",
+    run: str = "batch",
 ) -> IngestResult:
     """Store the good documents of a feed as one batch; first URL wins.
 
     Pages are parsed once, row by row, and written without their HTML. All later
     steps read that table: one shuffle by URL to find copies, one by arrival
-    order to number the rows. A batch that is run again replaces itself.
+    order to number the rows. A batch that is run again replaces itself; batches of
+    another ``run`` are left alone, whatever their number.
 
     ``on_error="fail"`` raises instead of setting bad records aside. Pages
     without a title or headings are skipped in either case.
@@ -50,17 +56,19 @@ def ingest(
         raise ValueError(f"on_error: {on_error}")
     spark = lines.sparkSession
     create_store(spark, store_path)
-    store = read_store(spark, store_path).where(F.col(BATCH) != batch)
-    judged = settle(judge(lines), "judged")
+    judged, rows = settle_counted(judge(lines), "judged")
     good = judged.where(F.col("reject_reason").isNull())
-    fresh = not_stored(unique_url(good, order), good.select("url"), store, good.count())
-    numbered = assign_id(fresh, order, next_id(store))
+    store = read_store(spark, store_path).where(
+        ~is_batch(run, batch) & F.col(PART).isin(touched_parts(good))
+    )
+    fresh = not_stored(unique_url(good, order), good.select("url"), store, rows)
+    numbered = assign_id(fresh, order, next_id(spark, store_path, run, batch))
     rejects = settle(set_aside(judged, numbered, order), "rejects")
     if on_error == "fail":
         counts = rejects.where(F.col("reject_reason") != "invalid").groupBy("reject_reason").count()
         faults = {r["reject_reason"]: r["count"] for r in counts.collect()}
         if faults:
             raise IngestError(f"bad records: {faults}")
-    append_store(to_stored_doc(numbered), store_path, batch)
-    stored = read_store(spark, store_path).where(F.col(BATCH) == batch).drop(BATCH)
+    append_store(to_stored_doc(numbered), store_path, run, batch)
+    stored = read_store(spark, store_path).where(is_batch(run, batch)).drop(RUN, BATCH, PART)
     return IngestResult(stored, rejects)

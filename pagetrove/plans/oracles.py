@@ -224,6 +224,37 @@ SELECT (SELECT count(*) FROM first_batch) + row_number() OVER (ORDER BY id), aut
     "assign_ids": "SELECT page_id, url, row_number() OVER (ORDER BY url, page_id) + 99 AS id FROM pages",
     "seen_users": _seen("user_id", 6 * HOUR),
     "seen_event_types": _seen("event_type", HOUR // 6),
+    "seen_whole_span": _seen("event_type", 100_000 * HOUR),
+    "dropped_users_stream": "SELECT user_id AS key, 1::BIGINT AS kept FROM events GROUP BY 1",
+    "feed_faults": """
+SELECT CASE doc_id % 10 WHEN 0 THEN 'corrupt_json' WHEN 1 THEN 'missing_url' WHEN 2 THEN 'missing_content'
+  WHEN 3 THEN 'invalid' WHEN 4 THEN 'invalid' WHEN 5 THEN 'too_long:title' WHEN 6 THEN 'too_long:author'
+  WHEN 7 THEN 'too_long:published_date' WHEN 8 THEN 'too_long:url' END AS reject_reason, count(*) AS records
+FROM documents GROUP BY 1""",
+    "feed_fields": """
+SELECT 'https://feed.example/' || doc_id AS url, 'It''s a title' AS title, source AS author, lang AS published_date,
+  '{heading}' AS content_text FROM documents WHERE doc_id % 10 = 9""",
+    "document_links": """
+WITH links(pos, href, target) AS (VALUES
+  (0, 'https://o.example/p#f', 'https://o.example/p#f'), (1, '//cdn.example/y', 'https://cdn.example/y'),
+  (2, 'foo/', '/foo/'), (3, 'mailto:x@y.z', '/x@y.z'), (4, '/a;v=1?q=2#f', '/a?q=2'), (5, '', '')),
+sources AS (
+  SELECT 'https://d' || doc_id || '.example' AS host, source, '/' || lang || '/x?n=' || n_chars AS rest
+  FROM documents WHERE doc_id % 5 > 1)
+SELECT host || rest AS src_url, pos, href || CASE WHEN pos = 2 THEN source ELSE '' END AS href,
+  CASE WHEN pos > 1 THEN host ELSE '' END || target || CASE WHEN pos = 2 THEN source ELSE '' END AS dst_url
+FROM sources, links""",
+    "crawl_next": f"""
+WITH shown AS (SELECT page_id, url, {_SHOWN} AS h FROM pages WHERE {_STATUS} = 200), {_NAV},
+edges AS (
+  SELECT regexp_extract(url, '^[a-z]+://[^/?#]*', 0) || regexp_replace(href, '#.*$', '') AS dst_url FROM links),
+targets AS (SELECT {_key('dst_url')} AS url_key, min(dst_url) AS url, count(*) AS links FROM edges GROUP BY 1)
+SELECT * FROM targets WHERE url_key NOT IN (SELECT {_key('url')} FROM pages WHERE {_STATUS} = 200)""",
+    "search_stored": f"""
+WITH {_DOCS}, stored AS (SELECT * REPLACE (row_number() OVER (ORDER BY id) AS id) FROM docs)
+SELECT * FROM stored WHERE {_ilike(_literal(f'%{SEARCH}%'))} ORDER BY id LIMIT 20""",
+    "clean_spoken": f"""
+SELECT conv_id, turn, {_clean("CASE WHEN role <> 'system' THEN text END")} AS cleaned FROM conversations""",
     "seen_users_stream": _seen("user_id", 6 * HOUR),
     "crawled_turns": f"""
 WITH RECURSIVE fetched AS (SELECT * FROM conversations WHERE role <> 'system'),

@@ -27,8 +27,8 @@ from ..sources.pages import filter_status, page_source, spread, to_raw_page
 from ..sources.seeds import seed_source
 from ..sources.store import scan_store, to_stored_doc
 from ..streaming.ingest import ingest_stream
-from ..streaming.seen import seen_stream
-from .crawl import crawl_items
+from ..streaming.seen import drop_seen, seen_stream
+from .crawl import crawl, crawl_items
 from .ingest import ingest
 
 HOUR = 3_600_000_000
@@ -38,6 +38,7 @@ MANY = ["the", "TION", "er%on", "_ich", "é", "{", "a b", "no such words", " ",
 SEEN_GLOB = "http*://*.example.[no]??/[a-e]?/*"
 HEAVY_ROWS = 1_000
 TURNS_TTL = 3
+STREAM_SLICES = 4
 
 
 # --- inputs -----------------------------------------------------------------
@@ -118,6 +119,12 @@ def clean_conversations(spark, sf_dir):
     return _conversations(spark, sf_dir).select("conv_id", "turn", clean_text(F.col("text")).alias("cleaned"))
 
 
+def clean_spoken(spark, sf_dir):
+    """Turns of the system count as null."""
+    said = F.when(F.col("role") != "system", F.col("text"))
+    return _conversations(spark, sf_dir).select("conv_id", "turn", clean_text(said).alias("cleaned"))
+
+
 def clean_benchmark(spark, sf_dir):
     items = _table(spark, sf_dir, "benchmark", "item_id long, text string")
     return items.select("item_id", clean_text(F.col("text")).alias("cleaned"))
@@ -231,6 +238,39 @@ def unique_sources(spark, sf_dir):
     return unique_url(docs, ["doc_id"]).select("url", "doc_id", "lang", "text")
 
 
+def _faulty_lines(spark, sf_dir):
+    """Documents as feed lines, nine of ten with one fault each."""
+    kind = F.col("doc_id") % 10
+    fault = lambda n, bad, good: F.when(kind == n, bad).otherwise(good)
+    long = F.repeat(F.lit("x"), F.lit(300))
+    html = F.concat(
+        F.lit("<title>"), fault(3, F.lit(""), fault(5, long, F.lit("It&apos;s a title"))),
+        F.lit('</title><meta name="author" content="'), fault(6, long, F.col("source")),
+        F.lit('"><time datetime="'), fault(7, F.repeat(F.lit("9"), F.lit(31)), F.col("lang")),
+        F.lit('"></time><h1>'), fault(4, F.lit("42 the"), F.lit("Heading&hellip; of ")), F.lit("</h1>"),
+    )
+    url = F.concat(F.lit("https://feed.example/"), F.col("doc_id").cast("string"), fault(8, long, F.lit("")))
+    line = F.to_json(F.struct(
+        F.when(kind != 1, url).alias("url"), F.when(kind != 2, html).alias("content")
+    ))
+    return _documents(spark, sf_dir).select(fault(0, F.left(line, F.length(line) - 5), line).alias("value"))
+
+
+def feed_faults(spark, sf_dir):
+    """Records of a feed by what is wrong with them; null counts the good ones."""
+    path = scratch_path(spark, "feed")
+    _faulty_lines(spark, sf_dir).write.text(path)
+    return judge(read_feed(spark, path)).groupBy("reject_reason").agg(F.count(F.lit(1)).alias("records"))
+
+
+def feed_fields(spark, sf_dir):
+    """What is stored of the good records."""
+    path = scratch_path(spark, "feed")
+    _faulty_lines(spark, sf_dir).write.text(path)
+    good = judge(read_feed(spark, path)).where(F.col("reject_reason").isNull())
+    return good.select("url", "title", "author", "published_date", "content_text")
+
+
 # --- links ------------------------------------------------------------------
 
 
@@ -245,6 +285,27 @@ def page_link_edges(spark, sf_dir):
     return link_edges(_pages(spark, sf_dir))
 
 
+def document_links(spark, sf_dir):
+    """Links of every kind from pages whose URL has a path, none, or parameters."""
+    host = F.concat(F.lit("https://d"), F.col("doc_id").cast("string"), F.lit(".example"))
+    kind = F.col("doc_id") % 5
+    query = F.concat(F.lit("/"), F.col("lang"), F.lit("/x?n="), F.col("n_chars").cast("string"))
+    url = F.concat(host, F.when(kind == 0, F.lit("")).when(kind == 1, F.lit("/a;p=1")).otherwise(query))
+    html = F.concat(
+        F.lit('<nav><a href="https://o.example/p#f">1</a><a href="//cdn.example/y">2</a><a href="foo/'),
+        F.col("source"), F.lit('">3</a><a href="mailto:x@y.z">4</a><a href="/a;v=1?q=2#f">5</a>'),
+        F.lit('<a name="no">6</a><a href="">7</a></nav>'),
+    )
+    return link_edges(_documents(spark, sf_dir).select(url.alias("url"), html.alias("content")))
+
+
+def crawl_next(spark, sf_dir):
+    """A whole crawl from the hosts and URLs of all pages: what it would fetch next."""
+    pages = _responses(spark, sf_dir)
+    return crawl(pages, pages.select(F.upper(F.substring_index("url", "/", 3)).alias("url")).unionByName(
+        pages.select("url"))).next_urls
+
+
 def page_url_parts(spark, sf_dir):
     pages = _pages(spark, sf_dir)
     parts = url_parts(F.col("url"))
@@ -270,7 +331,10 @@ def frontier_urls(spark, sf_dir):
 def undiscovered_seeds(spark, sf_dir):
     """Start URLs of which the snapshot has no page."""
     seeds = seed_source(spark).withColumn("url_key", url_key(F.col("url")))
-    return seeds.join(page_keys(_pages(spark, sf_dir)), "url_key", "left_anti").select("url")
+    # Only page keys that are seeds are counted; the fixed list of seeds is broadcast.
+    keys = _pages(spark, sf_dir).select(url_key(F.col("url")).alias("url_key"))
+    there = keys.join(F.broadcast(seeds.select("url_key")), "url_key", "left_semi").distinct()
+    return seeds.join(there, "url_key", "left_anti").select("url")
 
 
 def frontier_reach(spark, sf_dir):
@@ -301,19 +365,41 @@ def seen_event_types(spark, sf_dir):
     return seen_within_ttl(_events(spark, sf_dir, "event_type"), HOUR // 6, HEAVY_ROWS)
 
 
-def seen_users_stream(spark, sf_dir):
-    """The streaming form over the same events."""
-    events = _events(spark, sf_dir, "user_id")
-    feed = scratch_path(spark, "sightings")
-    events.write.parquet(feed)
-    out = scratch_path(spark, "emitted")
-    sightings = spark.readStream.schema(events.schema).parquet(feed)
-    seen_stream(
-        sightings, 6 * HOUR, out, scratch_path(spark, "state"), scratch_path(spark, "progress")
-    ).awaitTermination()
+def seen_whole_span(spark, sf_dir):
+    """A TTL longer than all events: every key lies within one."""
+    return seen_within_ttl(_events(spark, sf_dir, "event_type"), 100_000 * HOUR, HEAVY_ROWS)
+
+
+def _streamed_events(spark, sf_dir, run):
+    """Runs a stream once per time slice over the events that have arrived so far; returns what it wrote."""
+    events = settle(_events(spark, sf_dir, "user_id"), "events")
+    low, high = events.agg(F.min("t"), F.max("t")).first()
+    feed, out, progress = (scratch_path(spark, name) for name in ("sightings", "emitted", "progress"))
+    width = (high - low) // STREAM_SLICES + 1
+    for i in range(STREAM_SLICES):
+        arrived = events.where((F.col("t") >= low + i * width) & (F.col("t") < low + (i + 1) * width))
+        arrived.write.mode("append").parquet(feed)
+        stream = run(spark.readStream.schema(events.schema).parquet(feed))
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", progress).trigger(
+            availableNow=True
+        ).start().awaitTermination()
     return spark.read.schema(events.schema).parquet(out).select("key", "t", "id")
 
 
+def seen_users_stream(spark, sf_dir):
+    """The streaming form over the same events, in several micro-batches."""
+    return _streamed_events(spark, sf_dir, lambda stream: seen_stream(stream, 6 * HOUR))
+
+
+def dropped_users_stream(spark, sf_dir):
+    """Watermark de-duplication with a TTL longer than all events lets every key through once."""
+    def run(stream):
+        timed = stream.withColumn("ts", F.timestamp_micros("t"))
+        return drop_seen(timed, "key", "ts", 100_000 * 3600).drop("ts")
+
+    return _streamed_events(spark, sf_dir, run).groupBy("key").agg(F.count(F.lit(1)).alias("kept"))
+
+
 def crawled_turns(spark, sf_dir):
     """Conversations as pages fetched again at every turn, kept once per TTL."""
     refused = F.col("role") == "system"
@@ -322,7 +408,7 @@ def crawled_turns(spark, sf_dir):
         F.when(refused, 403).otherwise(200).alias("status"),
         F.col("text").alias("content"),
         F.col("turn").alias("t"),
-        F.xxhash64("conv_id", "turn").alias("id"),
+        F.col("turn").alias("id"),
     )
     return crawl_items(responses, TURNS_TTL).select("url", F.col("t").alias("turn"), "content")
 
@@ -338,6 +424,14 @@ def search_top20(spark, sf_dir):
     return search(_docs(spark, sf_dir), SEARCH)
 
 
+def search_stored(spark, sf_dir):
+    """Over the stored table: pages are parsed when they come in, not when they are searched."""
+    store = scratch_path(spark, "store")
+    pages = _pages(spark, sf_dir).select(F.col("page_id").alias("_seq"), "url", "content")
+    ingest(pages.withColumns({"_file": F.lit("a"), "_block": F.lit(0).cast("long")}), store, 0)
+    return search(scan_store(spark, store), SEARCH)
+
+
 def search_bound(spark, sf_dir):
     return search_sql(_docs(spark, sf_dir), SEARCH)
 
@@ -372,6 +466,7 @@ QUERIES = {
         undiscovered_links, undiscovered_seeds, frontier_urls, frontier_reach, fetched_pages,
         refused_pages, crawl_stats_by_host, unique_urls, unique_sources, feed_batches,
         feed_roundtrip, store_ingest, stream_ingest, assign_ids, seen_users, seen_event_types,
-        seen_users_stream, seen_pages_lookup, crawled_turns,
+        seen_users_stream, seen_pages_lookup, crawled_turns, seen_whole_span, dropped_users_stream,
+        feed_faults, feed_fields, document_links, crawl_next, search_stored, clean_spoken,
     )
 }

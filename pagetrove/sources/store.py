@@ -1,32 +1,47 @@
-"""The document store: parquet files, one folder per ingest batch.
+"""The document store: parquet files, one folder per run and batch, split by a hash of the URL.
 
-Each batch owns its folder and replaces it when it is run again, so a restarted
-job or a repeated micro-batch leaves no second copy.
+Batches are named by the run that writes them and their number in it, so streams and batch jobs
+on one store never replace each other's rows, while a batch that is run again replaces itself. One
+writer at a time: ids go on from the highest one stored.
 """
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import STORED_COLUMNS, STORED_DOC
 
-BATCH = "ingest_batch"
-_LAYOUT = T.StructType(STORED_DOC.fields + [T.StructField(BATCH, T.LongType())])
+RUN, BATCH, PART = "ingest_run", "ingest_batch", "url_part"
+_LAYOUT = T.StructType(
+    STORED_DOC.fields
+    + [T.StructField(RUN, T.StringType()), T.StructField(BATCH, T.LongType()), T.StructField(PART, T.IntegerType())]
+)
+
+# Parts of the store by URL; a batch reads only those that its URLs fall into.
+PARTS = 32
 
 # URLs are at most 255 characters, so this many are below 100 MB and safe to broadcast.
 BROADCAST_URLS = 100_000
 
 
+def url_part(url: Column) -> Column:
+    return F.pmod(F.xxhash64(url), F.lit(PARTS)).cast("int")
+
+
 def create_store(spark: SparkSession, path: str) -> None:
     """Create an empty store unless there is one."""
-    spark.createDataFrame([], _LAYOUT).write.mode("ignore").partitionBy(BATCH).parquet(path)
+    spark.createDataFrame([], _LAYOUT).write.mode("ignore").partitionBy(RUN, BATCH, PART).parquet(path)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """All stored rows with the number of the batch that wrote them."""
+    """All stored rows with the run and number of the batch that wrote them, and the URL part."""
     return spark.read.schema(_LAYOUT).parquet(path)
 
 
+def is_batch(run: str, batch: int) -> Column:
+    return (F.col(RUN) == run) & (F.col(BATCH) == batch)
+
+
 def scan_store(spark: SparkSession, path: str) -> DataFrame:
     """The seven stored columns."""
     return read_store(spark, path).select(*STORED_COLUMNS)
@@ -50,9 +65,15 @@ def to_stored_doc(docs: DataFrame) -> DataFrame:
     )
 
 
-def append_store(docs: DataFrame, path: str, batch: int) -> None:
-    """Write one batch. Running the same batch again replaces it."""
-    docs.select(*STORED_COLUMNS).write.mode("overwrite").parquet(f"{path}/{BATCH}={batch}")
+def append_store(docs: DataFrame, path: str, run: str, batch: int) -> None:
+    """Write one batch. Running the same batch of the same run again replaces it."""
+    rows = docs.select(*STORED_COLUMNS, url_part(F.col("url")).alias(PART))
+    rows.write.mode("overwrite").partitionBy(PART).parquet(f"{path}/{RUN}={run}/{BATCH}={batch}")
+    last = rows.sparkSession.read.schema(STORED_DOC).parquet(f"{path}/{RUN}={run}/{BATCH}={batch}").agg(
+        F.max("id").alias("last")
+    )
+    # Hidden from readers of the store by its leading underscore.
+    last.write.mode("overwrite").parquet(f"{path}/_last_ids/{RUN}={run}/{BATCH}={batch}")
 
 
 def not_stored(docs: DataFrame, urls: DataFrame, store: DataFrame, rows: int) -> DataFrame:
@@ -70,6 +91,14 @@ def not_stored(docs: DataFrame, urls: DataFrame, store: DataFrame, rows: int) ->
     return docs.join(known, "url", "left_anti")
 
 
-def next_id(store: DataFrame) -> int:
-    """Smallest id above all stored ones."""
-    return (store.agg(F.max("id")).first()[0] or 0) + 1
+def touched_parts(urls: DataFrame) -> list[int]:
+    """URL parts of a batch, at most PARTS numbers."""
+    return [row[0] for row in urls.select(url_part(F.col("url"))).distinct().collect()]
+
+
+def next_id(spark: SparkSession, path: str, run: str, batch: int) -> int:
+    """Smallest id above all stored by other batches; one small row per batch is read."""
+    layout = T.StructType([T.StructField("last", T.LongType()), *_LAYOUT.fields[-3:-1]])
+    spark.createDataFrame([], layout).write.mode("ignore").partitionBy(RUN, BATCH).parquet(f"{path}/_last_ids")
+    others = spark.read.schema(layout).parquet(f"{path}/_last_ids").where(~is_batch(run, batch))
+    return (others.agg(F.max("last")).first()[0] or 0) + 1

@@ -6,7 +6,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.ingest import ingest
 from ..schemas import FEED_LINE
-from ..sources.store import BATCH
+from ..sources.store import BATCH, RUN
 
 
 def stream_feed(spark: SparkSession, path: str, objects_per_trigger: int | None = None) -> DataFrame:
@@ -36,16 +36,18 @@ def ingest_stream(
 ) -> StreamingQuery:
     """Run ``ingest`` on every micro-batch; by default on what is there, then stop.
 
-    A micro-batch is a store batch, so one that is repeated after a failure
-    replaces what it wrote before.
+    A micro-batch is a store batch of the run that the checkpoint stands for, so one
+    that is repeated after a failure replaces what it wrote before, and streams with checkpoints of
+    their own do not touch each other's.
     """
 
     def run(lines: DataFrame, number: int) -> None:
+        name = lines.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
         result = ingest(
-            lines.withColumn("_seq", F.monotonically_increasing_id()), store_path, number
+            lines.withColumn("_seq", F.monotonically_increasing_id()), store_path, number, run=name
         )
         if rejects_path is not None:
-            result.rejects.write.mode("overwrite").parquet(f"{rejects_path}/{BATCH}={number}")
+            result.rejects.write.mode("overwrite").parquet(f"{rejects_path}/{RUN}={name}/{BATCH}={number}")
 
     return (
         stream_feed(spark, feed_path, objects_per_trigger)

@@ -1,11 +1,12 @@
 """Repeat sightings in a stream."""
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-
-from ..operators.seen import seen_within_ttl
-from ..session import settle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def drop_seen(sightings: DataFrame, key: str, ts: str, ttl_seconds: int) -> DataFrame:
@@ -18,52 +19,39 @@ def drop_seen(sightings: DataFrame, key: str, ts: str, ttl_seconds: int) -> Data
     return sightings.withWatermark(ts, f"{ttl_seconds} seconds").dropDuplicatesWithinWatermark([key])
 
 
-def seen_stream(
-    sightings: DataFrame,
-    ttl: int,
-    out_path: str,
-    state_path: str,
-    checkpoint: str,
-    lateness: int = 0,
-    trigger: dict | None = None,
-) -> StreamingQuery:
-    """``seen_within_ttl`` over a stream (key, t, id), written to ``out_path/batch=<n>``.
+def seen_stream(sightings: DataFrame, ttl: int, lateness: int = 0) -> DataFrame:
+    """``seen_within_ttl`` over a stream (key, t, id); ``t`` and ``ttl`` in microseconds.
 
-    Equal to the batch form if sightings arrive in time order. Between
-    micro-batches only each key's last emitted instant is kept, and no longer
-    than TTL plus ``lateness`` behind the newest one. A sighting older than its
-    key's last emitted one is suppressed. Each micro-batch reads the state of the
-    one before and writes its own, so it can be repeated after a failure.
+    Equal to the batch form if micro-batches arrive in time order. Spark keeps each key's last
+    emitted instant, and drops it TTL plus ``lateness`` later. A sighting older than its
+    key's last emitted one is suppressed. A task holds the instants of one key in one micro-batch.
     """
-    spark = sightings.sparkSession
-    rows_schema = sightings.select("key", "t", "id").schema
-    state_schema = sightings.select("key", "t").schema
-
-    def run(batch: DataFrame, number: int) -> None:
-        rows = settle(batch.select("key", "t", "id"), "sightings")
-        # The state holds one row per key, and the first sighting after it decides.
-        if number == 0:
-            emitted = settle(seen_within_ttl(rows, ttl), "emitted")
-            last = emitted.select("key", "t")
-        else:
-            state = spark.read.schema(state_schema).parquet(f"{state_path}/batch={number - 1}")
-            known = state.select("key", F.col("t").alias("last"))
-            due = rows.join(known, "key", "left").where(
-                F.col("last").isNull() | (F.col("t") >= F.col("last") + F.lit(ttl))
-            )
-            emitted = settle(seen_within_ttl(due.select("key", "t", "id"), ttl), "emitted")
-            last = emitted.select("key", "t").unionByName(state)
-        newest = last.agg(F.max("t")).first()[0]
-        kept = last.groupBy("key").agg(F.max("t").alias("t"))
-        if newest is not None:
-            kept = kept.where(F.col("t") + F.lit(ttl + lateness) > newest)
-        kept.write.mode("overwrite").parquet(f"{state_path}/batch={number}")
-        emitted.select("key", "t", "id").write.mode("overwrite").parquet(f"{out_path}/batch={number}")
-
-    spark.createDataFrame([], rows_schema).write.mode("ignore").parquet(f"{out_path}/batch=-1")
-    return (
-        sightings.writeStream.foreachBatch(run)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"availableNow": True}))
-        .start()
+    kind = sightings.schema["key"].dataType.simpleString()
+
+    def emit(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat([p[["t", "id"]] for p in parts]).sort_values(["t", "id"])
+        t = rows["t"].to_numpy()
+        due = state.get[0] + ttl if state.exists else None
+        at, kept = 0 if due is None else int(np.searchsorted(t, due)), []
+        while at < len(t):
+            kept.append(at)
+            due = int(t[at]) + ttl
+            at = int(np.searchsorted(t, due))
+        if due is not None:
+            state.update((due - ttl,))
+            forget = (due + lateness) // 1000 + 1
+            state.setTimeoutTimestamp(max(forget, state.getCurrentWatermarkMs() + 1))
+        if kept:
+            out = rows.iloc[kept].copy()
+            out.insert(0, "key", key[0])
+            yield out
+
+    timed = sightings.where(F.col("key").isNotNull()).select("key", "t", "id").withColumn(
+        "_ts", F.timestamp_micros("t")
+    ).withWatermark("_ts", f"{lateness} microseconds")
+    return timed.groupBy("key").applyInPandasWithState(
+        emit, f"key {kind}, t long, id long", "last long", "append", GroupStateTimeout.EventTimeTimeout
     )

@@ -101,3 +101,23 @@ def test_seeds(spark, tmp_path):
     assert seed_source(spark).count() == len(START_URLS) == 28
     (tmp_path / "seeds.txt").write_text("https://a/\nhttps://b/\n")
     assert seed_source(spark, str(tmp_path / "seeds.txt")).count() == 2
+
+
+def test_chains_longer_than_any_fixed_depth(spark):
+    edges = spark.createDataFrame([(f"p{i}", f"p{i + 1}") for i in range(14)], "src_key string, dst_key string")
+    pages = spark.createDataFrame([(f"p{i}",) for i in range(14)], "url_key string")
+    seeds = spark.createDataFrame([("p0",)], "url_key string")
+    got = {r.url_key: r.depth for r in expand_frontier(edges, pages, seeds).collect()}
+    assert got == {f"p{i}": i for i in range(14)}
+
+
+def test_a_bare_host_seed_reaches_its_page(spark):
+    from pagetrove.plans.crawl import crawl
+
+    pages = spark.createDataFrame(
+        [("https://dev.to/", 200, '<nav><a href="/x">x</a></nav>')], "url string, status int, content string"
+    )
+    for seed in ("https://dev.to", "HTTPS://Dev.To/#top"):
+        found = crawl(pages, spark.createDataFrame([(seed,)], "url string"))
+        assert [tuple(r) for r in found.reached.collect()] == [("https://dev.to/", 0)]
+        assert [r.url for r in found.next_urls.collect()] == ["https://dev.to/x"]

@@ -44,6 +44,22 @@ def test_every_way_equals_replay(spark, fold_rows, chunk_rows):
     assert run(spark, rows, 53, fold_rows, chunk_rows) == replay(rows, 53)
 
 
+def test_a_hot_key_within_one_ttl_is_never_an_array(spark, monkeypatch):
+    from pagetrove.operators import seen
+
+    plans = []
+
+    def settle(df, name, keep=seen.settle):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return keep(df, name)
+
+    monkeypatch.setattr(seen, "settle", settle)
+    rows = [("hot", t, t) for t in range(0, 10_000, 2)]
+    for ttl in (20_000, 5_000):
+        assert run(spark, rows, ttl, 64, 64) == replay(rows, ttl)
+    assert plans and not any("collect_list" in p for p in plans)
+
+
 def test_only_heavy_keys_take_the_distributed_way(spark):
     rng = random.Random(5)
     rows = [("hot", rng.randrange(5_000), i) for i in range(900)]

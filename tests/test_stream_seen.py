@@ -24,8 +24,14 @@ def sightings():
 def test_stream_equals_replay(spark, tmp_path):
     rows = sightings()
     out = str(tmp_path / "out")
-    stream = in_batches(spark, str(tmp_path / "in"), rows, 70)
-    seen_stream(stream, 600, out, str(tmp_path / "state"), str(tmp_path / "progress")).awaitTermination()
+    stream = in_batches(spark, str(tmp_path / "in"), rows, 30)
+    query = (
+        seen_stream(stream, 600, lateness=1).writeStream.format("parquet").outputMode("append")
+        .option("checkpointLocation", str(tmp_path / "progress")).option("path", out)
+        .trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    assert len({p["batchId"] for p in query.recentProgress if p["numInputRows"]}) > 3
     got = [tuple(r) for r in spark.read.schema(SCHEMA).parquet(out).select("key", "t", "id").collect()]
     assert len(got) == len(set(got)) and set(got) == replay(rows, 600)
 
