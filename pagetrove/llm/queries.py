@@ -100,4 +100,84 @@ LLM_ORACLES = {
             CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
         FROM f
     """,
+    "op3_substrings": r"""
+        WITH w AS (
+            SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+            FROM documents
+        ), places AS (
+            SELECT doc_id, words, unnest(range(greatest(len(words) - 49, 0))) AS p FROM w
+        ), windows AS (
+            SELECT doc_id, p, array_to_string(words[p + 1 : p + 50], ' ') AS gram FROM places
+        ), hit AS (
+            SELECT doc_id, p FROM windows QUALIFY min(doc_id) OVER (PARTITION BY gram) < doc_id
+        ), gone AS (
+            SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS p FROM hit
+        ), each AS (
+            SELECT doc_id, list(p) AS gone FROM gone GROUP BY doc_id
+        )
+        SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+            sha256(array_to_string(CASE WHEN gone IS NULL THEN words ELSE
+                list_filter(words, lambda x, i: NOT list_contains(gone, i - 1)) END, ' ')) AS kept_sha256
+        FROM w LEFT JOIN each USING (doc_id)
+    """,
+    "op4_embeddings": f"""
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+            WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+            ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= {COSINE}
+        ), reach(a, b) AS (
+            SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
+        ), least AS (
+            SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a
+        )
+        SELECT vec_id, (SELECT count(*) FROM links WHERE links.a = least.vec_id)::BIGINT AS n_links, component_id,
+            vec_id = component_id AS kept
+        FROM least
+    """,
 }
+
+
+def _quality_sql() -> str:
+    stops = "|".join(quality.STOP_WORDS)
+    rules = [
+        f"coalesce({rule.part}::DOUBLE / nullif({rule.whole}, 0) {sign} {bound}, true)"
+        for rule in quality.RULES for sign, bound in ((">=", rule.low), ("<=", rule.high)) if bound is not None
+    ]
+    return rf"""
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS text,
+                list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+                list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+            FROM documents
+        ), places AS (
+            SELECT doc_id, words, unnest(range(greatest(len(words) - 2, 0))) AS p FROM d
+        ), grams AS (
+            SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, words[p + 1], words[p + 2], words[p + 3]) AS n FROM places
+        ), covered AS (
+            SELECT DISTINCT doc_id, unnest([p, p + 1, p + 2]) AS p FROM grams WHERE n > 1
+        ), repeats AS (
+            SELECT doc_id, count(*) AS n_repeat_words FROM covered GROUP BY doc_id
+        ), m AS (
+            SELECT d.doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+                length(regexp_replace(text, '[^{quality.SYMBOLS}]+', '', 'g'))::BIGINT AS n_symbols,
+                (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+                coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines,
+                len(list_filter(words, lambda x, i: regexp_matches(x, '^(?:{stops})(?:$|[.,;:!?])')
+                    AND (i > 1 OR regexp_matches(text, '^[\x20\x09-\x0D]'))
+                    AND (i < len(words) OR regexp_matches(text, '[\x20\x09-\x0D]$')
+                        OR regexp_matches(x, '[.,;:!?]')))) AS n_stop_words,
+                len(regexp_extract_all(text, '[.!?:;…"”»)。][\x20\x09\x0B-\x0D]*(?:\n|\z)')) AS n_end_marks,
+                length(regexp_replace(text, '\P{{Lu}}+', '', 'g')) AS n_capitals,
+                length(regexp_replace(text, '\P{{L}}+', '', 'g')) AS n_letters
+            FROM d LEFT JOIN repeats USING (doc_id)
+        ), f AS (
+            SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m
+        )
+        SELECT doc_id, {", ".join(quality.BASE)}, base_failed, NOT base_failed AND {" AND ".join(rules)} AS kept FROM f
+    """
+
+
+LLM_ORACLES["op6_quality"] = _quality_sql()
