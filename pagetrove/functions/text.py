@@ -11,13 +11,12 @@ from pyspark.sql import functions as F
 SPACE = r"\t-\r\x1c-\x1f\x85\p{Z}"
 
 # The stop-word list.
-STOPWORDS = (
-    "the is in and to a of for on with "
-    "this that it are as at by an be but "
-    "not or from all if which when you your "
-    "they their my he she there what so "
-    "we us his her its can will would should"
-).split()
+STOPWORDS = [
+    "the", "is", "in", "and", "to", "a", "of", "for", "on", "with", "this", "that", "it", "are",
+    "as", "at", "by", "an", "be", "but", "not", "or", "from", "all", "if", "which", "when",
+    "you", "your", "they", "their", "my", "he", "she", "there", "what", "so", "we", "us", "his",
+    "her", "its", "can", "will", "would", "should",
+]
 
 
 def strip_punct(text: Column) -> Column:
