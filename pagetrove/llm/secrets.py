@@ -26,11 +26,14 @@ BASE = {
     "access": ("AKIA[A-Z0-9]+", 0, 16),
     "hex": ("[0-9a-f]+", 0, 32),
 }
-# A cheap pattern that every text with a span of the kind matches.
+# Patterns that every text with a span of the kind matches, the cheapest first. Runs are
+# tried from their start only.
 HINTS = {
-    "assign": BASE["assign"][0],
-    "access": "AKIA[A-Z0-9]{12}",
-    "hex": "[0-9a-f]{32}",
+    "assign": ("[:=]", BASE["assign"][0]),
+    "access": ("AKIA", "AKIA[A-Z0-9]{12}"),
+    "hex": ("(?<![0-9a-f])[0-9a-f]{32}",),
+    "issued": ("[_-]|AIza|eyJ", "(?=[gxsrAne])(?:gh[pos]_|github_pat_|glpat-|xox[abprs]-|[sr]k_live_|AIza|npm_|eyJ)"),
+    "mixed": ("(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32}",),
 }
 # Public formats of issued credentials, and long runs that mix digits with both cases.
 METHOD = {
@@ -63,6 +66,13 @@ def _running(lengths: Column) -> Column:
     ))
 
 
+def _may_hold(text: Column, kind: str) -> Column:
+    hit = F.lit(True)
+    for hint in HINTS[kind]:
+        hit = hit & text.rlike(hint)
+    return hit
+
+
 def _mixed(value: Column) -> Column:
     """Digits and letters of both cases, enough of them different."""
     return (
@@ -75,7 +85,7 @@ def _found(df: DataFrame, kind: str) -> DataFrame:
     """Adds the spans of one kind; texts that cannot hold any pay one search only."""
     pattern, group, least = KINDS[kind]
     text = F.col("_text")
-    hit = text.rlike(HINTS.get(kind, pattern))
+    hit = _may_hold(text, kind)
     none = F.array().cast("array<string>")
     df = df.withColumns({
         "_all": F.when(hit, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none),
@@ -173,7 +183,7 @@ def redact(docs: DataFrame, owner: str = "source", repository: str = "lang") ->
     text = or_empty(F.col("text"))
     suspect = F.lit(False)
     for kind in KINDS:
-        suspect = suspect | text.rlike(HINTS.get(kind, KINDS[kind][0]))
+        suspect = suspect | _may_hold(text, kind)
     found = settle(candidates(docs.where(suspect), owner, repository, []), "secret-candidates")
     judged = verdicts(found).select("_key", F.col("spans.hash").alias("_hashes"))
     rows = docs.where(suspect).select(F.struct(*docs.columns).alias("_row"), F.sha2(text, 256).alias("_key"))
