@@ -266,17 +266,21 @@ class Found:
         self.scan, self.changed = scan, changed
 
 
-def _aside(df: DataFrame, name: str) -> DataFrame:
-    """``df`` in the shared folder, bucketed by document, so that later joins do not move its texts."""
+def _aside(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` in the shared folder, bucketed by document, so that later joins do not move its texts.
+
+    Buckets need a table; its name is returned, to be dropped when nothing reads it any more.
+    """
     spark = df.sparkSession
     table = f"{name}_{uuid.uuid4().hex}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.bucketBy(parts, "doc_id", "h").option("path", scratch_path(spark, name)).option(
         "compression", "zstd").saveAsTable(table)
-    return spark.table(table)
+    return spark.table(table), table
 
 
-def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Found:
+def find(docs: DataFrame, key: str, text: str, wanted_columns: list[str]) -> Found:
+    """``changed`` has doc_id, h and the wanted ones of n_removed, kept_sha256 and kept_text."""
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
     longs = pa.list_(pa.int64())
@@ -295,7 +299,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Found:
     hits = flat.select("doc_id", "h", "key").join(recurring, "key").groupBy("doc_id", "h").agg(
         F.collect_set(F.struct("key", "owner", "least")).alias("hits")
     ).select("doc_id", "h", *[F.col(f"hits.{c}").alias(f"{c}s") for c in ("key", "owner", "least")])
-    texts = _aside(rows.join(hits.hint("shuffle_hash"), ["doc_id", "h"]), "affected")
+    texts, table = _aside(rows.join(hits.hint("shuffle_hash"), ["doc_id", "h"]), "affected")
 
     mixed = texts.where(F.exists("owners", lambda o: o.isNull()))
     windows = map_arrow(
@@ -354,14 +358,16 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Found:
         _mapper(_kept, [*KEY, ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())]),
         KEY_DDL + ", n_removed long, kept_sha256 string, kept_text string",
     )
-    return Found(scan.select("doc_id", "h", "n_words", "words_sha256"), changed.dropDuplicates(["doc_id", "h"]))
+    changed = changed.select("doc_id", "h", *wanted_columns).dropDuplicates(["doc_id", "h"])
+    changed = settle(changed, "changed-documents")
+    spark.sql(f"DROP TABLE {table}")
+    return Found(scan.select("doc_id", "h", "n_words", "words_sha256"), changed)
 
 
 def digest(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key, words, removed words and the digest of the kept words."""
-    found = find(docs, key, text)
-    changed = found.changed.select("doc_id", "h", "n_removed", "kept_sha256")
-    return found.scan.join(changed, ["doc_id", "h"], "left").select(
+    found = find(docs, key, text, ["n_removed", "kept_sha256"])
+    return found.scan.join(found.changed, ["doc_id", "h"], "left").select(
         F.col("doc_id").alias(key), "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("kept_sha256", "words_sha256").alias("kept_sha256"),
     )
@@ -369,8 +375,7 @@ def digest(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
 def remove(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the repeated words; other white space stays. ``n_chars`` follows the text."""
-    changed = settle(find(docs, key, text).changed.select("doc_id", "h", "kept_text"), "kept-texts")
-    changed = changed.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("kept_text").alias("_kept"))
+    changed = find(docs, key, text, ["kept_text"]).changed.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("kept_text").alias("_kept"))
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(key).cast("long").alias("_doc"), F.xxhash64(text).alias("_text"))
     out = rows.join(changed, (F.col("_doc") == F.col("_id")) & (F.col("_text") == F.col("_h")), "left")
     new = {text: F.coalesce("_kept", F.col("_row")[text])}
