@@ -180,4 +180,59 @@ def _quality_sql() -> str:
     """
 
 
+def _secrets_sql() -> str:
+    """Runs of a least length replace the filter on length where both find the same."""
+    words = ["password", "passwd", "secret", "token", "api_?key"]
+    keys = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in words)
+    patterns = {
+        "assign": (f"(?:{keys})[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)", 1, "length(value) >= 8"),
+        "access": ("AKIA[A-Z0-9]{12,}", 0, "true"),
+        "hex": ("[0-9a-f]{32,}", 0, "true"),
+    }
+    mixed = (
+        "regexp_matches(value, '[0-9]') AND regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]') "
+        f"AND len(list_distinct(string_split(value, ''))) >= {secrets.MIN_DISTINCT}"
+    )
+    patterns |= {
+        kind: (pattern, 0, f"length(value) >= {least} AND {mixed}") for kind, (pattern, _, least) in secrets.METHOD.items()
+    }
+    found = " UNION ALL ".join(
+        f"""
+            SELECT doc_id, source, first AS start, {rank} AS rank, first + length(every[i]) AS stop, '{kind}' AS kind, value
+            FROM (
+                SELECT *, vals[i] AS value,
+                    list_sum(list_transform(gaps[1:i], lambda x: length(x)))
+                    + coalesce(list_sum(list_transform(every[1:i - 1], lambda x: length(x))), 0) AS first
+                FROM (
+                    SELECT *, unnest(range(1, len(every) + 1)) AS i FROM (
+                        SELECT doc_id, source, string_split_regex(text, '{pattern}') AS gaps,
+                            regexp_extract_all(text, '{pattern}', 0) AS every,
+                            regexp_extract_all(text, '{pattern}', {group}) AS vals
+                        FROM documents WHERE regexp_matches(text, '{pattern}')
+                    )
+                )
+            ) WHERE {keep}
+        """
+        for rank, (kind, (pattern, group, keep)) in enumerate(patterns.items())
+    )
+    line = "string_agg(kind || ':' || start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY start, rank, stop)"
+    base = "kind IN ('assign', 'access', 'hex')"
+    return f"""
+        WITH found AS ({found}), owners AS (
+            SELECT value, count(DISTINCT source) >= {secrets.COPIED_OWNERS} AS copied FROM found GROUP BY value
+        ), judged AS (
+            SELECT * FROM found JOIN owners USING (value) WHERE {base} OR NOT copied
+        ), each AS (
+            SELECT doc_id, {line} AS spans, {line} FILTER (WHERE {base}) AS base,
+                {", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in secrets.BASE_KINDS)},
+                count(*) FILTER (WHERE NOT copied) AS n_owned, count(*) FILTER (WHERE copied) AS n_copied
+            FROM judged GROUP BY doc_id
+        )
+        SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in (*secrets.BASE_KINDS, "owned", "copied"))},
+            sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM documents LEFT JOIN each USING (doc_id)
+    """
+
+
 LLM_ORACLES["op6_quality"] = _quality_sql()
+LLM_ORACLES["op10_secrets"] = _secrets_sql()
