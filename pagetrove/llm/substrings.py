@@ -323,8 +323,10 @@ def find(docs: DataFrame, key: str, text: str, wanted_columns: list[str]) -> Fou
     flat_hits = texts.select("doc_id", "h", F.explode(F.arrays_zip("keys", "owners", "leasts")).alias("k")).select(
         "doc_id", "h", F.col("k.keys").alias("key"), F.col("k.owners").alias("owner"), F.col("k.leasts").alias("least")
     ).where(F.col("least") < F.col("doc_id"))
+    # Written, so that a frequent phrase can be split in the join.
+    confirmed = settle(owned.select("key").distinct(), "confirmed-phrases")
     sure = flat_hits.where(F.col("owner").isNotNull()).unionByName(
-        flat_hits.where(F.col("owner").isNull()).join(owned.select("key").distinct(), "key", "left_semi"))
+        flat_hits.where(F.col("owner").isNull()).join(confirmed, "key", "left_semi"))
     wanted = sure.groupBy("doc_id", "h").agg(F.collect_set(F.struct("key", "least")).alias("to")).select(
         "doc_id", "h", F.col("to.key").alias("to_keys"), F.col("to.least").alias("to_leasts"))
     segments = settle(map_arrow(
