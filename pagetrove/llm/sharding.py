@@ -21,6 +21,7 @@ OVERHEAD = 8
 PROBE_BITS = 12
 TOLERANCE = 0.001
 CHUNK_ROWS = 100_000
+CHUNK_BYTES = 1 << 20
 WIDTH = 62
 
 
@@ -85,7 +86,8 @@ def shard(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text")
     """``docs`` with size, shard and slot; sizes per shard differ by the tolerance or one row.
 
     ``slot`` counts from 0 in each shard without gaps. Rows are exchanged once, by shard and
-    chunk; a chunk holds some CHUNK_ROWS rows, so no task gets a whole shard.
+    chunk, with all their columns; a chunk holds some CHUNK_ROWS rows and CHUNK_BYTES bytes at
+    most, so no task gets a whole shard.
     """
     clear = (1 << WIDTH) - 1
     spread = docs.drop("size", "shard", "slot").withColumns({
@@ -104,7 +106,7 @@ def shard(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text")
             number = number + ((h > cut_h) | ((h == cut_h) & (d >= cut_d))).cast("int")
         return number
 
-    chunks = max(1, round(rows / shards / CHUNK_ROWS))
+    chunks = max(1, round(rows / shards / CHUNK_ROWS), round(total / shards / CHUNK_BYTES))
     chunk = F.pmod(F.col("d"), F.lit(chunks))
     counts = keys.select(shard_of(F.col("h"), F.col("d")).alias("shard"), chunk.alias("_chunk")).groupBy(
         "shard", "_chunk").count()

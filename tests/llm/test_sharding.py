@@ -1,6 +1,7 @@
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from pagetrove.llm import queries, sharding
 
@@ -39,3 +40,20 @@ def test_hot_text_nulls_and_ties(spark, documents, monkeypatch, chunk_rows):
 
 def test_empty(documents):
     assert sharding.shard(documents([]), 3).count() == 0
+
+
+def test_texts_move_with_their_rows(spark, sf_dir, monkeypatch):
+    real = sharding.shard
+    monkeypatch.setattr(sharding, "shard", lambda *a: real(*a).withColumn("text", F.concat(F.lit("out "), "text")))
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = queries.op8_sharding(spark, sf_dir).collect()
+    assert all(r.text_crc32 == zlib.crc32(f"out {texts[r.doc_id]}".encode()) for r in rows)
+
+
+@pytest.mark.parametrize("chunk_bytes", [1 << 20, 500])
+def test_chunks_by_bytes(documents, monkeypatch, chunk_bytes):
+    monkeypatch.setattr(sharding, "CHUNK_BYTES", chunk_bytes)
+    texts = [f"text {i} " * (i % 50) for i in range(400)]
+    rows = sharding.shard(documents(list(enumerate(texts))), 3).collect()
+    check(rows, texts, 3, 1000)
+    assert {r.doc_id: r.text for r in rows} == dict(enumerate(texts))
