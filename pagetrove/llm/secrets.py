@@ -12,7 +12,7 @@ and rows with null ids get equal spans. An empty table gives an empty result. In
 may have any names; only those asked for are read.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import settle
@@ -157,43 +157,62 @@ def scan(docs: DataFrame, owner: str, repository: str, keep: list[str]) -> DataF
     return plain.unionByName(held.select("_row.*", F.coalesce("spans", none).alias("spans")))
 
 
-def _without(df: DataFrame, kind: str) -> DataFrame:
-    """Replaces in ``_new`` the matches of a kind whose hash is in ``_hashes``, in one pass."""
-    pattern, group, _ = KINDS[kind]
-    text = F.col("_new")
+def _places(judged: DataFrame) -> DataFrame:
+    """_key, _places: start and end of what the spans of each text cover, overlapping ones merged, in order."""
+    flat = judged.select("_key", F.explode("spans").alias("s")).select("_key", "s.start", "s.end")
+    earlier = Window.partitionBy("_key").orderBy("start", "end")
+    reached = F.max("end").over(earlier.rowsBetween(Window.unboundedPreceding, -1))
+    opens = flat.withColumn("_opens", F.coalesce(F.col("start") >= reached, F.lit(True)).cast("int"))
+    numbered = opens.withColumn(
+        "_at", F.sum("_opens").over(earlier.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    merged = numbered.groupBy("_key", "_at").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return merged.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_places"))
+
+
+def _without(df: DataFrame) -> DataFrame:
+    """_row, _places and ``_new``, the text with REDACTED at the places; blocks keep it far from quadratic."""
+    text = or_empty(F.col("_row.text"))
     parts = pin(df, "_m", F.struct(
-        F.split(text, pattern, -1).alias("gaps"),
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("every"),
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("values"),
-    ), "_row", "_hashes")
+        F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)).alias("blocks"),
+        F.length(text).alias("length"),
+    ), "_row", "_places")
 
-    def piece(gap: Column, i: Column) -> Column:
-        listed = F.array_contains("_hashes", F.sha2(F.get("_m.values", i), 256))
-        match = F.when(listed, F.lit(REDACTED)).otherwise(F.get("_m.every", i))
-        return F.concat(gap, F.coalesce(match, F.lit("")))
+    def cut(start: Column, end: Column) -> Column:
+        first, last = (start / BLOCK).cast("int"), (end / BLOCK).cast("int")
+        head, tail = F.get("_m.blocks", first), F.coalesce(F.get("_m.blocks", last), F.lit(""))
+        between = F.slice("_m.blocks", first + 2, F.greatest(last - first - 1, F.lit(0)))
+        return F.when(start >= end, F.lit("")).when(
+            first == last, F.substring(head, start % BLOCK + 1, end - start)
+        ).otherwise(F.concat(
+            F.substring(head, start % BLOCK + 1, F.lit(BLOCK)), F.array_join(between, ""),
+            F.substring(tail, F.lit(1), end % BLOCK),
+        ))
 
-    return parts.select("_row", "_hashes", F.array_join(F.transform("_m.gaps", piece), "").alias("_new"))
+    def ended(i: Column) -> Column:
+        return F.coalesce(F.get("_places", i)["end"], F.lit(0))
+
+    kept = F.transform("_places", lambda s, i: F.concat(cut(ended(i - 1), s["start"]), F.lit(REDACTED)))
+    rest = cut(ended(F.size("_places") - 1), F.col("_m.length"))
+    return parts.select("_row", "_places", F.concat(F.array_join(kept, ""), rest).alias("_new"))
 
 
 def redact(docs: DataFrame, owner: str = "source", repository: str = "lang") -> DataFrame:
-    """``docs`` with every span replaced by REDACTED, kind by kind; other texts as they were.
+    """``docs`` with every span replaced by REDACTED at its place; other texts as they were.
 
-    Texts without a candidate are not moved.
+    Overlapping spans are replaced as one. Texts without a candidate are not moved.
     """
     text = or_empty(F.col("text"))
     suspect = F.lit(False)
     for kind in KINDS:
         suspect = suspect | _may_hold(text, kind)
     found = settle(candidates(docs.where(suspect), owner, repository, []), "secret-candidates")
-    judged = verdicts(found).select("_key", F.col("spans.hash").alias("_hashes"))
+    judged = _places(verdicts(found))
     rows = docs.where(suspect).select(F.struct(*docs.columns).alias("_row"), F.sha2(text, 256).alias("_key"))
-    out = rows.join(judged, "_key", "left").select("_row", "_hashes", F.col("_row.text").alias("_new"))
-    for kind in KINDS:
-        out = _without(out, kind)
+    out = _without(rows.join(judged, "_key", "left").select("_row", "_places"))
     new = {"text": F.col("_new")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.length("_new").cast(docs.schema["n_chars"].dataType)
-    changed = F.col("_hashes").isNotNull()
+    changed = F.col("_places").isNotNull()
     columns = [
         (F.when(changed, new[c]).otherwise(F.col("_row")[c]) if c in new else F.col("_row")[c]).alias(c)
         for c in docs.columns
