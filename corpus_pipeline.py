@@ -36,7 +36,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece with its sequence and place."""
+    """One row per piece with its token ids, its sequence and place."""
     return packing.pack(docs, public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
 
 

@@ -7,7 +7,7 @@ them, as often as it holds them; what fits nowhere opens new sequences. Equal se
 group, so the plan does not grow with the number of documents.
 
 Pieces take their places by rank among those of their length. Ranks are counted in chunks of
-the ids' hash, so no task numbers all pieces of a frequent length.
+the ids' hash, so no task numbers all pieces of a frequent length. The token ids go along.
 
 A null text is one end token. Long documents are cut into full pieces, the first piece takes the
 remainder. Repeated rows are pieces of their own; a null id is an id. An empty table gives an
@@ -15,7 +15,6 @@ empty result.
 """
 
 import bisect
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,14 +26,17 @@ from .shipping import map_arrow, ship
 from ..session import settle
 
 CHUNK_ROWS = 1_000
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = "doc_id long, piece int, start long, length long, ids binary"
 SPANS = "length long, low long, high long, sequence long, per long, place long"
 
 
 def pieces_of(
     docs: DataFrame, vocabulary: list[bytes], pattern: str, capacity: int, end: int, key: str = "doc_id"
 ) -> DataFrame:
-    """Pieces of all documents: ids of the whole text and the end token, cut to the capacity."""
+    """Pieces of all documents: ids of the whole text and the end token, cut to the capacity.
+
+    ``ids`` holds four bytes a token, lowest first.
+    """
     spark = docs.sparkSession
     ship(spark)
     model = spark.sparkContext.broadcast(bpe.serialise(vocabulary))
@@ -50,10 +52,10 @@ def pieces_of(
                 total = len(tokens) // 4
                 start, stop = 0, (total - 1) % capacity + 1
                 for piece in range(-(-total // capacity)):
-                    rows.append((own, piece, start, stop - start, zlib.crc32(tokens[4 * start : 4 * stop])))
+                    rows.append((own, piece, start, stop - start, tokens[4 * start : 4 * stop]))
                     start, stop = stop, stop + capacity
             fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()),
-                      ("length", pa.int64()), ("ids_crc32", pa.int64())]
+                      ("length", pa.int64()), ("ids", pa.binary())]
             columns = zip(*rows) if rows else [[]] * len(fields)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, kind) for c, (_, kind) in zip(columns, fields)], names=[n for n, _ in fields]
@@ -157,5 +159,10 @@ def place(pieces: DataFrame, capacity: int) -> DataFrame:
 
 
 def pack(docs: DataFrame, path: str, pattern: str, capacity: int = 2048, end: int = 0) -> DataFrame:
-    """All documents, by the vocabulary of a tokenizer file, in sequences of at most ``capacity`` ids."""
-    return place(pieces_of(docs, bpe.read_json(path), pattern, capacity, end), capacity)
+    """All documents, by the vocabulary of a tokenizer file, in sequences of at most ``capacity`` ids.
+
+    One row per piece with its ``ids``, their checksum, its sequence and its offset there: the ids
+    of a sequence are those of its pieces, by offset.
+    """
+    placed = place(pieces_of(docs, bpe.read_json(path), pattern, capacity, end), capacity)
+    return placed.withColumn("ids_crc32", F.crc32("ids"))

@@ -48,7 +48,8 @@ def op6_quality(spark, sf_dir):
 
 def op7_packing(spark, sf_dir):
     docs = _documents(spark, sf_dir, "doc_id", "text")
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    packed = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
 def op8_sharding(spark, sf_dir):

@@ -60,6 +60,21 @@ def test_nulls_ties_and_long_texts(spark, documents, monkeypatch, chunk_rows):
     assert packing.pack(documents([]), PATH, public_tokenizers.PATTERN).count() == 0
 
 
+def test_sequences_hold_the_tokens(documents):
+    texts = {i: f"word {i} " * (i % 40) for i in range(120)} | {900: None, 901: "x y z é😀 " * 300}
+    rows = packing.pack(documents(list(texts.items())), PATH, public_tokenizers.PATTERN, 64).collect()
+    sequences, documents_ = defaultdict(list), defaultdict(list)
+    for row in rows:
+        ids = np.frombuffer(row.ids, "<u4").tolist()
+        assert len(ids) == row.length and zlib.crc32(row.ids) == row.ids_crc32
+        sequences[row.sequence_id].append((row.offset, ids))
+        documents_[row.doc_id].append((row.piece, ids))
+    for key, text in texts.items():
+        assert [i for _, ids in sorted(documents_[key]) for i in ids] == ids_of(text)
+    assert all(sum(len(ids) for _, ids in own) <= 64 for own in sequences.values())
+    assert sum(len(ids) for own in sequences.values() for _, ids in own) == sum(len(ids_of(t)) for t in texts.values())
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_plan_fills_sequences(seed):
     chance = random.Random(seed)
