@@ -3,10 +3,11 @@
 Vectors are compared only under equal labels. Equal vectors are one class. The neighbour graph
 starts from the leaves of random projection trees: classes sorted by the signs of random projections,
 compared LEAF by LEAF. It is refined through neighbours of neighbours: all that list a class or
-are listed by it meet at that class and are compared there, until no list gains a link. A list holds LIST
+are listed by it meet at that class and are compared there, until no list changes. A list holds LIST
 neighbours; one that consists of links alone is saturated and is enlarged to all members of its
 component, which are compared in blocks. An audit compares a bounded sample of classes with all
-vectors; while it finds fewer than RECALL of the true links, more trees and rounds follow.
+vectors; while fewer than RECALL of their true links are found, the mean over those that have any, more
+trees and rounds follow, and after MORE attempts the job fails.
 
 What is linked has been compared in double precision. No group is gathered: leaves, meetings and blocks
 have a bounded number of rows, and dense groups yield links that span them, not all pairs.
@@ -33,10 +34,8 @@ TREES = 8
 SIGNS = 40
 LEAF = 256
 LIST = 12
-FLOOR = 0.9
 MEETING = 64
 BLOCK = 512
-ROUNDS = 6
 AUDIT = 512
 RECALL = 0.999
 MORE = 3
@@ -83,11 +82,11 @@ def _unit(vectors) -> np.ndarray:
 
 
 def _compare(ids: np.ndarray, unit: np.ndarray, threshold: float, size: int) -> list[tuple]:
-    """Best ``size`` neighbours of each row from FLOOR up, and links that span what is connected."""
+    """Best ``size`` neighbours of each row, and links that span what is connected."""
     cosine = unit @ unit.T
     np.fill_diagonal(cosine, -2)
     cosine[ids[:, None] == ids[None, :]] = -2
-    near = cosine >= FLOOR
+    near = cosine > -2
     busy = np.flatnonzero(near.any(axis=1))
     if not len(busy):
         return []
@@ -218,7 +217,10 @@ def _counts(members: DataFrame, threshold: float) -> DataFrame:
 
 
 def _audit(classes: DataFrame, counted: DataFrame, threshold: float) -> float:
-    """Found links over true links of AUDIT classes, each compared with all vectors."""
+    """Found links over true links, the mean over those of AUDIT classes that have any.
+
+    Each class is compared with all vectors and counts alike, so a hot group does not outweigh pairs.
+    """
     sample = classes.orderBy(F.xxhash64("cid"), "cid").limit(AUDIT).join(counted, "cid", "left").select(
         "cid", "label", "dim", "vec", F.coalesce("links", F.lit(0)).alias("links")).collect()
     if not sample:
@@ -235,18 +237,20 @@ def _audit(classes: DataFrame, counted: DataFrame, threshold: float) -> float:
             own: dict[tuple[str, int], list] = {}
             for label, dim, cid, copies, vec in _rows_of(batch):
                 own.setdefault((label, dim), []).append((cid, copies, vec))
-            links = 0
+            out = []
             for key, rows in own.items():
                 if key in queries.value:
                     ids, unit = queries.value[key]
                     linked = unit @ _unit([r[2] for r in rows]).T >= threshold
                     linked &= ids[:, None] != np.array([r[0] for r in rows])[None, :]
-                    links += int((linked @ np.array([r[1] for r in rows])).sum())
-            yield _batch([(links,)], [("links", pa.int64())])
+                    links = linked @ np.array([r[1] for r in rows])
+                    out += [(int(i), int(n)) for i, n in zip(ids, links) if n]
+            yield _batch(out, [("cid", pa.int64()), ("links", pa.int64())])
 
-    true = map_arrow(classes.select("label", "dim", "cid", "copies", "vec"), truth, "links long").agg(
-        F.coalesce(F.sum("links"), F.lit(0))).first()[0]
-    return sum(r.links for r in sample) / true if true else 1.0
+    true = map_arrow(classes.select("label", "dim", "cid", "copies", "vec"), truth, "cid long, links long").groupBy(
+        "cid").agg(F.sum("links").alias("links")).collect()
+    found = {r.cid: r.links for r in sample}
+    return sum(found[r.cid] / r.links for r in true) / len(true) if true else 1.0
 
 
 def cluster(vectors: DataFrame, threshold: float, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> Result:
@@ -258,14 +262,12 @@ def cluster(vectors: DataFrame, threshold: float, key: str = "vec_id", vector: s
         found = _leaves(classes, threshold, attempt * TREES)
         known = settle(found if known is None else found.unionByName(known), "neighbour-edges")
         lists = settle(_lists(known), "neighbour-lists")
-        links = lists.where(F.col("cosine") >= threshold).count()
-        for _ in range(ROUNDS):
+        while True:
             met = settle(_meet(lists, classes, threshold), "neighbour-edges")
             spans = known.where(F.col("cosine") >= threshold).unionByName(met.where(F.col("cosine") >= threshold))
             known = settle(spans.unionByName(lists).groupBy("a", "b").agg(F.max("cosine").alias("cosine")), "neighbour-edges")
-            lists = settle(_lists(lists.unionByName(met)), "neighbour-lists")
-            before, links = links, lists.where(F.col("cosine") >= threshold).count()
-            if links <= before:
+            before, lists = lists, settle(_lists(lists.unionByName(met)), "neighbour-lists")
+            if lists.join(before, ["a", "b"], "left_anti").isEmpty():
                 break
         named = components(known.where(F.col("cosine") >= threshold).select("a", "b"), "neighbour-links")
         members = settle(classes.join(named, F.col("cid") == F.col("node"), "left").select(
@@ -274,6 +276,8 @@ def cluster(vectors: DataFrame, threshold: float, key: str = "vec_id", vector: s
         recall = _audit(classes, counted, threshold)
         if recall >= RECALL:
             break
+    else:
+        raise RuntimeError(f"the audit of neighbours finds a recall of {recall:.4f}, below {RECALL}")
     smallest = members.groupBy("component").agg(F.min("least").alias("component_id"))
     per_class = members.join(smallest, "component").join(counted, "cid", "left").select(
         F.col("label").alias("_label"), F.col("vec").alias("_vec"),

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pagetrove.llm import neighbours, queries
 
@@ -66,5 +67,18 @@ def test_groups_edges_and_faults(spark, monkeypatch, small):
     assert result.recall >= 0.999
 
 
+def test_far_neighbours_stay_in_lists_and_audit_counts_classes_alike(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    unit = neighbours._unit(list(rng.standard_normal((20, 24))))
+    edges = neighbours._compare(np.arange(20), unit, 0.98, 4)
+    assert sorted(a for a, _, _ in edges) == sorted(4 * list(range(20)))
+    monkeypatch.setattr(neighbours, "_counts", lambda members, threshold: members.select(
+        "cid", F.when(F.col("copies") > 1, 1).otherwise(0).cast("long").alias("links")))
+    centre = rng.standard_normal(24)
+    rows = [(i, (centre + rng.standard_normal(24) * 0.001).tolist(), 0, "x") for i in range(4)]
+    with pytest.raises(RuntimeError, match="recall"):
+        neighbours.cluster(spark.createDataFrame(rows, SCHEMA), 0.98)
+
+
 def test_empty(spark):
     assert neighbours.cluster(spark.createDataFrame([], SCHEMA), 0.98).rows.count() == 0
