@@ -185,22 +185,27 @@ def _large_links(rows: DataFrame, tables: list[int], radius: int) -> DataFrame:
     return spread.join(least, ["keep", "rest"]).where("fp != b").select(F.col("fp").alias("a"), "b").distinct()
 
 
-def cluster(docs: DataFrame, shingle: int, radius: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, fp and component_id, one row per document."""
-    own = settle(fingerprints(docs, shingle, [key], text), "fingerprints")
+def cluster(
+    docs: DataFrame, shingle: int, radius: int, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """key, ``keep``, fp and component_id, one row per document."""
+    own = settle(fingerprints(docs, shingle, [key, *keep], text), "fingerprints")
     classes = settle(own.groupBy("fp").agg(F.min(key).alias("least")), "classes")
     labels = components(near_links(classes.select("fp"), radius), "simhash-links")
     named = classes.join(labels, F.col("fp") == F.col("node"), "left").select(
         "fp", "least", F.coalesce("component", "fp").alias("component"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
     of_class = named.join(smallest, "component").select("fp", "component_id")
-    return own.join(of_class, "fp").select(key, "fp", "component_id")
+    return own.join(of_class, "fp").select(key, *keep, "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int, radius: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the documents of a component that are not its smallest id.
 
-    Rows without an id stay; of rows that share the smallest id all stay.
+    Rows without an id stay; of rows that share the smallest id all stay. Rows that share an id
+    are told apart by the hash of their text.
     """
-    lost = cluster(docs, shingle, radius, key, text).where(F.col(key) != F.col("component_id"))
-    return docs.join(lost.select(key).distinct(), key, "left_anti").select(*docs.columns)
+    hashed = docs.withColumn("_text_hash", F.xxhash64(text))
+    lost = cluster(hashed, shingle, radius, key, text, ("_text_hash",)).where(F.col(key) != F.col("component_id"))
+    rest = hashed.join(lost.select(key, "_text_hash").distinct(), [key, "_text_hash"], "left_anti")
+    return rest.select(*docs.columns)

@@ -96,3 +96,10 @@ def test_nulls_ties_and_clashing_columns(spark, documents):
     assert kept.columns == docs.columns
     assert sorted((r.doc_id for r in kept.collect()), key=str) == [11, 20, 3, 3, 7, None]
     assert simhash.cluster(documents([]), 3, 2).count() == 0
+
+
+def test_a_repeated_id_loses_only_the_copy(documents):
+    one = " ".join(f"alpha{i} beta{i * 7}" for i in range(60))
+    other = " ".join(f"gamma{i * 3} delta{i}" for i in range(60))
+    kept = simhash.keep_one(documents([(1, one), (2, one), (2, other), (3, None)]), 3, 2).collect()
+    assert sorted((r.doc_id, r.text or "") for r in kept) == [(1, one), (2, other), (3, "")]
