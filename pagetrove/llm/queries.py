@@ -3,7 +3,9 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, licences, neighbours, packing, quality, secrets, sharding, simhash, substrings, warc
+from . import (
+    bpe, licences, neighbours, packing, quality, ranking, secrets, sharding, simhash, substrings, warc,
+)
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -86,7 +88,18 @@ def op10_secrets(spark, sf_dir):
     )
 
 
-LLM_QUERIES = {f.__name__: f for f in (op1_warc, op2_bpe, op3_substrings, op4_embeddings, op5_simhash, op6_quality, op7_packing, op8_sharding, op9_licences, op10_secrets)}
+def op13_ranking(spark, sf_dir):
+    items = spark.read.schema("item_id long, text string").parquet(f"{sf_dir}/benchmark.parquet")
+    return ranking.rank(_documents(spark, sf_dir, "doc_id", "text"), items)
+
+
+LLM_QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_warc, op2_bpe, op3_substrings, op4_embeddings, op5_simhash, op6_quality, op7_packing, op8_sharding,
+        op9_licences, op10_secrets, op13_ranking,
+    )
+}
 LLM_ORACLES = {
     "op1_warc": """
         WITH p AS (
@@ -235,5 +248,33 @@ def _secrets_sql() -> str:
     """
 
 
+def _ranking_sql() -> str:
+    terms = f"regexp_extract_all(translate(coalesce(text, ''), '{ranking.UPPER}', '{ranking.LOWER}'), '{ranking.TERM}')"
+    return f"""
+        WITH d AS (
+            SELECT doc_id, {terms} AS terms FROM documents
+        ), totals AS (
+            SELECT count(*) FILTER (WHERE len(terms) > 0) AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM d
+        ), wanted AS (
+            SELECT DISTINCT item_id, unnest({terms}) AS term FROM benchmark
+        ), tf AS (
+            SELECT doc_id, len(terms) AS n, term, count(*) AS tf
+            FROM (SELECT doc_id, terms, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM wanted)
+            GROUP BY ALL
+        ), weights AS (
+            SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w
+            FROM tf, totals GROUP BY term
+        ), gains AS (
+            SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms))) AS gain
+            FROM tf JOIN weights USING (term), totals
+        ), scores AS (
+            SELECT item_id, doc_id, sum(gain)::BIGINT AS score FROM wanted JOIN gains USING (term) GROUP BY ALL
+        )
+        SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score
+        FROM scores WHERE score > 0 QUALIFY rank <= 50
+    """
+
+
 LLM_ORACLES["op6_quality"] = _quality_sql()
+LLM_ORACLES["op13_ranking"] = _ranking_sql()
 LLM_ORACLES["op10_secrets"] = _secrets_sql()
