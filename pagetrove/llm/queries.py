@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from . import (
-    bpe, chat, licences, neighbours, packing, quality, ranking, secrets, sharding, simhash, substrings, warc,
+    bpe, chat, licences, negatives, neighbours, packing, quality, ranking, secrets, sharding, simhash, substrings, warc,
 )
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -88,6 +88,13 @@ def op10_secrets(spark, sf_dir):
     )
 
 
+def op11_negatives(spark, sf_dir):
+    schema = "vec_id long, embedding array<float>, label int"
+    rows = spark.read.schema(schema).parquet(f"{sf_dir}/embeddings.parquet")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 def op12_chat(spark, sf_dir):
     schema = "conv_id long, turn long, role string, text string"
     turns = spark.read.schema(schema).parquet(f"{sf_dir}/conversations.parquet")
@@ -108,7 +115,7 @@ LLM_QUERIES = {
     f.__name__: f
     for f in (
         op1_warc, op2_bpe, op3_substrings, op4_embeddings, op5_simhash, op6_quality, op7_packing, op8_sharding,
-        op9_licences, op10_secrets, op12_chat, op13_ranking,
+        op9_licences, op10_secrets, op11_negatives, op12_chat, op13_ranking,
     )
 }
 LLM_ORACLES = {
@@ -165,6 +172,27 @@ LLM_ORACLES = {
 }
 
 
+LLM_ORACLES["op11_negatives"] = """
+    WITH v AS (
+        SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+            list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+        FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), scored AS (
+        SELECT a.vec_id AS anchor_id, v.vec_id, a.label = v.label AS same, list_dot_product(a.e, v.e)::BIGINT AS score
+        FROM v a JOIN v ON len(a.e) = len(v.e) WHERE a.vec_id % 100 = 0
+    ), positives AS (
+        SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same AND vec_id <> anchor_id
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+    )
+    SELECT anchor_id, positive_id,
+        (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id))::INT AS rank,
+        vec_id AS negative_id, positive_score, score AS negative_score
+    FROM positives JOIN scored USING (anchor_id)
+    WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score QUALIFY rank <= 10
+"""
+
+
 def _quality_sql() -> str:
     stops = "|".join(quality.STOP_WORDS)
     rules = [
