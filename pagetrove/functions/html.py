@@ -5,13 +5,13 @@ recognised with quoted attribute values, so ``>`` inside quotes does not end a
 tag. Quantifiers over groups are possessive, which Java runs as loops: long
 pages cannot overflow the stack.
 
-Where this differs from a tree builder:
+What stands inside an element is found by the balance of its start and end tags, see
+``nesting``. Where this differs from a tree builder:
 
-* a ``nav`` ends at its first end tag, so one around another is cut short; an unclosed one
-  runs to the end of the page;
-* a title that holds child tags counts as no title;
-* a heading also ends where the next heading starts, so an unclosed one does not run on, and
-  one around another keeps what stands before the inner one.
+* only tags of the same name close an element, the end of an element around it does not;
+  an unclosed ``nav`` or content region runs to the end of the page;
+* an unclosed heading ends where the next heading starts;
+* a title that holds child tags counts as no title.
 """
 
 import json
@@ -20,7 +20,8 @@ from html.entities import html5
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import clean_words
+from .nesting import end_places, let, running_depth
+from .text import clean_text, clean_words
 
 # Rest of a tag after its name, up to and including the closing bracket.
 _TO_CLOSE = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+"""
@@ -44,11 +45,6 @@ def _until_end_tag(name: str) -> str:
     return rf"(?:[^<]++|<(?!/{name}[\s/>]))*+"
 
 
-def _element(name: str) -> str:
-    """Open tag and, as group 1, inner HTML."""
-    return rf"(?is)<{name}{_AFTER_NAME}{_REST}({_until_end_tag(name)})"
-
-
 def _raw_text_element(name: str) -> str:
     """Script-like element; a self-closed tag does not open one."""
     end = rf"(?:</{name}[^>]*+>)?+"
@@ -171,31 +167,95 @@ def node_text(inner: Column) -> Column:
     return decode_entities(F.regexp_replace(inner, rf"(?s)<[a-zA-Z/!?]{_REST}", " "))
 
 
+def _pieces(names: str) -> str:
+    """A tag of one of the names and what follows it, up to the next such tag."""
+    tag = rf"/?(?:{names}){_AFTER_NAME}"
+    return rf"(?is)<{tag}{_REST}(?:[^<]++|<(?!{tag}))*+"
+
+
+def _is_end(tag: Column) -> Column:
+    return F.startswith(tag, F.lit("</"))
+
+
+def _delta(tag: Column) -> Column:
+    return F.when(_is_end(tag), F.lit(-1)).otherwise(F.lit(1))
+
+
 def html_headings(html: Column) -> Column:
-    """Cleaned h1 texts, then h2, then h3; null if none survives cleaning."""
-    # One scan for all levels. The element after ``<`` is captured by looking ahead and
-    # only ``<`` is passed. It ends where the next one starts, so all captures together are
-    # no longer than the page.
-    inner = r"(?:[^<]++|<(?!(?:/h\2|h[1-6])[\s/>]))*+"
-    found = F.regexp_extract_all(
-        html, F.lit(rf"(?is)<(?=(h([1-3]){_AFTER_NAME}{_REST}{inner}))"), F.lit(1)
-    )
-    by_level = F.sort_array(
-        F.transform(
-            found,
-            lambda x, i: F.struct(
-                F.substring(x, 2, 1).alias("level"), i.alias("i"), F.concat(F.lit("<"), x).alias("x")
-            ),
-        )
-    )
-    cleaned = F.filter(
-        F.transform(by_level, lambda e: clean_words(node_text(e["x"]))), lambda x: x != ""
-    )
-    return F.try_element_at(F.filter(F.array(cleaned), lambda a: F.size(a) > 0), F.lit(1))
+    """Cleaned h1 texts, then h2, then h3; null if none survives cleaning.
+
+    A heading inside another counts for itself and as text of the outer one.
+    """
+    # One scan for all levels; h4 to h6 only end an unclosed heading before them.
+    found = F.regexp_extract_all(html, F.lit(_pieces("h[1-6]")), F.lit(0))
+
+    def level_of(piece: Column) -> Column:
+        return F.when(_is_end(piece), F.substring(piece, 4, 1)).otherwise(F.substring(piece, 3, 1))
+
+    def of_level(events: Column, level: int) -> Column:
+        """(place, end) of the headings of a level, in page order."""
+        return F.array_sort(end_places(F.filter(events, lambda e: e["level"] == str(level))))
+
+    def texts(pieces: Column, headings: Column, starts: Column, ranks: Column) -> Column:
+        def inner(e: Column) -> Column:
+            # Whole up to its end tag; without one up to the next start tag of any heading.
+            next_start = F.coalesce(F.get(starts, F.get(ranks, e["place"])), F.size(pieces))
+            stop = F.coalesce(e["end"], next_start)
+            whole = F.array_join(F.slice(pieces, e["place"] + 1, stop - e["place"]), _GAP)
+            return clean_words(node_text(whole))
+
+        return F.transform(headings, inner)
+
+    def all_texts(pieces: Column) -> Column:
+        events = F.transform(pieces, lambda p, i: F.struct(
+            i.alias("place"), _delta(p).alias("delta"), level_of(p).alias("level")))
+        headings = let(events, lambda e: F.concat(*[of_level(e, n) for n in (1, 2, 3)]))
+        starts = F.filter(
+            F.transform(pieces, lambda p, i: F.when(~_is_end(p), i)), lambda i: i.isNotNull())
+        # How many start tags there are up to each piece.
+        ranks = running_depth(F.transform(pieces, lambda p: F.when(_is_end(p), F.lit(0)).otherwise(F.lit(1))))
+        return let(starts, lambda s: let(ranks, lambda r: texts(pieces, headings, s, r)))
+
+    cleaned = F.filter(let(found, all_texts), lambda x: x != "")
+    return let(cleaned, lambda a: F.when(F.size(a) > 0, a))
 
 
 def nav_links(html: Column) -> Column:
     """``href`` of every anchor inside ``nav``, in page order, repeats kept."""
-    blocks = F.regexp_extract_all(html, F.lit(_element("nav")), F.lit(1))
-    anchors = F.regexp_extract_all(F.array_join(blocks, _GAP), F.lit(_open_tag("a")), F.lit(0))
-    return F.filter(F.transform(anchors, lambda t: attribute(t, "href")), lambda h: h.isNotNull())
+    found = F.regexp_extract_all(html, F.lit(rf"(?is)<(?:/?nav|a){_AFTER_NAME}{_REST}"), F.lit(0))
+
+    def is_anchor(tag: Column) -> Column:
+        return F.lower(F.substring(tag, 2, 1)) == "a"
+
+    def inside(tags: Column) -> Column:
+        depths = running_depth(F.transform(tags, lambda t: F.when(is_anchor(t), F.lit(0)).otherwise(_delta(t))))
+        return let(depths, lambda d: F.filter(tags, lambda t, i: is_anchor(t) & (F.get(d, i) > 0)))
+
+    hrefs = F.transform(let(found, inside), lambda t: attribute(t, "href"))
+    return F.filter(hrefs, lambda h: h.isNotNull())
+
+
+def html_div_content(html: Column) -> Column:
+    """Cleaned text of the first ``div`` that has the class ``content``; null without one or if it cleans to nothing.
+
+    The region runs to the end tag that balances its start tag.
+    """
+    found = F.regexp_extract_all(html, F.lit(_pieces("div")), F.lit(0))
+
+    def is_content(piece: Column) -> Column:
+        # Most tags are passed without a look at their attributes.
+        classes = F.when(~_is_end(piece) & F.contains(piece, F.lit("content")), attribute(piece, "class", last=True))
+        return F.coalesce(F.array_contains(F.split(classes, r"[\t\n\f\r ]+"), "content"), F.lit(False))
+
+    def region(pieces: Column, first: Column) -> Column:
+        inside = F.slice(pieces, first, F.size(pieces))
+        # Balance from the start tag on: its end tag is the first event after which it is zero.
+        closed = F.array_position(running_depth(F.transform(inside, _delta)), 0).cast("int")
+        kept = F.when(closed > 0, closed - 1).otherwise(F.size(pieces))
+        return let(inside, lambda p: F.array_join(F.slice(p, 1, kept), _GAP))
+
+    def text(pieces: Column) -> Column:
+        first = F.array_position(F.transform(pieces, is_content), True).cast("int")
+        return let(first, lambda i: F.when(i > 0, clean_text(node_text(region(pieces, i)))))
+
+    return let(found, text)

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.html import (
+    html_div_content,
     html_headings,
     html_meta,
     html_published_date,
@@ -24,6 +25,9 @@ FIELDS = {
     "title": lambda html, metas: html_title(html),
 }
 
+# Only extracted when named; nothing that is stored reads it.
+MORE_FIELDS = {"body_text": lambda html, metas: html_div_content(html)}
+
 
 def parse_pages(pages: DataFrame, fields: list[str] | None = None) -> DataFrame:
     """Document fields of each page; columns other than ``content`` are kept.
@@ -37,7 +41,7 @@ def parse_pages(pages: DataFrame, fields: list[str] | None = None) -> DataFrame:
     kept = [c for c in pages.columns if c != "content"]
     html, metas = F.col("_html"), F.col("_metas")
     wanted = list(FIELDS) if fields is None else fields
-    row = F.struct(*[FIELDS[f](html, metas).alias(f) for f in wanted])
+    row = F.struct(*[(FIELDS | MORE_FIELDS)[f](html, metas).alias(f) for f in wanted])
     visible = pages.withColumn("_html", strip_invisible(F.col("content")))
     return visible.withColumn("_metas", meta_tags(html)).select(*kept, F.inline(F.array(row)))
 

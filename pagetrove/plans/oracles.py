@@ -244,6 +244,18 @@ sources AS (
 SELECT host || rest AS src_url, pos, href || CASE WHEN pos = 2 THEN source ELSE '' END AS href,
   CASE WHEN pos > 1 THEN host ELSE '' END || target || CASE WHEN pos = 2 THEN source ELSE '' END AS dst_url
 FROM sources, links""",
+    "document_bodies": f"""
+SELECT doc_id, {_clean("""CASE doc_id % 4 WHEN 0 THEN text || ' tail' WHEN 2 THEN 'head ' || text || ' inner rest'
+  WHEN 3 THEN text END""")} AS body_text FROM documents""",
+    "nested_headings": f"""
+WITH t AS (SELECT doc_id, coalesce({_clean('text')}, '') AS c, doc_id % 3 AS kind FROM documents)
+SELECT doc_id, array_to_string(list_filter(CASE kind
+  WHEN 0 THEN ['first ' || c || ' last', c, 'third']
+  WHEN 1 THEN ['top', trim(c || ' second third'), 'second']
+  ELSE ['top small end', 'open', c] END, lambda x: x <> ''), '|').replace('first  last', 'first last') AS headings FROM t""",
+    "nested_nav_links": """
+SELECT doc_id, pos, href FROM documents JOIN (VALUES
+  (0, 0, '/one'), (0, 1, '/two'), (0, 2, '/three'), (1, 0, '/late')) AS v(kind, pos, href) ON doc_id % 2 = kind""",
     "crawl_next": f"""
 WITH shown AS (SELECT page_id, url, {_SHOWN} AS h FROM pages WHERE {_STATUS} = 200), {_NAV},
 edges AS (

@@ -8,7 +8,7 @@ lower headings, over-long titles, copies) come from ``documents`` and
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.html import nav_links, strip_invisible
+from ..functions.html import html_div_content, html_headings, nav_links, strip_invisible
 from ..functions.patterns import array_to_text
 from ..functions.text import clean_text
 from ..functions.urls import url_key, url_parts
@@ -171,6 +171,46 @@ def document_winners(spark, sf_dir):
     return split_duplicates(judged, ["doc_id"])[0].select("doc_id", "url", "title", "content_text")
 
 
+def _nested(spark: SparkSession, sf_dir: str, *html: str) -> DataFrame:
+    """Documents as pages of one of several layouts; ``{}`` stands for the escaped text."""
+    text = _escaped(F.col("text"))
+    layouts = [F.concat(*sum([[F.lit(part), text] for part in layout.split("{}")], [])[:-1]) for layout in html]
+    pick = F.element_at(F.array(*layouts), (F.col("doc_id") % len(html) + 1).cast("int"))
+    return _documents(spark, sf_dir).select("doc_id", strip_invisible(pick).alias("h"))
+
+
+BODY_LAYOUTS = (
+    "<div class=\"main content\"><div>{}</div><p>tail</p></div><div>out</div>",
+    "<div class='contents'>{}</div><div class='my-content CONTENT'>{}</div>",
+    "</div><DIV id=x CLASS=content>head<div>{}<div>inner</div></div><p>rest",
+    "<div><div title='content'>{}</div><div class='\tcontent\n'>{}</div>out</div><div class=content>late</div>",
+)
+HEADING_LAYOUTS = (
+    "<h1>first<h2>{}</h2>last</h1>out<h3>third",
+    "<h2>{}<h2>second</h2>third</h2></h2><h1>top</h1>",
+    "<h2>open<h2>{}</h2>out<H1>top<h5>small</h5>end</H1>",
+)
+NAV_LAYOUTS = (
+    "<nav><a href='/one'>{}</a><nav><a href='/two'></a></nav><a href='/three'></a></nav><a href='/out'></a>",
+    "</nav><a href='/out'></a><nav><p></nav></nav><a href='/out'></a><NAV><a href='/late'>{}</a>",
+)
+
+
+def document_bodies(spark, sf_dir):
+    """Content regions around, beside and inside other regions, closed and not."""
+    return _nested(spark, sf_dir, *BODY_LAYOUTS).select("doc_id", html_div_content(F.col("h")).alias("body_text"))
+
+
+def nested_headings(spark, sf_dir):
+    pages = _nested(spark, sf_dir, *HEADING_LAYOUTS)
+    return pages.select("doc_id", F.array_join(html_headings(F.col("h")), "|").alias("headings"))
+
+
+def nested_nav_links(spark, sf_dir):
+    pages = _nested(spark, sf_dir, *NAV_LAYOUTS)
+    return pages.select("doc_id", F.posexplode(nav_links(F.col("h"))).alias("pos", "href"))
+
+
 # --- responses and feeds ----------------------------------------------------
 
 
@@ -468,5 +508,6 @@ QUERIES = {
         feed_roundtrip, store_ingest, stream_ingest, assign_ids, seen_users, seen_event_types,
         seen_users_stream, seen_pages_lookup, crawled_turns, seen_whole_span, dropped_users_stream,
         feed_faults, feed_fields, document_links, crawl_next, search_stored, clean_spoken,
+        document_bodies, nested_headings, nested_nav_links,
     )
 }
