@@ -5,7 +5,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.grams import grams
 from ..functions.patterns import ilike_any, make_pattern
+from ..session import settle
 
 # Fixed value: rows per answer.
 RESULT_LIMIT = 20
@@ -14,6 +16,15 @@ SEARCHED = ("title", "description", "content")
 # Queries answered in one pass over the documents; more take further passes.
 QUERIES_PER_PASS = 64
 
+# Bytes of queries and their trigrams that one pass of anchored queries broadcasts, and how many queries without a
+# trigram there may be.
+QUERY_BYTES = 32_000_000
+SHORT_QUERIES = 4_096
+
+# Escapes and wildcards of a pattern; and what patterns are cut and texts are joined with.
+_WILD = r"(?s)(\\.)|[%_]"
+_CUT = "\u0000"
+
 
 def matches(query: str) -> Column:
     """Case-insensitive match in any searched column."""
@@ -73,13 +84,70 @@ def search_many(
 
 def _search_pass(docs: DataFrame, queries: list[str], limit: int) -> DataFrame:
     hits = F.array_compact(F.array(*[F.when(matches(q), F.lit(q)) for q in queries]))
+    return _first_per_query(docs.withColumn("q", F.explode(hits)), limit)
+
+
+def search_anchored(docs: DataFrame, queries: DataFrame, limit: int = RESULT_LIMIT) -> DataFrame:
+    """``search_many`` for a table of queries (column ``q``), thousands of them in one pass.
+
+    Every query is anchored at the rarest of its trigrams, by the number of documents. A document meets
+    only queries whose anchor it holds, and is matched with those. Queries are broadcast QUERY_BYTES at a time, so
+    documents are not shuffled, a frequent anchor is spread like its documents are, and tasks keep
+    ``limit`` rows per query. Queries without a trigram meet every document, QUERIES_PER_PASS at a time.
+    ``docs`` is read several times and should be a written table with distinct ids.
+    """
+    asked = settle(
+        queries.where(F.col("q") != "").select("q").distinct().withColumn("pattern", _pattern(F.col("q"))), "queries")
+    parts = F.filter(F.split(F.regexp_replace("pattern", _WILD, "$1" + _CUT), _CUT), lambda p: p != "")
+    literal = F.transform(parts, lambda p: F.regexp_replace(p, r"(?s)\\(.)", "$1"))
+    held = F.array_distinct(F.flatten(F.transform(literal, grams)))
+    asked = settle(asked.withColumn("grams", held).withColumn("_bytes", F.octet_length("q") + 64), "query-grams")
+    texts = F.concat_ws(_CUT * 3, *SEARCHED)
+    total, loose = asked.agg(
+        F.sum(F.when(F.size("grams") > 0, F.col("_bytes") * (1 + F.size("grams")))), F.count_if(F.size("grams") == 0)).first()
+    found = []
+    passes = -(-(total or 0) // QUERY_BYTES)
+    for n in range(passes):
+        own = asked.where((F.size("grams") > 0) & (F.pmod(F.xxhash64("q"), F.lit(passes)) == n))
+        wanted = own.select(F.explode("grams").alias("gram")).distinct()
+        in_docs = docs.select(F.explode(grams(texts)).alias("gram")).join(F.broadcast(wanted), "gram")
+        often = in_docs.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+        # Anchors that no document holds are left out: such a query has no match.
+        rarest = own.select("q", "pattern", F.size("grams").alias("size"), F.explode("grams").alias("gram")).join(
+            often, "gram").groupBy("q", "pattern", "size").agg(
+                F.min(F.struct("n", "gram")).alias("anchor"), F.count(F.lit(1)).alias("there"))
+        anchored = settle(
+            rarest.where(F.col("there") == F.col("size")).select("q", "pattern", F.col("anchor.gram").alias("gram")), "anchors")
+        # The document goes along as a struct, so that no column of its own meets one of ours.
+        meeting = docs.select(F.struct(*docs.columns).alias("_d"), F.explode(grams(texts)).alias("gram"))
+        met = meeting.join(F.broadcast(anchored), "gram")
+        hit = F.lit(False)
+        for column in SEARCHED:
+            hit = hit | F.coalesce(F.call_function("ilike", F.col(f"_d.{column}"), F.col("pattern")), F.lit(False))
+        found.append(_first_per_query(met.where(hit).select("q", "_d.*"), limit))
+    if loose:
+        # Anything under three characters in a row; collected only as the constants of a pass.
+        short = [r["q"] for r in asked.where(F.size("grams") == 0).orderBy("q").limit(SHORT_QUERIES + 1).collect()]
+        if len(short) > SHORT_QUERIES:
+            raise ValueError(f"more than {SHORT_QUERIES} queries without three literal characters in a row")
+        found.append(search_many(docs, short, limit).select("q", *docs.columns))
+    if not found:
+        return docs.limit(0).select(F.lit("").alias("q"), *docs.columns)
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _pattern(query: Column) -> Column:
+    """``make_pattern`` of a column."""
+    # A backslash before any other character goes; pairs are passed over whole.
+    return F.regexp_replace(F.concat(F.lit("%"), query, F.lit("%")), r"(?s)(\\[\\%_])|\\", "$1")
+
+
+def _first_per_query(hits: DataFrame, limit: int) -> DataFrame:
     first = Window.partitionBy("q").orderBy("id")
-    return (
-        docs.withColumn("q", F.explode(hits))
-        .withColumn("_rank", F.row_number().over(first))
-        .where(F.col("_rank") <= limit)
-        .drop("_rank")
-    )
+    return hits.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= limit).drop("_rank")
 
 
 def display(results: DataFrame) -> DataFrame:

@@ -2,17 +2,17 @@
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..operators.dedup import unique_url
 from ..operators.numbering import assign_id
 from ..operators.quarantine import judge, set_aside
 from ..schemas import ORDER
-from ..session import settle, settle_counted
+from ..session import settle
 from ..sources.store import (
     BATCH,
-    PART,
+    FILE_ROWS,
     RUN,
     append_store,
     create_store,
@@ -21,7 +21,6 @@ from ..sources.store import (
     not_stored,
     read_store,
     to_stored_doc,
-    touched_parts,
 )
 
 
@@ -41,13 +40,14 @@ def ingest(
     order: list[str] = ORDER,
     on_error: str = "quarantine",
     run: str = "batch",
+    file_rows: int = FILE_ROWS,
 ) -> IngestResult:
     """Store the good documents of a feed as one batch; first URL wins.
 
-    Pages are parsed once, row by row, and written without their HTML. All later
-    steps read that table: one shuffle by URL to find copies, one by arrival
-    order to number the rows. A batch that is run again replaces itself; batches of
-    another ``run`` are left alone, whatever their number.
+    Pages are parsed once, row by row, and written without their HTML. Every record that the store is
+    asked to take gets the next id in arrival order, whether it is taken or refused as over-long or a copy,
+    so refused ones leave gaps. All later steps read that numbered table. A batch that is run again
+    replaces itself; batches of another ``run`` are left alone, whatever their number.
 
     ``on_error="fail"`` raises instead of setting bad records aside. Pages
     without a title or headings are skipped in either case.
@@ -56,19 +56,21 @@ def ingest(
         raise ValueError(f"on_error: {on_error}")
     spark = lines.sparkSession
     create_store(spark, store_path)
-    judged, rows = settle_counted(judge(lines), "judged")
-    good = judged.where(F.col("reject_reason").isNull())
-    store = read_store(spark, store_path).where(
-        ~is_batch(run, batch) & F.col(PART).isin(touched_parts(good))
-    )
-    fresh = not_stored(unique_url(good, order), good.select("url"), store, rows)
-    numbered = assign_id(fresh, order, next_id(spark, store_path, run, batch))
-    rejects = settle(set_aside(judged, numbered, order), "rejects")
+    good, refused = F.col("reject_reason").isNull(), F.col("reject_reason").startswith("too_long:")
+    counted = Observation()
+    judged = settle(judge(lines).observe(counted, F.count_if(good | refused).alias("attempts")), "judged")
+    number, first = counted.get["attempts"], next_id(spark, store_path, run, batch)
+    attempts = assign_id(judged.where(good | refused), order, first)
+    taken = attempts.where(good)
+    # Read several times from here on; each reading would repeat the joins behind it.
+    fresh = settle(
+        not_stored(spark, store_path, unique_url(taken, ["id"]), taken.select("url"), number, ~is_batch(run, batch)), "fresh")
+    rejects = settle(set_aside(judged, fresh, order), "rejects")
     if on_error == "fail":
         counts = rejects.where(F.col("reject_reason") != "invalid").groupBy("reject_reason").count()
         faults = {r["reject_reason"]: r["count"] for r in counts.collect()}
         if faults:
             raise IngestError(f"bad records: {faults}")
-    append_store(to_stored_doc(numbered), store_path, run, batch)
-    stored = read_store(spark, store_path).where(is_batch(run, batch)).drop(RUN, BATCH, PART)
+    append_store(to_stored_doc(fresh), store_path, run, batch, first + number - 1, file_rows)
+    stored = read_store(spark, store_path).where(is_batch(run, batch)).drop(RUN, BATCH)
     return IngestResult(stored, rejects)

@@ -16,7 +16,16 @@ from pagetrove.sources.feed import (
     write_feed,
     write_numbered_feed,
 )
-from pagetrove.sources.store import create_store, read_store, scan_store, store_view
+from pagetrove.sources.store import (
+    admitted,
+    bloom_words,
+    create_store,
+    read_side,
+    read_store,
+    scan_store,
+    store_view,
+    stored_urls,
+)
 from pagetrove.streaming.ingest import ingest_stream
 
 
@@ -56,8 +65,9 @@ def test_good_rows_go_on_and_bad_ones_have_a_reason(spark, tmp_path):
     rows = [tuple(r) for r in scan_store(spark, store).orderBy("id").collect()]
     assert rows == [
         (1, None, "{hi}", None, None, "x", "http://a.example/1"),
-        (2, None, "{hi}", None, None, "t" * 255, "http://fits.example/"),
-        (3, None, '{"null"}', None, None, "Zwei", "http://b.example/"),
+        # 2 went to the copy, 3 and 5 to over-long values.
+        (4, None, "{hi}", None, None, "t" * 255, "http://fits.example/"),
+        (6, None, '{"null"}', None, None, "Zwei", "http://b.example/"),
     ]
     assert result.stored.count() == 3
     assert reasons(result.rejects) == [
@@ -79,7 +89,7 @@ def test_second_batch_skips_stored_urls_and_goes_on_counting(spark, tmp_path):
     for _ in range(2):  # a batch that is run again replaces itself
         result = ingest(read_feed(spark, feed(tmp_path, "two", more)), store, 1)
         got = read_store(spark, store).where("ingest_batch = 1").select("id", "url").collect()
-        assert [tuple(r) for r in got] == [(4, "http://new.example/")]
+        assert [tuple(r) for r in got] == [(8, "http://new.example/")]  # 7 went to the copy
         assert reasons(result.rejects) == [("duplicate_url", "http://a.example/1")]
     assert scan_store(spark, store).count() == 4
 
@@ -147,15 +157,43 @@ def test_runs_on_one_store_keep_each_others_rows(spark, tmp_path):
     assert len({r.id for r in rows}) == 4
 
 
-def test_a_batch_reads_only_its_parts_of_the_store(spark, tmp_path):
-    from pagetrove.sources.store import PART, touched_parts
+def test_numbers_go_on_after_a_batch_that_kept_nothing(spark, tmp_path):
+    store = str(tmp_path / "store")
+    ingest(read_feed(spark, feed(tmp_path, "one", LINES[:2])), store, 0)
+    ingest(read_feed(spark, feed(tmp_path, "two", LINES[:2])), store, 1)
+    ingest(read_feed(spark, feed(tmp_path, "three", LINES[9:])), store, 2)
+    assert sorted(r.id for r in scan_store(spark, store).collect()) == [1, 5]
+
 
+def test_a_batch_reads_only_what_filters_admit(spark, tmp_path):
     store = str(tmp_path / "store")
-    ingest(read_feed(spark, feed(tmp_path, "feed", LINES)), store, 0)
-    urls = spark.createDataFrame([("http://a.example/1",)], "url string")
-    plan = read_store(spark, store).where(F.col(PART).isin(touched_parts(urls)))
-    assert [r.url for r in plan.where("url = 'http://a.example/1'").collect()] == ["http://a.example/1"]
-    assert "PartitionFilters: [isnotnull(url_part" in plan._jdf.queryExecution().executedPlan().toString()
+    pages = lambda n: [json.dumps(page(f"http://a.example/{i}")) for i in range(n * 300, n * 300 + 300)]
+    for n in range(3):
+        ingest(read_feed(spark, feed(tmp_path, f"feed{n}", pages(n))), store, n)
+    every = F.lit(True)
+    held = [f"http://a.example/{i}" for i in range(900)]
+    others = [f"http://b.example/{i}" for i in range(5_000)]
+    blooms = read_side(spark, store, "_blooms")
+    found = admitted(spark.createDataFrame([(u,) for u in held + others], "url string"), blooms)
+    passed = [r.url for r in found.select("url").distinct().collect()]
+    assert set(held) <= set(passed) and len(passed) < 900 + 100
+    owners = {(r.url, r.ingest_batch) for r in found.collect()}
+    assert {(u, i // 300) for i, u in enumerate(held)} <= owners
+    known = stored_urls(spark, store, spark.createDataFrame([(held[7],), (others[3],)], "url string"), every)
+    assert [r.url for r in known.collect()] == [held[7]]
+    files = known._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in files and "url_part" in files
+    none = spark.createDataFrame([("http://c.example/",)], "url string")
+    assert stored_urls(spark, store, none, every).count() == 0
+
+
+def test_bloom_words_hold_every_url(spark):
+    urls = spark.range(40_000).select(F.concat(F.lit("u"), "id").alias("url"), (F.col("id") % 3).cast("int").alias("url_part"))
+    words = bloom_words(urls, 40_000)
+    assert words.where("word >= words").isEmpty()
+    assert {r.words for r in words.select("words").distinct().collect()} == {1024}
+    assert admitted(urls.select("url").limit(500), words.withColumns({"ingest_run": F.lit("r"), "ingest_batch": F.lit(0)}).withColumn(
+        "url_part", F.explode(F.array(*map(F.lit, range(32)))))).select("url").distinct().count() == 500
 
 
 def test_feed_objects_hold_25_lines(spark, tmp_path, sf_dir):
