@@ -1,7 +1,7 @@
 """The registered queries restated in DuckDB SQL, for comparison only."""
 
 from ..functions.text import STOPWORDS
-from .queries import HOUR, MANY, SEARCH, SEEN_GLOB, TURNS_TTL, WILDCARD_SEARCH
+from .queries import HOUR, INDEXED, MANY, SEARCH, SEEN_GLOB, TURNS_TTL, WILDCARD_SEARCH
 
 _SPACE = r"\x09-\x0d\x1c-\x1f\x{85}\p{Z}"
 _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
@@ -78,6 +78,19 @@ judged AS (
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY url, fault IS NULL ORDER BY doc_id) AS nth FROM judged)"""
 
+_ATTEMPTS = rf"""{_DOCS}, {_DOCUMENT_JUDGED},
+attempts AS (
+  SELECT *, row_number() OVER (ORDER BY doc_id) AS id FROM ranked WHERE fault IS NULL OR fault LIKE 'too_long%'),
+kept AS (
+  SELECT id, author, {_array_text('headings')} AS content, description, published_date, left(title, 255) AS title, url
+  FROM attempts WHERE fault IS NULL AND nth = 1)"""
+
+_STORED = f"""{_ATTEMPTS},
+stored AS (
+  SELECT * FROM kept UNION ALL
+  SELECT (SELECT count(*) FROM attempts) + row_number() OVER (ORDER BY id), author, content, description,
+    published_date, title, url FROM docs)"""
+
 _NAV = r"""
 nav AS (
   SELECT page_id, url,
@@ -211,15 +224,27 @@ QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) = 1""",
 SELECT page_id, row_number() OVER (ORDER BY page_id) - 1 AS idx,
   (row_number() OVER (ORDER BY page_id) - 1) // 25 + 1 AS batch_id FROM pages""",
     "feed_roundtrip": "SELECT url, md5(html) AS content_md5 FROM pages",
+    # Numbers go to whatever the store is asked to take; copies and over-long records leave gaps.
     "store_ingest": f"""
-WITH {_DOCS}, {_DOCUMENT_JUDGED}, first_batch AS (
-  SELECT row_number() OVER (ORDER BY doc_id) AS id, author, {_array_text('headings')} AS content, description,
-    published_date, left(title, 255) AS title, url
-  FROM ranked WHERE fault IS NULL AND nth = 1)
-SELECT * FROM first_batch
+WITH {_ATTEMPTS}
+SELECT id, author, content, description, published_date, title, url FROM kept
 UNION ALL
-SELECT (SELECT count(*) FROM first_batch) + row_number() OVER (ORDER BY id), author, content, description,
+SELECT 2 * (SELECT count(*) FROM attempts) + row_number() OVER (ORDER BY id), author, content, description,
   published_date, title, url FROM docs""",
+    "search_indexed": f"""
+WITH {_STORED}, asked(q) AS (VALUES {", ".join(f"({_literal(q)})" for q in INDEXED)})
+SELECT q, stored.* FROM stored JOIN asked ON {_ilike("'%' || q || '%'")}
+QUALIFY row_number() OVER (PARTITION BY q ORDER BY id) <= 20""",
+    "search_thousands": rf"""
+WITH {_DOCS}, texts AS (SELECT doc_id, replace(text, '\', '/') AS t, doc_id % 23 + 1 AS p FROM documents),
+asked AS (
+  SELECT DISTINCT CASE WHEN doc_id % 10 = 0 THEN substr(t, p, 5) || '%' || substr(t, p + 20, 3)
+    WHEN doc_id % 10 = 1 THEN substr(t, p, 3) || '_' || substr(t, p + 4, 2)
+    WHEN doc_id % 100 = 2 THEN substr(t, p, 2) ELSE substr(t, p, 7) END AS q FROM texts)
+SELECT q, docs.* FROM docs JOIN asked ON q <> '' AND {_ilike("'%' || q || '%'")}
+QUALIFY row_number() OVER (PARTITION BY q ORDER BY id) <= 20""",
+    "stream_batches": f"""
+WITH {_STORED} SELECT url, content, true AS several, true AS distinct_ids FROM stored""",
     "stream_ingest": f"WITH {_DOCS} SELECT author, content, description, published_date, title, url FROM docs",
     "assign_ids": "SELECT page_id, url, row_number() OVER (ORDER BY url, page_id) + 99 AS id FROM pages",
     "seen_users": _seen("user_id", 6 * HOUR),
@@ -268,6 +293,7 @@ SELECT * FROM stored WHERE {_ilike(_literal(f'%{SEARCH}%'))} ORDER BY id LIMIT 2
     "clean_spoken": f"""
 SELECT conv_id, turn, {_clean("CASE WHEN role <> 'system' THEN text END")} AS cleaned FROM conversations""",
     "seen_users_stream": _seen("user_id", 6 * HOUR),
+    "seen_users_in_order": _seen("user_id", 6 * HOUR),
     "crawled_turns": f"""
 WITH RECURSIVE fetched AS (SELECT * FROM conversations WHERE role <> 'system'),
 chain AS (

@@ -17,17 +17,18 @@ from ..operators.links import expand_frontier, key_edges, link_edges, page_keys,
 from ..operators.numbering import assign_id
 from ..operators.parse import is_valid, parse_pages, with_content_text
 from ..operators.quarantine import judge, split_duplicates
-from ..operators.search import display, result_json, search, search_many, search_sql
+from ..operators.search import display, result_json, search, search_anchored, search_many, search_sql
 from ..operators.seen import micros, seen_lookup, seen_within_ttl
 from ..operators.stats import crawl_stats
+from ..operators.stored_search import search_stored as search_stored_files
 from ..schemas import STORED_COLUMNS
 from ..session import scratch_path, settle
 from ..sources.feed import number_batches, read_feed, write_feed
 from ..sources.pages import filter_status, page_source, spread, to_raw_page
 from ..sources.seeds import seed_source
-from ..sources.store import scan_store, to_stored_doc
+from ..sources.store import read_store, scan_store, to_stored_doc
 from ..streaming.ingest import ingest_stream
-from ..streaming.seen import drop_seen, seen_stream
+from ..streaming.seen import ROCKSDB, drop_seen, seen_in_order, seen_stream
 from .crawl import crawl, crawl_items
 from .ingest import ingest
 
@@ -35,6 +36,7 @@ HOUR = 3_600_000_000
 SEARCH = "the"
 WILDCARD_SEARCH = "t_on%the"
 MANY = ["the", "TION", "er%on", "_ich", "é", "{", "a b", "no such words", " ", "", None]
+INDEXED = ["the", "tion", "er%on", "en_pages", "no such words", "a b", "zz"]
 SEEN_GLOB = "http*://*.example.[no]??/[a-e]?/*"
 HEAVY_ROWS = 1_000
 TURNS_TTL = 3
@@ -431,6 +433,30 @@ def seen_users_stream(spark, sf_dir):
     return _streamed_events(spark, sf_dir, lambda stream: seen_stream(stream, 6 * HOUR))
 
 
+def seen_users_in_order(spark, sf_dir):
+    """Events that arrive up to an hour late, judged by timers in the order of their instants."""
+    events = settle(_events(spark, sf_dir, "user_id").withColumn("late", F.col("t") + F.pmod(F.xxhash64("id"), F.lit(HOUR))), "events")
+    low, high = events.agg(F.min("late"), F.max("late")).first()
+    feed, out, progress = (scratch_path(spark, name) for name in ("sightings", "emitted", "progress"))
+    width = (high - low) // STREAM_SLICES + 1
+    # A row without a key, long after the others, lets go what still waits.
+    end = spark.range(1).select(F.lit(None).cast("long").alias("key"), F.lit(high + 1000 * HOUR).alias("t"), "id")
+    # Slices are taken up in the order of their files' times.
+    for i in range(STREAM_SLICES):
+        arrived = events.where(F.floor((F.col("late") - low) / width) == i).drop("late")
+        arrived.coalesce(1).write.mode("append").parquet(feed)
+    end.write.mode("append").parquet(feed)
+    before = spark.conf.get(ROCKSDB[0])
+    spark.conf.set(*ROCKSDB)
+    try:
+        stream = spark.readStream.schema(end.schema).option("maxFilesPerTrigger", 1).parquet(feed)
+        seen_in_order(stream, 6 * HOUR, HOUR).writeStream.format("parquet").option("path", out).option(
+            "checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(ROCKSDB[0], before)
+    return spark.read.schema(end.schema).parquet(out).select("key", "t", "id")
+
+
 def dropped_users_stream(spark, sf_dir):
     """Watermark de-duplication with a TTL longer than all events lets every key through once."""
     def run(stream):
@@ -496,6 +522,47 @@ def search_response(spark, sf_dir):
     return result_json(search(_docs(spark, sf_dir), SEARCH), SEARCH)
 
 
+def _store_lines(spark, sf_dir):
+    """All documents, then all pages, as feed lines in arrival order."""
+    documents = _document_pages(spark, sf_dir).select(F.col("doc_id").alias("_seq"), "url", "content")
+    pages = _pages(spark, sf_dir).select(F.col("page_id").alias("_seq"), "url", "content")
+    block = F.lit(0).cast("long")
+    return documents.withColumns({"_file": F.lit("a"), "_block": block}).unionByName(
+        pages.withColumns({"_file": F.lit("b"), "_block": block}))
+
+
+def search_indexed(spark, sf_dir):
+    """Common, rare, absent and short queries over a store of many files, each read as far as needed."""
+    store = scratch_path(spark, "store")
+    ingest(_store_lines(spark, sf_dir), store, 0, file_rows=100)
+    found = [search_stored_files(spark, store, q).withColumn("q", F.lit(q)) for q in INDEXED]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.select("q", *STORED_COLUMNS)
+
+
+def search_thousands(spark, sf_dir):
+    """A piece of every document as a query over all pages, some with wildcards, some of two characters."""
+    kind, at = F.col("doc_id") % 10, (F.col("doc_id") % 23 + 1).cast("int")
+    piece = lambda start, n: F.substring(F.replace(F.col("text"), F.lit("\\"), F.lit("/")), start, F.lit(n))
+    q = F.when(kind == 0, F.concat(piece(at, 5), F.lit("%"), piece(at + 20, 3))).when(
+        kind == 1, F.concat(piece(at, 3), F.lit("_"), piece(at + 4, 2))).when(
+        F.col("doc_id") % 100 == 2, piece(at, 2)).otherwise(piece(at, 7))
+    return search_anchored(settle(_docs(spark, sf_dir), "docs"), _documents(spark, sf_dir).select(q.alias("q")))
+
+
+def stream_batches(spark, sf_dir):
+    """Documents and pages as a feed of many objects, taken up in several micro-batches."""
+    feed, store = scratch_path(spark, "feed"), scratch_path(spark, "store")
+    write_feed(_store_lines(spark, sf_dir).select("url", "content"), feed, per_object=100)
+    objects = spark.read.text(feed).select(F.input_file_name().alias("f")).distinct().count()
+    ingest_stream(spark, feed, store, scratch_path(spark, "progress"), objects_per_trigger=-(-objects // 3)).awaitTermination()
+    stored = settle(read_store(spark, store).select("ingest_batch", "id", "url", "content"), "stored")
+    batches, ids, rows = stored.agg(F.count_distinct("ingest_batch"), F.count_distinct("id"), F.count("id")).first()
+    return stored.select("url", "content", F.lit(batches > 1).alias("several"), F.lit(ids == rows).alias("distinct_ids"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -508,6 +575,7 @@ QUERIES = {
         feed_roundtrip, store_ingest, stream_ingest, assign_ids, seen_users, seen_event_types,
         seen_users_stream, seen_pages_lookup, crawled_turns, seen_whole_span, dropped_users_stream,
         feed_faults, feed_fields, document_links, crawl_next, search_stored, clean_spoken,
-        document_bodies, nested_headings, nested_nav_links,
+        document_bodies, nested_headings, nested_nav_links, search_indexed, search_thousands, stream_batches,
+        seen_users_in_order,
     )
 }

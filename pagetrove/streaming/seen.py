@@ -4,10 +4,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+# What a session needs while a query with ``seen_in_order`` is started.
+ROCKSDB = ("spark.sql.streaming.stateStore.providerClass",
+           "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
 
 def drop_seen(sightings: DataFrame, key: str, ts: str, ttl_seconds: int) -> DataFrame:
     """No key twice within the TTL, by watermark.
@@ -55,3 +60,65 @@ def seen_stream(sightings: DataFrame, ttl: int, lateness: int = 0) -> DataFrame:
     return timed.groupBy("key").applyInPandasWithState(
         emit, f"key {kind}, t long, id long", "last long", "append", GroupStateTimeout.EventTimeTimeout
     )
+
+
+def seen_in_order(sightings: DataFrame, ttl: int, lateness: int = 0) -> DataFrame:
+    """``seen_within_ttl`` over a stream (key, t, id) whose rows come in any order within ``lateness``.
+
+    ``t``, ``ttl`` and ``lateness`` in microseconds, ``t`` after 1970. A row waits in RocksDB until the watermark
+    has passed its millisecond; timers then take the waiting milliseconds of a key one by one, in order, so the result
+    is that of the batch form, whatever the micro-batches. A row is at once let go if it falls into the TTL of what
+    its key emitted. Rows not after the watermark are too late and count for nothing. No step holds a
+    key's rows together: a waiting millisecond has one id per instant, a thousand at most. A key is forgotten a
+    TTL after its last emission. What the watermark has not passed when the stream ends is still waiting.
+
+    A row without a key moves the watermark and is dropped. Start the query with ROCKSDB set.
+    """
+    kind = sightings.schema["key"].dataType.simpleString()
+
+    class Sightings(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.last = handle.getValueState("last", "t long")
+            self.waiting = handle.getMapState("waiting", "ms long", "t array<long>, id array<long>")
+
+        def _last(self) -> int | None:
+            return self.last.get()[0] if self.last.exists() else None
+
+        def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+            last, passed = self._last(), timerValues.getCurrentWatermarkInMs()
+            for row in rows:
+                if row.t < passed * 1000 or (last is not None and row.t < last + ttl):
+                    continue
+                ms = (row.t // 1000,)
+                there = self.waiting.containsKey(ms)
+                least = dict(zip(*self.waiting.getValue(ms))) if there else {}
+                if row.id < least.get(row.t, row.id + 1):
+                    least[row.t] = row.id
+                    self.waiting.updateValue(ms, (list(least), list(least.values())))
+                if not there:
+                    self.handle.registerTimer(ms[0] + 1)
+            yield from ()
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+            now = expiredTimerInfo.getExpiryTimeInMs()
+            ms, last = (now - 1,), self._last()
+            if self.waiting.containsKey(ms):
+                for t, own in sorted(zip(*self.waiting.getValue(ms))):
+                    if last is None or t >= last + ttl:
+                        last = t
+                        self.last.update((t,))
+                        self.handle.registerTimer((t + ttl) // 1000 + 1)
+                        yield Row(key=key[0], t=t, id=own)
+                self.waiting.removeKey(ms)
+            if last is not None and now * 1000 > last + ttl:
+                self.last.clear()
+
+        def close(self) -> None:
+            pass
+
+    # The condition names the instant, else it would be moved below the watermark, which then missed those rows.
+    timed = sightings.select("key", "t", "id", F.timestamp_micros("t").alias("_ts")).withWatermark(
+        "_ts", f"{lateness} microseconds").where(F.col("key").isNotNull() | F.col("_ts").isNull())
+    return timed.groupBy("key").transformWithState(
+        statefulProcessor=Sightings(), outputStructType=f"key {kind}, t long, id long", outputMode="append", timeMode="EventTime")
