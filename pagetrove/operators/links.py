@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions.html import nav_links, strip_invisible
 from ..functions.urls import UrlParts, links_count, resolve_link, rewrite_link, url_key, url_parts
-from ..session import settle, settle_counted
+from ..session import settle, settle_bucketed
 
 
 def _with_parts(df: DataFrame, url: str, prefix: str) -> tuple[DataFrame, UrlParts]:
@@ -67,13 +67,20 @@ def undiscovered(edges: DataFrame, pages: DataFrame) -> DataFrame:
     return met.where(~F.col("there")).drop("there")
 
 
-def _not_reached(found: DataFrame, reached: DataFrame) -> DataFrame:
-    """Distinct ``url_key`` of ``found`` that ``reached`` lacks, in one hash aggregate."""
-    both = found.select("url_key", F.lit(False).alias("old")).unionByName(
-        reached.select("url_key", F.lit(True).alias("old"))
-    )
-    met = both.groupBy("url_key").agg(F.max("old").alias("old"))
-    return met.where(~F.col("old")).select("url_key")
+# Keys of a frontier up to which the next links are looked up by name.
+FEW_KEYS = 256
+
+
+def _links_of(edges: DataFrame, newest: DataFrame, rows: int) -> DataFrame:
+    """``url_key`` of what the newest pages link to.
+
+    A few keys become a condition, by which only their buckets are read. More are joined, bucket by bucket.
+    """
+    if rows <= FEW_KEYS:
+        found = edges.where(F.col("src_key").isin([row[0] for row in newest.collect()]))
+    else:
+        found = edges.join(newest, F.col("src_key") == F.col("url_key"), "left_semi")
+    return found.select(F.col("dst_key").alias("url_key"))
 
 
 def expand_frontier(
@@ -87,27 +94,38 @@ def expand_frontier(
 
     ``edges`` holds (src_key, dst_key), ``pages`` and ``seeds`` hold ``url_key``.
     Round by round: the links of the newest pages, distinct, not reached before,
-    present in the snapshot (links to other pages are dropped once, before the rounds). Each round is written to the shared folder, so plans
-    stay short and a lost executor costs one round. Ends when a round finds
+    present in the snapshot (links to other pages are dropped once, before the rounds). Each round is written to the
+    shared folder, so plans stay short and a lost executor costs one round. Ends when a round finds
     nothing, so cycles are harmless.
 
-    While a frontier is small it is broadcast, and edges and pages are scanned
-    but not shuffled. Page keys are distinct, so joins on them have no hot key.
+    Edges are bucketed by source and everything reached by key, in as many buckets as a shuffle has
+    partitions: a round exchanges the links it found and nothing else. Page keys are distinct, so joins
+    on them have no hot key.
     """
+    buckets = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pages = settle(pages.select("url_key").distinct(), "pages")
     inside = edges.select("src_key", "dst_key").distinct().join(
         pages.withColumnRenamed("url_key", "dst_key"), "dst_key", "left_semi"
-    )
-    edges = settle(inside, "edges")
-    newest, rows = settle_counted(pages.join(seeds.select("url_key"), "url_key", "left_semi"), "seeds")
-    depth = 0
-    reached = newest.withColumn("depth", F.lit(0))
+    ).select("src_key", "dst_key")
+    edges, _ = settle_bucketed(inside.repartition(buckets, "src_key"), "edges", "src_key", buckets)
+    first = pages.join(seeds.select("url_key"), "url_key", "left_semi").repartition(buckets, "url_key")
+    newest, rows = settle_bucketed(first, "seeds", "url_key", buckets)
+    reached, depth = [newest.withColumn("depth", F.lit(0))], 0
     while rows and (max_depth is None or depth < max_depth):
         depth += 1
-        found = edges.join(newest, F.col("src_key") == F.col("url_key"), "left_semi")
-        fresh = _not_reached(found.select(F.col("dst_key").alias("url_key")), reached)
-        newest, rows = settle_counted(fresh, "frontier")
-        reached = reached.unionByName(newest.withColumn("depth", F.lit(depth)))
-        if depth % merge_every == 0:
-            reached = settle(reached, "reached")
-    return reached
+        fresh = _links_of(edges, newest, rows).distinct()
+        for level in reached:
+            fresh = fresh.join(level.select("url_key"), "url_key", "left_anti")
+        newest, rows = settle_bucketed(fresh, "frontier", "url_key", buckets)
+        reached.append(newest.withColumn("depth", F.lit(depth)))
+        if len(reached) > merge_every:
+            merged = _union(reached).repartition(buckets, "url_key")
+            reached = [settle_bucketed(merged, "reached", "url_key", buckets)[0]]
+    return _union(reached)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out

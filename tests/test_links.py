@@ -1,10 +1,14 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from pagetrove.operators.dedup import frontier_dedup
+from pagetrove.operators import links
 from pagetrove.operators.links import expand_frontier, key_edges, link_edges, undiscovered
 from pagetrove.operators.stats import crawl_stats, observe_crawl
 from pagetrove.plans.crawl import crawl, crawl_items
+from pagetrove.session import settle_bucketed
 from pagetrove.sources.seeds import START_URLS, seed_source
 
 H = "https://h.com/"
@@ -121,3 +125,43 @@ def test_a_bare_host_seed_reaches_its_page(spark):
         found = crawl(pages, spark.createDataFrame([(seed,)], "url string"))
         assert [tuple(r) for r in found.reached.collect()] == [("https://dev.to/", 0)]
         assert [r.url for r in found.next_urls.collect()] == ["https://dev.to/x"]
+
+
+@pytest.mark.parametrize("few", [256, 0])
+def test_any_graph_equals_a_walk(spark, monkeypatch, few):
+    """Looked up by name, and joined bucket by bucket."""
+    monkeypatch.setattr(links, "FEW_KEYS", few)
+    chance = random.Random(6)
+    pairs = {(f"p{chance.randrange(300)}", f"p{chance.randrange(330)}") for _ in range(420)}
+    edges = spark.createDataFrame(sorted(pairs), "src_key string, dst_key string")
+    pages = spark.createDataFrame([(f"p{i}",) for i in range(300)], "url_key string")
+    seeds = spark.createDataFrame([("p0",), ("p1",), ("p1",), ("p320",)], "url_key string")
+    want, newest, depth = {"p0": 0, "p1": 0}, {"p0", "p1"}, 0
+    while newest:
+        depth += 1
+        newest = {b for a, b in pairs if a in newest and int(b[1:]) < 300} - set(want)
+        want |= dict.fromkeys(newest, depth)
+    assert {r.url_key: r.depth for r in expand_frontier(edges, pages, seeds, merge_every=3).collect()} == want
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("pagetrove_")]
+
+
+def test_a_round_does_not_exchange_edges(spark, monkeypatch):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        edges = spark.range(5_000).selectExpr("concat('p', id) AS src_key", "concat('p', id * 7 % 5000) AS dst_key")
+        edges, n = settle_bucketed(edges.repartition(8, "src_key"), "edges", "src_key", 8)
+        newest, _ = settle_bucketed(
+            spark.range(900).selectExpr("concat('p', id) AS url_key").repartition(8, "url_key"), "newest", "url_key", 8)
+        assert n == 5_000
+        found = links._links_of(edges, newest, 900)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Join" in plan and "Exchange" not in plan
+        assert found.count() == 900
+        # Pruning is done in either case; only a scan that keeps its buckets shows it.
+        spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")
+        named = links._links_of(edges, newest.limit(1), 1)
+        plan = named._jdf.queryExecution().executedPlan().toString()
+        assert "SelectedBucketsCount: 1 out of 8" in plan and "Exchange" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
