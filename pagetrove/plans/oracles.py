@@ -224,6 +224,13 @@ QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) = 1""",
 SELECT page_id, row_number() OVER (ORDER BY page_id) - 1 AS idx,
   (row_number() OVER (ORDER BY page_id) - 1) // 25 + 1 AS batch_id FROM pages""",
     "feed_roundtrip": "SELECT url, md5(html) AS content_md5 FROM pages",
+    "feed_arrays": r"""
+WITH e AS (
+  SELECT *, replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS t FROM documents)
+SELECT 'https://docs.example/' || lang || '/' || md5(text) AS url, md5(
+  '<html><head><title>' || t || '</title><meta name="description" content="' || t || '"><META content=''' || source ||
+  ''' name=author></head><body><time datetime=' || n_chars || '></time><h3>' || t || '</h3><h1 id=''>''>' || lang || '<i>' ||
+  source || '</i></h1><script>''<h2>none</h2>''</script></body></html>') AS content_md5 FROM e""",
     # Numbers go to whatever the store is asked to take; copies and over-long records leave gaps.
     "store_ingest": f"""
 WITH {_ATTEMPTS}

@@ -5,7 +5,7 @@ lower headings, over-long titles, copies) come from ``documents`` and
 ``conversations``, whose texts are wrapped into pages here.
 """
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.html import html_div_content, html_headings, nav_links, strip_invisible
@@ -23,7 +23,7 @@ from ..operators.stats import crawl_stats
 from ..operators.stored_search import search_stored as search_stored_files
 from ..schemas import STORED_COLUMNS
 from ..session import scratch_path, settle
-from ..sources.feed import number_batches, read_feed, write_feed
+from ..sources.feed import number_batches, read_feed, read_feed_array, write_feed
 from ..sources.pages import filter_status, page_source, spread, to_raw_page
 from ..sources.seeds import seed_source
 from ..sources.store import read_store, scan_store, to_stored_doc
@@ -313,6 +313,18 @@ def feed_fields(spark, sf_dir):
     return good.select("url", "title", "author", "published_date", "content_text")
 
 
+def feed_arrays(spark, sf_dir):
+    """Documents as JSON arrays of a few hundred pages, read back by the splits of the files."""
+    path, array = scratch_path(spark, "arrays"), F.floor(F.col("doc_id") / 400)
+    pages = _document_pages(spark, sf_dir).select("doc_id", array.alias("array"), F.to_json(F.struct("url", "content")).alias("j"))
+    own = Window.partitionBy("array").orderBy("doc_id")
+    line = F.concat(
+        F.when(F.row_number().over(own) == 1, F.lit("[")).otherwise(F.lit(",")), F.col("j"),
+        F.when(F.lead("doc_id").over(own).isNull(), F.lit("]")).otherwise(F.lit("")))
+    pages.select(line.alias("value"), "array").write.partitionBy("array").text(path)
+    return read_feed_array(spark, path).select("url", F.md5(F.col("content").cast("binary")).alias("content_md5"))
+
+
 # --- links ------------------------------------------------------------------
 
 
@@ -576,6 +588,6 @@ QUERIES = {
         seen_users_stream, seen_pages_lookup, crawled_turns, seen_whole_span, dropped_users_stream,
         feed_faults, feed_fields, document_links, crawl_next, search_stored, clean_spoken,
         document_bodies, nested_headings, nested_nav_links, search_indexed, search_thousands, stream_batches,
-        seen_users_in_order,
+        seen_users_in_order, feed_arrays,
     )
 }

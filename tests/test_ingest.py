@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -215,6 +216,37 @@ def test_array_feed(spark, tmp_path):
     assert sorted(map(tuple, rows)) == [("http://a/", None), ("http://b/", None)]
 
 
+def test_one_array_is_read_by_many_tasks(spark, tmp_path, sf_dir):
+    chance = random.Random(11)
+    bits = ["{", "}", '"', "\\", '\\"', "[", "]", ",", "é", "日本", "\n", " ", '{"url":', "word", "}}", "</h1>"]
+    pages = [{"url": f"u{i}", "content": "".join(chance.choices(bits, k=chance.randrange(80)))} for i in range(400)]
+    pages[7] = {"url": "u7", "content": None}
+    pages[8] = {"content": "}", "more": {"a": [{"b": "}"}, {}]}}
+    pages[9] = {}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1500")
+    try:
+        for k, kw in enumerate([{}, {"indent": 2}, {"ensure_ascii": False, "separators": (",", ":")}]):
+            path = tmp_path / f"arrays{k}"
+            path.mkdir()
+            (path / "a.json").write_text(json.dumps(pages, **kw), encoding="utf-8")
+            (path / "b.json").write_text("[]")
+            (path / "c.json").write_text(" \n" + json.dumps(pages[20:22], **kw) + "\n", encoding="utf-8")
+            assert spark.read.option("lineSep", "}").text(str(path)).rdd.getNumPartitions() > 10
+            rows = read_feed_array(spark, str(path)).orderBy("_file", "_block", "_seq").collect()
+            got = [(r._file[-6:], r.url, r.content, r._corrupt_record) for r in rows]
+            assert got == [(f, p.get("url"), p.get("content"), None)
+                           for f, ps in (("a.json", pages), ("c.json", pages[20:22])) for p in ps]
+        cut = tmp_path / "cut.json"
+        cut.write_text(json.dumps(pages)[:-30])
+        rows = read_feed_array(spark, str(cut)).orderBy("_block", "_seq").collect()
+        assert [r.url for r in rows][:399] == [p.get("url") for p in pages[:399]]
+        assert len(rows) == 400 and rows[-1]._corrupt_record
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_store_is_created_once(spark, tmp_path):
     store = str(tmp_path / "store")
     create_store(spark, store)
