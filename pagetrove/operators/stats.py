@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from ..functions.urls import url_host
 
 
-def _counters():
+def counters():
+    """Responses, and how many of them were fetched and refused."""
     fetched = F.coalesce(F.col("status") == 200, F.lit(False))
     return (
         F.count("*").alias("responses"),
@@ -18,9 +19,9 @@ def _counters():
 def observe_crawl(responses: DataFrame) -> tuple[DataFrame, Observation]:
     """Count responses while another job reads them; ``.get`` after that job."""
     seen = Observation()
-    return responses.observe(seen, *_counters()), seen
+    return responses.observe(seen, *counters()), seen
 
 
 def crawl_stats(responses: DataFrame) -> DataFrame:
     """Responses per host. Partial counts leave a hot host one row per task."""
-    return responses.groupBy(url_host(F.col("url")).alias("host")).agg(*_counters())
+    return responses.groupBy(url_host(F.col("url")).alias("host")).agg(*counters())

@@ -214,6 +214,9 @@ SELECT k AS url_key, d::INTEGER AS depth FROM reach""",
     "crawl_stats_by_host": f"""
 SELECT {_HOST} AS host, count(*) AS responses, count(*) FILTER (WHERE {_STATUS} = 200) AS fetched,
   count(*) FILTER (WHERE {_STATUS} <> 200) AS refused FROM pages GROUP BY 1""",
+    "crawl_stats_stream": f"""
+SELECT count(*) AS responses, count(*) FILTER (WHERE {_STATUS} = 200) AS fetched,
+  count(*) FILTER (WHERE {_STATUS} <> 200) AS refused FROM pages""",
     "unique_urls": """
 SELECT 'https://talk.example/' || conv_id AS url, turn, role, text FROM conversations
 QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1""",

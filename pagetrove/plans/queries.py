@@ -29,6 +29,7 @@ from ..sources.seeds import seed_source
 from ..sources.store import read_store, scan_store, to_stored_doc
 from ..streaming.ingest import ingest_stream
 from ..streaming.seen import ROCKSDB, drop_seen, seen_in_order, seen_stream
+from ..streaming.stats import CrawlCounters, observed
 from .crawl import crawl, crawl_items
 from .ingest import ingest
 
@@ -407,6 +408,24 @@ def frontier_reach(spark, sf_dir):
     return expand_frontier(edges, pages, seeds)
 
 
+def crawl_stats_stream(spark, sf_dir):
+    """Totals of a stream of responses, counted by its micro-batches."""
+    feed = scratch_path(spark, "responses")
+    _responses(spark, sf_dir).select("url", "status").write.parquet(feed)
+    counters = CrawlCounters()
+    spark.streams.addListener(counters)
+    try:
+        stream = spark.readStream.schema("url string, status int").option("maxFilesPerTrigger", 2).parquet(feed)
+        query = observed(stream).writeStream.format("noop").option(
+            "checkpointLocation", scratch_path(spark, "progress")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        counters.catch_up(query)
+    finally:
+        spark.streams.removeListener(counters)
+    totals = counters.totals()
+    return spark.range(1).select(*[F.lit(n).cast("long").alias(name) for name, n in totals.items()])
+
+
 # --- sightings --------------------------------------------------------------
 
 
@@ -588,6 +607,6 @@ QUERIES = {
         seen_users_stream, seen_pages_lookup, crawled_turns, seen_whole_span, dropped_users_stream,
         feed_faults, feed_fields, document_links, crawl_next, search_stored, clean_spoken,
         document_bodies, nested_headings, nested_nav_links, search_indexed, search_thousands, stream_batches,
-        seen_users_in_order, feed_arrays,
+        seen_users_in_order, feed_arrays, crawl_stats_stream,
     )
 }
