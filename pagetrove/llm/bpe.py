@@ -64,6 +64,12 @@ def read_json(path: str) -> list[bytes]:
     return [bytes(byte[c] for c in name) for _, name in pairs]
 
 
+def read_added(path: str) -> dict[str, int]:
+    """Added tokens of a tokenizer file and their ids."""
+    with open(path, encoding="utf-8") as file:
+        return {token["content"]: token["id"] for token in json.load(file)["added_tokens"]}
+
+
 def serialise(vocabulary: list[bytes]) -> bytes:
     """The sentencepiece model; the unknown piece takes the first free id."""
     from sentencepiece import sentencepiece_model_pb2 as pb

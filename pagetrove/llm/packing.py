@@ -9,14 +9,19 @@ group, so the plan does not grow with the number of documents.
 Pieces take their places by rank among those of their length. Ranks are counted in chunks of
 the ids' hash, so no task numbers all pieces of a frequent length. The token ids go along.
 
+Ids are those of the tokenizer file as it is loaded: texts are cut at its added tokens first, the rest is
+merged by rank. Between the steps an id takes two bytes if all ids fit.
+
 A null text is one end token. Long documents are cut into full pieces, the first piece takes the
 remainder. Repeated rows are pieces of their own; a null id is an id. An empty table gives an
 empty result.
 """
 
 import bisect
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,29 +35,66 @@ PIECES = "doc_id long, piece int, start long, length long, ids binary"
 SPANS = "length long, low long, high long, sequence long, per long, place long"
 
 
+class Encoder:
+    """Ids of whole texts by a vocabulary in the order of its merges, and added tokens with their ids."""
+
+    def __init__(self, vocabulary: list[bytes], added: dict[str, int], pattern: str):
+        import tiktoken
+
+        self.vocabulary, self.added, self.pattern = vocabulary, added, pattern
+        ranks = {entry: rank for rank, entry in enumerate(vocabulary)}
+        self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
+        self.cut = re.compile("|".join(f"({re.escape(t)})" for t in sorted(added, key=len, reverse=True)) or r"(?!)").split
+        self.slow: bpe.Codec | None = None
+
+    def encode(self, text: str) -> np.ndarray:
+        try:
+            return self.fast.encode_to_numpy(text, allowed_special="all")
+        except ValueError:  # its matcher gives up on very long runs of white space
+            return self._encode_slowly(text)
+
+    def _encode_slowly(self, text: str) -> np.ndarray:
+        if self.slow is None:
+            self.slow = bpe.codec(bpe.serialise(self.vocabulary), self.pattern)
+        parts = [p for p in self.cut(text) if p]
+        ids = [[self.added[p]] if p in self.added else self.slow.encode_batch([p])[0] for p in parts]
+        return np.array(sum(ids, []), np.uint32)
+
+
+_encoders: dict[tuple, Encoder] = {}
+
+
+def _encoder(vocabulary: list[bytes], added: dict[str, int], pattern: str) -> Encoder:
+    """One per worker process, kept from task to task."""
+    key = (len(vocabulary), hash(tuple(vocabulary)), tuple(added.items()), pattern)
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(vocabulary, added, pattern)
+    return _encoders[key]
+
+
 def pieces_of(
-    docs: DataFrame, vocabulary: list[bytes], pattern: str, capacity: int, end: int, key: str = "doc_id"
+    docs: DataFrame, vocabulary: list[bytes], added: dict[str, int], pattern: str, capacity: int, end: int,
+    key: str = "doc_id",
 ) -> DataFrame:
     """Pieces of all documents: ids of the whole text and the end token, cut to the capacity.
 
-    ``ids`` holds four bytes a token, lowest first.
+    ``ids`` holds ``width`` bytes an id, lowest first.
     """
     spark = docs.sparkSession
     ship(spark)
-    model = spark.sparkContext.broadcast(bpe.serialise(vocabulary))
-    tail = end.to_bytes(4, "little")
+    sent = spark.sparkContext.broadcast((vocabulary, added))
+    kind = f"<u{id_width(vocabulary, added, end)}"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = bpe.codec(model.value, pattern).encoder
+        encoder = _encoder(*sent.value, pattern)
         for batch in batches:
             rows: list[tuple] = []
-            ids, texts = (c.to_pylist() for c in batch.columns)
-            for own, tokens in zip(ids, encoder.encode_batch([t or "" for t in texts])):
-                tokens += tail
-                total = len(tokens) // 4
-                start, stop = 0, (total - 1) % capacity + 1
-                for piece in range(-(-total // capacity)):
-                    rows.append((own, piece, start, stop - start, tokens[4 * start : 4 * stop]))
+            for own, text in zip(*(c.to_pylist() for c in batch.columns)):
+                tokens = np.append(encoder.encode(text or ""), end).astype(kind)
+                start, stop = 0, (len(tokens) - 1) % capacity + 1
+                for piece in range(-(-len(tokens) // capacity)):
+                    rows.append((own, piece, start, stop - start, tokens[start:stop].tobytes()))
                     start, stop = stop, stop + capacity
             fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()),
                       ("length", pa.int64()), ("ids", pa.binary())]
@@ -64,6 +106,23 @@ def pieces_of(
     return map_arrow(docs.select(F.col(key).cast("long").alias("doc_id"), "text"), cut, PIECES)
 
 
+def id_width(vocabulary: list[bytes], added: dict[str, int], end: int) -> int:
+    return 2 if max(len(vocabulary) - 1, end, *added.values()) < 1 << 16 else 4
+
+
+def widen(placed: DataFrame) -> DataFrame:
+    """``ids`` of two bytes each as four."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in placed.schema)
+    at = placed.columns.index("ids")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wide = [np.frombuffer(ids, "<u2").astype("<u4").tobytes() for ids in batch.column(at).to_pylist()]
+            yield batch.set_column(at, "ids", pa.array(wide, pa.binary()))
+
+    return map_arrow(placed, run, schema)
+
+
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
     """Spans (length, low, high, sequence, per, place).
 
@@ -164,5 +223,8 @@ def pack(docs: DataFrame, path: str, pattern: str, capacity: int = 2048, end: in
     One row per piece with its ``ids``, their checksum, its sequence and its offset there: the ids
     of a sequence are those of its pieces, by offset.
     """
-    placed = place(pieces_of(docs, bpe.read_json(path), pattern, capacity, end), capacity)
+    vocabulary, added = bpe.read_json(path), bpe.read_added(path)
+    placed = place(pieces_of(docs, vocabulary, added, pattern, capacity, end), capacity)
+    if id_width(vocabulary, added, end) == 2:
+        placed = widen(placed)
     return placed.withColumn("ids_crc32", F.crc32("ids"))

@@ -11,7 +11,6 @@ from pagetrove.llm import packing, queries
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 TOKENIZER = Tokenizer.from_file(PATH)
-TOKENIZER.encode_special_tokens = True
 
 
 def ids_of(text):
@@ -51,7 +50,7 @@ def test_query(spark, sf_dir):
 def test_nulls_ties_and_long_texts(spark, documents, monkeypatch, chunk_rows):
     monkeypatch.setattr(packing, "CHUNK_ROWS", chunk_rows)
     texts = {i: "word " * (i % 40) for i in range(300)}
-    texts |= {900: None, 901: "", 902: "x y z " * 9000, 903: "<|endoftext|> a", None: "no id"}
+    texts |= {900: None, 901: "", 902: "x y z " * 9000, 903: "<|endoftext|> a<|endoftext|><|endof|> b <|endoftext|>", 904: " " * 400_000 + "<|endoftext|>  x", None: "no id"}
     docs = documents(list(texts.items())).withColumnRenamed("lang", "length").withColumnRenamed("source", "_chunk")
     check(packing.pack(docs, PATH, public_tokenizers.PATTERN, 64).collect(), texts, 64)
     twice = docs.unionByName(docs.where("doc_id = 902"))
