@@ -4,8 +4,8 @@ Vectors are compared only under equal labels. Equal vectors are one class. The n
 starts from the leaves of random projection trees: classes sorted by the signs of random projections,
 compared LEAF by LEAF. It is refined through neighbours of neighbours: all that list a class or
 are listed by it meet at that class and are compared there, until no list changes. A list holds LIST
-neighbours; one that consists of links alone is saturated and is enlarged to all members of its
-component, which are compared in blocks. An audit compares a bounded sample of classes with all
+neighbours. One that consists of links alone is not enlarged: a single link between two dense groups can be
+lost, see the README. An audit compares a bounded sample of classes with all
 vectors; while fewer than RECALL of their true links are found, the mean over those that have any, more
 trees and rounds follow, and after MORE attempts the job fails.
 
