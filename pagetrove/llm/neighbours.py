@@ -3,9 +3,16 @@
 Vectors are compared only under equal labels. Equal vectors are one class. The neighbour graph
 starts from the leaves of random projection trees: classes sorted by the signs of random projections,
 compared LEAF by LEAF. It is refined through neighbours of neighbours: all that list a class or
-are listed by it meet at that class and are compared there, until no list changes. A list holds LIST
-neighbours. One that consists of links alone is not enlarged: a single link between two dense groups can be
-lost, see the README. An audit compares a bounded sample of classes with all
+are listed by it meet at that class and are compared there if one of them is new to it, until no new entry is a
+link and few are new at all. A list holds LIST neighbours.
+
+A list of LIST links is saturated: it says nothing about what lies outside its dense group. Such lists are
+enlarged by places for classes of other components, FAR of each and WIDE in all. The places are filled
+from representatives of the components and refined in the same way, new entries only. A link found
+there merges two components, whose places are then free for others, so the enlarged part never fills up with
+links and its size does not grow with the group. This goes on until no component merges.
+
+An audit compares a bounded sample of classes with all
 vectors; while fewer than RECALL of their true links are found, the mean over those that have any, more
 trees and rounds follow, and after MORE attempts the job fails.
 
@@ -18,11 +25,12 @@ vectors of their own. An empty table gives an empty result. Other input columns
 """
 
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.numbering import assign_id
@@ -39,6 +47,11 @@ BLOCK = 512
 AUDIT = 512
 RECALL = 0.999
 MORE = 3
+CHANGED = 0.001
+FAR = 4
+WIDE = 48
+ENVOYS = 8
+UNMEASURED = -2.0
 
 EDGE = "a long, b long, cosine double"
 EDGE_FIELDS = [("a", pa.int64()), ("b", pa.int64()), ("cosine", pa.float64())]
@@ -81,11 +94,16 @@ def _unit(vectors) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _compare(ids: np.ndarray, unit: np.ndarray, threshold: float, size: int) -> list[tuple]:
-    """Best ``size`` neighbours of each row, and links that span what is connected."""
+def _compare(ids: np.ndarray, unit: np.ndarray, threshold: float, size: int, fresh: np.ndarray | None = None) -> list[tuple]:
+    """Best ``size`` neighbours of each row, and links that span what is connected.
+
+    With ``fresh``, only pairs of which one is fresh count.
+    """
     cosine = unit @ unit.T
     np.fill_diagonal(cosine, -2)
     cosine[ids[:, None] == ids[None, :]] = -2
+    if fresh is not None:
+        cosine[~(fresh[:, None] | fresh[None, :])] = -2
     near = cosine > -2
     busy = np.flatnonzero(near.any(axis=1))
     if not len(busy):
@@ -127,67 +145,189 @@ def _classes(vectors: DataFrame, key: str, vector: str, label: str) -> tuple[Dat
         F.col("id").alias("cid"), "label", F.size("vec").alias("dim"), "vec", "least", "copies"), "vector-classes")
 
 
-def _leaves(classes: DataFrame, threshold: float, first_tree: int) -> DataFrame:
-    """Edges within the leaves of TREES trees."""
+def _in_leaves(classes: DataFrame, compare, first_tree: int, schema: str, fields) -> DataFrame:
+    """What ``compare`` makes of the rows (cid, unit vector, component or null) of each leaf of TREES trees."""
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fields = [("tree", pa.int32()), ("label", pa.string()), ("dim", pa.int32()), ("signs", pa.int64()),
-                  ("along", pa.float64()), ("cid", pa.int64()), ("vec", pa.list_(pa.float64()))]
+                  ("along", pa.float64()), ("cid", pa.int64()), ("vec", pa.list_(pa.float64())), ("component", pa.int64())]
         planes: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             rows = []
-            for cid, label, dim, vec in _rows_of(batch):
+            for cid, label, dim, vec, component in _rows_of(batch):
                 unit = _unit([vec])[0]
                 for tree in range(first_tree, first_tree + TREES):
                     if (tree, dim) not in planes:
                         planes[tree, dim] = np.random.default_rng([tree, dim]).standard_normal((SIGNS + 1, dim))
                     value = planes[tree, dim] @ unit
                     bits = int("".join("1" if v > 0 else "0" for v in value[:SIGNS]), 2)
-                    rows.append((tree, label, dim, bits, float(value[SIGNS]), cid, unit))
+                    rows.append((tree, label, dim, bits, float(value[SIGNS]), cid, unit, component))
             yield _batch(rows, fields)
 
     def leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _runs(batches, 3, LEAF):
-            ids = np.array([r[0] for r in rows])
-            yield _batch(_compare(ids, _unit([r[1] for r in rows]), threshold, LIST), EDGE_FIELDS)
+            yield _batch(compare(rows), fields)
 
-    signed = map_arrow(classes.select("cid", "label", "dim", "vec"), sign,
-                       "tree int, label string, dim int, signs long, along double, cid long, vec array<double>")
+    signed = map_arrow(classes.select("cid", "label", "dim", "vec", "component"), sign,
+                       "tree int, label string, dim int, signs long, along double, cid long, vec array<double>, component long")
     parts = max(1, int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     order = ["tree", "label", "dim", "signs", "along"]
     placed = signed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    return map_arrow(placed.select("tree", "label", "dim", "cid", "vec"), leaf, EDGE)
+    return map_arrow(placed.select("tree", "label", "dim", "cid", "vec", "component"), leaf, schema)
+
+
+def _leaves(classes: DataFrame, threshold: float, first_tree: int) -> DataFrame:
+    """Edges within the leaves of TREES trees."""
+    def compare(rows: list[tuple]) -> list[tuple]:
+        return _compare(np.array([r[0] for r in rows]), _unit([r[1] for r in rows]), threshold, LIST)
+
+    return _in_leaves(classes.withColumn("component", F.lit(None).cast("long")), compare, first_tree, EDGE, EDGE_FIELDS)
 
 
 def _lists(edges: DataFrame) -> DataFrame:
-    """The LIST best neighbours of each class; a span link stands behind measured ones."""
-    best = edges.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
-    top = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("cosine")).alias("c"), "b"))), 1, LIST)
-    # At most LIST entries come from each leaf or meeting of a class.
-    return best.groupBy("a").agg(top.alias("n")).select("a", F.explode("n").alias("n")).select(
-        "a", F.col("n.b").alias("b"), (-F.col("n.c")).alias("cosine"))
-
-
-def _meet(lists: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """Edges found where neighbours and reverse neighbours of a class meet."""
-    both = lists.select(F.col("a").alias("at"), F.col("b").alias("cid")).unionByName(
-        lists.select(F.col("b").alias("at"), F.col("a").alias("cid"))).distinct()
-    own = lists.select(F.col("a").alias("at"), F.col("a").alias("cid")).distinct()
-    guests = both.unionByName(own)
-    sizes = guests.groupBy("at").agg(F.ceil(F.count(F.lit(1)) / MEETING).alias("rooms"))
+    """The LIST best neighbours of each class; a span link stands behind measured ones.
+
+    ``edges``: a, b, cosine, old. An entry is new if no row of it is old.
+    """
+    best = edges.groupBy("a", "b").agg(F.max("cosine").alias("cosine"), F.max("old").alias("old"))
+    return _top(best, ["a"], LIST)
+
+
+def _top(edges: DataFrame, by: list[str], size: int) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("cosine"), "b"))
+    return edges.withColumn("place", place).where(F.col("place") <= size).drop("place")
+
+
+def _meet(lists: DataFrame, classes: DataFrame, threshold: float, turn: int) -> DataFrame:
+    """Edges found where neighbours and reverse neighbours of a class meet, one of each pair new to it."""
+    both = lists.select(F.col("a").alias("at"), F.col("b").alias("cid"), (~F.col("old")).alias("new")).unionByName(
+        lists.select(F.col("b").alias("at"), F.col("a").alias("cid"), (~F.col("old")).alias("new")))
+    own = lists.select(F.col("a").alias("at"), F.col("a").alias("cid"), F.lit(False).alias("new")).distinct()
+    guests = both.unionByName(own).groupBy("at", "cid").agg(F.max("new").alias("new"))
+    sizes = guests.groupBy("at").agg(
+        F.ceil(F.count(F.lit(1)) / MEETING).alias("rooms"), F.max("new").alias("any")).where("any").drop("any")
     seated = guests.join(sizes, "at").select(
-        "at", F.pmod(F.xxhash64("cid"), F.col("rooms")).alias("room"), "cid"
+        "at", F.pmod(F.xxhash64("cid", "at", F.lit(turn)), F.col("rooms")).alias("room"), "cid", "new"
     ).join(classes.select("cid", "vec"), "cid")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _runs(batches, 2):
-            ids = np.array([r[0] for r in rows])
-            yield _batch(_compare(ids, _unit([r[1] for r in rows]), threshold, LIST), EDGE_FIELDS)
+            ids, fresh = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+            yield _batch(_compare(ids, _unit([r[2] for r in rows]), threshold, LIST, fresh), EDGE_FIELDS)
 
     parts = max(1, int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rooms = seated.select("at", "room", "cid", "vec").repartition(parts, "at", "room").sortWithinPartitions("at", "room")
+    rooms = seated.select("at", "room", "cid", "new", "vec").repartition(parts, "at", "room").sortWithinPartitions("at", "room")
     return map_arrow(rooms, meet, EDGE)
 
 
+def _rectangle(near: list[tuple], far: list[tuple]) -> list[tuple]:
+    """Rows (a, component of a, b, component of b, cosine): the FAR best of each component for each row.
+
+    ``near`` and ``far``: id, component, vector; near rows share a component that no far row has.
+    """
+    cosine = _unit([r[2] for r in near]) @ _unit([r[2] for r in far]).T
+    home = near[0][1]
+    theirs = np.array([r[1] for r in far])
+    out = []
+    for component in np.unique(theirs):
+        of = np.flatnonzero(theirs == component)
+        for i, row in enumerate(near):
+            for j in of[np.argsort(-cosine[i, of], kind="stable")[:FAR]]:
+                out.append((row[0], home, far[j][0], int(component), float(cosine[i, j])))
+    for j, row in enumerate(far):
+        for i in np.argsort(-cosine[:, j], kind="stable")[:FAR]:
+            out.append((row[0], row[1], near[i][0], home, float(cosine[i, j])))
+    return out
+
+
+FAR_EDGE = "a long, ca long, b long, cb long, cosine double"
+FAR_FIELDS = [("a", pa.int64()), ("ca", pa.int64()), ("b", pa.int64()), ("cb", pa.int64()), ("cosine", pa.float64())]
+
+
+def _envoys(full: DataFrame) -> DataFrame:
+    """Unmeasured edges from every saturated class to the classes where its component's neighbours are entered.
+
+    ENVOYS of each component are compared in the leaves of trees; a component enters its 2 * LIST nearest
+    components at up to two classes each.
+    """
+    place = F.row_number().over(Window.partitionBy("component").orderBy(F.xxhash64("cid"), "cid"))
+    envoys = settle(full.withColumn("place", place).where(F.col("place") <= ENVOYS).drop("place"), "envoys")
+
+    def leaf(rows: list[tuple]) -> list[tuple]:
+        ids = np.array([r[0] for r in rows])
+        home = np.array([r[2] for r in rows])
+        unit = _unit([r[1] for r in rows])
+        cosine = unit @ unit.T
+        cosine[home[:, None] == home[None, :]] = UNMEASURED
+        out = []
+        for i in range(len(ids)):
+            best = np.argsort(-cosine[i], kind="stable")[: 2 * LIST * FAR]
+            out += [(int(ids[i]), int(home[i]), int(ids[j]), int(home[j]), float(cosine[i, j]))
+                    for j in best if cosine[i, j] > UNMEASURED]
+        return out
+
+    edges = _in_leaves(envoys, leaf, 0, FAR_EDGE, FAR_FIELDS)
+    doors = edges.groupBy("ca", "cb", "b").agg(F.max("cosine").alias("cosine"))
+    doors = _top(_top(doors, ["ca", "cb"], 2), ["ca"], 4 * LIST)
+    return full.select(F.col("cid").alias("a"), F.col("component").alias("ca")).join(
+        doors.select("ca", "b", "cb"), "ca").select("a", "ca", "b", "cb", F.lit(UNMEASURED).alias("cosine"))
+
+
+def _visit(fresh: DataFrame, lists: DataFrame, full: DataFrame) -> DataFrame:
+    """Edges found where the far neighbours that are new at a class meet those who share its component.
+
+    Both sides are split into rooms, and each room of one meets each of the other.
+    """
+    ends = fresh.select(F.col("b").alias("at"), F.col("a").alias("cid")).unionByName(
+        fresh.select(F.col("a").alias("at"), F.col("b").alias("cid"))).distinct()
+    sites = ends.groupBy("at").agg(F.ceil(F.count(F.lit(1)) / MEETING).cast("int").alias("far_rooms"))
+    inner = lists.select(F.col("a").alias("at"), F.col("b").alias("cid")).unionByName(
+        lists.select(F.col("b").alias("at"), F.col("a").alias("cid"))).unionByName(
+        sites.select("at", F.col("at").alias("cid"))).distinct()
+    near = inner.join(sites.select("at"), "at", "left_semi")
+    rooms = near.groupBy("at").agg(F.ceil(F.count(F.lit(1)) / MEETING).cast("int").alias("near_rooms")).join(sites, "at")
+
+    def seat(rows: DataFrame, side: int) -> DataFrame:
+        own, other = ("near", "far") if side == 0 else ("far", "near")
+        seated = rows.join(rooms, "at").withColumn(own, F.pmod(F.xxhash64("cid"), F.col(f"{own}_rooms")).cast("int"))
+        spread = seated.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"{other}_rooms") - 1)))
+        return spread.select("at", "near", "far", F.lit(side).alias("side"), "cid")
+
+    seats = seat(near, 0).unionByName(seat(ends, 1)).join(full.select("cid", "component", "vec"), "cid").select(
+        "at", "near", "far", "side", "cid", "component", "vec")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _runs(batches, 3):
+            sides = [[r[1:] for r in rows if r[0] == side] for side in (0, 1)]
+            yield _batch(_rectangle(*sides) if all(sides) else [], FAR_FIELDS)
+
+    parts = max(1, int(fresh.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    keys = ["at", "near", "far"]
+    return map_arrow(seats.repartition(parts, *keys).sortWithinPartitions(*keys), meet, FAR_EDGE)
+
+
+def _between(lists: DataFrame, members: DataFrame, threshold: float) -> list[DataFrame]:
+    """Links (a, b) between components, found by the enlarged part of saturated lists."""
+    saturated = lists.where(F.col("cosine") >= threshold).groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(
+        F.col("n") >= LIST)
+    full = settle(members.join(saturated, F.col("cid") == F.col("a"), "left_semi").select(
+        "cid", "component", "label", "dim", "vec"), "saturated")
+    if len(full.select("component").distinct().take(2)) < 2:
+        return []
+    links = lists.where(F.col("cosine") >= threshold).select("a", "b")
+    inner = settle(links.join(full.select(F.col("cid").alias("a")), "a", "left_semi").join(
+        full.select(F.col("cid").alias("b")), "b", "left_semi"), "saturated-lists")
+    far = settle(_envoys(full).withColumn("old", F.lit(False)), "far-lists")
+    found = []
+    while not far.where("not old").isEmpty():
+        met = settle(_visit(far.where("not old").select("a", "b"), inner, full), "far-edges")
+        found.append(met.where(F.col("cosine") >= threshold).select("a", "b"))
+        every = far.where(F.col("cosine") > UNMEASURED).withColumn("old", F.lit(True)).unionByName(
+            met.withColumn("old", F.lit(False)))
+        best = every.groupBy("a", "ca", "b", "cb").agg(F.max("cosine").alias("cosine"), F.max("old").alias("old"))
+        far = settle(_top(_top(best, ["a", "cb"], FAR), ["a"], WIDE), "far-lists")
+    return [links for links in found if not links.isEmpty()]
+
+
 def _counts(members: DataFrame, threshold: float) -> DataFrame:
     """cid, links: linked copies of other classes, over pairs of blocks of each component."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,21 +397,33 @@ def cluster(vectors: DataFrame, threshold: float, key: str = "vec_id", vector: s
     """One row per vector: key, n_links, component_id, kept; and the audited recall."""
     ship(vectors.sparkSession)
     rows, classes = _classes(vectors, key, vector, label)
-    known = None
+    lists, found = None, []
     for attempt in range(MORE):
-        found = _leaves(classes, threshold, attempt * TREES)
-        known = settle(found if known is None else found.unionByName(known), "neighbour-edges")
-        lists = settle(_lists(known), "neighbour-lists")
+        grown = settle(_leaves(classes, threshold, attempt * TREES), "neighbour-edges")
+        turn = 0
+        while True:
+            found.append(grown.where(F.col("cosine") >= threshold).select("a", "b"))
+            proposed = grown.withColumn("old", F.lit(False))
+            if lists is not None:
+                proposed = proposed.unionByName(lists.withColumn("old", F.lit(True)))
+            lists = settle(_lists(proposed), "neighbour-lists")
+            new = lists.agg(
+                F.count(F.lit(1)).alias("all"), F.count_if(~F.col("old")).alias("new"),
+                F.count_if(~F.col("old") & (F.col("cosine") >= threshold)).alias("links")).first()
+            if not new.links and new.new <= CHANGED * new.all:
+                break
+            turn += 1
+            grown = settle(_meet(lists, classes, threshold, turn), "neighbour-edges")
         while True:
-            met = settle(_meet(lists, classes, threshold), "neighbour-edges")
-            spans = known.where(F.col("cosine") >= threshold).unionByName(met.where(F.col("cosine") >= threshold))
-            known = settle(spans.unionByName(lists).groupBy("a", "b").agg(F.max("cosine").alias("cosine")), "neighbour-edges")
-            before, lists = lists, settle(_lists(lists.unionByName(met)), "neighbour-lists")
-            if lists.join(before, ["a", "b"], "left_anti").isEmpty():
+            linked = settle(reduce(DataFrame.unionByName, found).distinct(), "neighbour-links")
+            found = [linked]
+            named = components(linked, "neighbour-links")
+            members = settle(classes.join(named, F.col("cid") == F.col("node"), "left").select(
+                "cid", "label", "dim", "vec", "least", "copies", F.coalesce("component", "cid").alias("component")), "members")
+            between = _between(lists, members, threshold)
+            if not between:
                 break
-        named = components(known.where(F.col("cosine") >= threshold).select("a", "b"), "neighbour-links")
-        members = settle(classes.join(named, F.col("cid") == F.col("node"), "left").select(
-            "cid", "label", "dim", "vec", "least", "copies", F.coalesce("component", "cid").alias("component")), "members")
+            found += between
         counted = settle(_counts(members, threshold), "link-counts")
         recall = _audit(classes, counted, threshold)
         if recall >= RECALL:

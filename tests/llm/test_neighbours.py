@@ -80,5 +80,50 @@ def test_far_neighbours_stay_in_lists_and_audit_counts_classes_alike(spark, monk
         neighbours.cluster(spark.createDataFrame(rows, SCHEMA), 0.98)
 
 
+def groups_with_one_bridge(rng, sizes, dim=32):
+    """Groups of near copies; neighbours in the list are linked by a single pair."""
+    first, rows = rng.standard_normal(dim), []
+    first /= np.linalg.norm(first)
+    for n, size in enumerate(sizes):
+        side = rng.standard_normal(dim)
+        side -= side @ first * first
+        side /= np.linalg.norm(side)
+        center = np.cos(0.5) * first + np.sin(0.5) * side
+        vecs = [center + rng.standard_normal(dim) * 0.008 for _ in range(size)]
+        # Steps from the common direction to the group: the first stands 0.06 from it, so two groups touch there.
+        vecs += [np.cos(x) * first + np.sin(x) * side for x in (0.06, 0.2, 0.34)]
+        rows += vecs
+    order = rng.permutation(len(rows))
+    return [(int(i), rows[k].tolist(), 0, "x") for i, k in enumerate(order)]
+
+
+@pytest.mark.parametrize("sizes", [(600, 600), (150, 40, 300)])
+def test_saturated_groups_keep_their_bridge(spark, sizes):
+    rng = np.random.default_rng(8)
+    rows = groups_with_one_bridge(rng, sizes)
+    result = neighbours.cluster(spark.createDataFrame(rows, SCHEMA), 0.98)
+    assert sorted(map(tuple, result.rows.collect()), key=repr) == expected(rows)
+
+
+def test_bridge_between_saturated_ends(spark):
+    """Both ends of the only link between two groups have more than LIST closer neighbours."""
+    rng = np.random.default_rng(9)
+    dim, rows = 32, []
+    axis, side = np.linalg.qr(rng.standard_normal((dim, 2)))[0].T
+    # Cosine 0.98 is an angle of 0.2003. Two groups 0.25 apart, of which one member each is shifted inwards.
+    for at, inward in ((0.0, 0.026), (0.25, 0.224)):
+        for k in range(600):
+            angle = inward if k == 0 else at
+            noise = 0.0 if k == 0 else 0.003
+            rows.append((np.cos(angle) * axis + np.sin(angle) * side) + rng.standard_normal(dim) * noise)
+    x = neighbours._unit(rows)
+    linked = x[:600] @ x[600:].T >= 0.98
+    assert linked.sum() == 1 and (x[0] @ x[:600].T >= 0.98).sum() > neighbours.LIST
+    rows = [(int(i), x[k].tolist(), 0, "x") for i, k in enumerate(rng.permutation(1200))]
+    result = neighbours.cluster(spark.createDataFrame(rows, SCHEMA), 0.98)
+    got = sorted(map(tuple, result.rows.collect()), key=repr)
+    assert len({r[2] for r in got}) == 1 and got == expected(rows)
+
+
 def test_empty(spark):
     assert neighbours.cluster(spark.createDataFrame([], SCHEMA), 0.98).rows.count() == 0
