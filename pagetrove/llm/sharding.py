@@ -90,12 +90,14 @@ def shard(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text")
     most, so no task gets a whole shard.
     """
     clear = (1 << WIDTH) - 1
-    spread = docs.drop("size", "shard", "slot").withColumns({
-        "size": row_size(F.col(text)),
-        "_h": F.xxhash64(text).bitwiseAND(F.lit(clear)),
-        "_d": F.xxhash64(F.lit(shards), key).bitwiseAND(F.lit(clear)),
-    })
-    keys = settle(spread.select("size", F.col("_h").alias("h"), F.col("_d").alias("d")), "shard-keys")
+    # The row travels as one value, so its columns may have any names.
+    spread = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("size", "shard", "slot")]).alias("row"),
+        row_size(F.col(text)).alias("size"),
+        F.xxhash64(text).bitwiseAND(F.lit(clear)).alias("h"),
+        F.xxhash64(F.lit(shards), key).bitwiseAND(F.lit(clear)).alias("d"),
+    )
+    keys = settle(spread.select("size", "h", "d"), "shard-keys")
     rows, total = keys.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     targets = [total * i // shards for i in range(1, shards)] if rows else []
     cuts = sorted(_brackets(keys, targets, TOLERANCE * total / shards))
@@ -108,15 +110,13 @@ def shard(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text")
 
     chunks = max(1, round(rows / shards / CHUNK_ROWS), round(total / shards / CHUNK_BYTES))
     chunk = F.pmod(F.col("d"), F.lit(chunks))
-    counts = keys.select(shard_of(F.col("h"), F.col("d")).alias("shard"), chunk.alias("_chunk")).groupBy(
-        "shard", "_chunk").count()
-    earlier = Window.partitionBy("shard").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    shard_number = shard_of(F.col("h"), F.col("d"))
+    counts = keys.select(shard_number.alias("shard"), chunk.alias("chunk")).groupBy("shard", "chunk").count()
+    earlier = Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     before = F.sum("count").over(earlier)
-    first = counts.select("shard", "_chunk", F.coalesce(before, F.lit(0)).alias("_first"))
-    placed = spread.withColumn("shard", shard_of(F.col("_h"), F.col("_d"))).withColumn(
-        "_chunk", F.pmod(F.col("_d"), F.lit(chunks)))
-    local = F.row_number().over(Window.partitionBy("shard", "_chunk").orderBy("_h", "_d"))
-    numbered = placed.withColumn("_local", local)
-    return numbered.join(first, ["shard", "_chunk"]).withColumn(
-        "slot", (F.col("_first") + F.col("_local") - 1).cast("long")
-    ).drop("_h", "_d", "_chunk", "_local", "_first")
+    first = counts.select("shard", "chunk", F.coalesce(before, F.lit(0)).alias("first"))
+    placed = spread.withColumn("shard", shard_number).withColumn("chunk", chunk)
+    local = F.row_number().over(Window.partitionBy("shard", "chunk").orderBy("h", "d"))
+    numbered = placed.withColumn("local", local)
+    return numbered.join(first, ["shard", "chunk"]).select(
+        "row.*", "size", "shard", (F.col("first") + F.col("local") - 1).cast("long").alias("slot"))

@@ -57,3 +57,14 @@ def test_chunks_by_bytes(documents, monkeypatch, chunk_bytes):
     rows = sharding.shard(documents(list(enumerate(texts))), 3).collect()
     check(rows, texts, 3, 1000)
     assert {r.doc_id: r.text for r in rows} == dict(enumerate(texts))
+
+
+def test_inner_names_as_columns(documents):
+    docs = documents([(i, f"text {i % 9}") for i in range(60)])
+    plain = sharding.shard(docs, 4).select("doc_id", "shard", "slot").collect()
+    for name in ("row", "h", "d", "chunk", "local", "first", "_first", "_h", "count"):
+        docs = docs.withColumn(name, F.concat(F.lit(f"{name} "), "text"))
+    out = sharding.shard(docs, 4)
+    assert sorted(out.select("doc_id", "shard", "slot").collect()) == sorted(plain)
+    assert out.where("h != concat('h ', text) or _first != concat('_first ', text) or row != concat('row ', text)").isEmpty()
+    assert set(out.columns) == {*docs.columns, "size", "shard", "slot"}
