@@ -205,7 +205,9 @@ def keep_one(docs: DataFrame, shingle: int, radius: int, key: str = "doc_id", te
     Rows without an id stay; of rows that share the smallest id all stay. Rows that share an id
     are told apart by the hash of their text.
     """
-    hashed = docs.withColumn("_text_hash", F.xxhash64(text))
-    lost = cluster(hashed, shingle, radius, key, text, ("_text_hash",)).where(F.col(key) != F.col("component_id"))
-    rest = hashed.join(lost.select(key, "_text_hash").distinct(), [key, "_text_hash"], "left_anti")
-    return rest.select(*docs.columns)
+    # The row travels as one value, so its columns may have any names.
+    hashed = docs.select(
+        F.struct("*").alias("row"), F.col(key).alias("id"), F.col(text).alias("words"), F.xxhash64(text).alias("hash"))
+    lost = cluster(hashed, shingle, radius, "id", "words", ("hash",)).where("id != component_id")
+    rest = hashed.join(lost.select("id", "hash").distinct(), ["id", "hash"], "left_anti")
+    return rest.select("row.*")

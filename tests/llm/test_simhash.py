@@ -4,6 +4,7 @@ from itertools import combinations
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from pagetrove.llm import queries, simhash
 
@@ -103,3 +104,13 @@ def test_a_repeated_id_loses_only_the_copy(documents):
     other = " ".join(f"gamma{i * 3} delta{i}" for i in range(60))
     kept = simhash.keep_one(documents([(1, one), (2, one), (2, other), (3, None)]), 3, 2).collect()
     assert sorted((r.doc_id, r.text or "") for r in kept) == [(1, one), (2, other), (3, "")]
+
+
+def test_inner_names_as_columns(documents):
+    docs = documents([(1, "a b c d"), (2, "A b c d"), (3, "e f g h")])
+    for name in ("_text_hash", "hash", "row", "id", "words", "fp", "component_id"):
+        docs = docs.withColumn(name, F.concat(F.lit(f"{name} "), "text"))
+    kept = simhash.keep_one(docs, 3, 2)
+    assert kept.columns == docs.columns
+    assert {(r.doc_id, r._text_hash, r.id) for r in kept.collect()} == {
+        (1, "_text_hash a b c d", "id a b c d"), (3, "_text_hash e f g h", "id e f g h")}
