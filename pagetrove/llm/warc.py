@@ -20,6 +20,7 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -80,7 +81,7 @@ class Reader:
                     return
                 at = self.buffer.find(b"\r\n\r\n", seen)
             head = bytes(self.buffer[:at]).decode().split("\r\n")
-            headers = dict(line.split(": ", 1) for line in head[1:])
+            headers = {name: value.strip() for name, value in (line.split(":", 1) for line in head[1:])}
             start = at + 4
             end = start + int(headers.pop("Content-Length"))
             while len(self.buffer) < end + 4:
@@ -132,7 +133,10 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
                         1, zlib.DEFLATED, GZIP)
                 payload = (html or "").encode()
                 digest = hashlib.sha256(payload).hexdigest()
-                headers = {"WARC-Type": "response", "WARC-Record-ID": record_id(archive, seq)}
+                headers = {
+                    "WARC-Type": "response", "WARC-Record-ID": record_id(archive, seq),
+                    "WARC-Date": datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ"),
+                }
                 if url is not None:
                     headers["WARC-Target-URI"] = quote(url, safe="%/:?#[]@!$&'()*+,;=~-._")
                 if page_id is not None:
@@ -141,9 +145,10 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
                     "WARC-Payload-Digest": f"sha256:{digest}",
                     "Content-Type": "application/http; msgtype=response",
                 }
-                stream.write(machine.compress(record(headers, HTTP + payload)))
+                data = record(headers, HTTP + payload)
+                stream.write(machine.compress(data))
                 rows.append((archive, seq, page_id, len(payload), digest))
-                seq, size = seq + 1, size + len(payload)
+                seq, size = seq + 1, size + len(data)
             yield _rows(rows, PLACES)
         if stream is not None:
             close()

@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 import json
+import re
 import zlib
 
 import pytest
@@ -62,9 +63,24 @@ def test_one_stream_in_one_member_per_record_out(spark, tmp_path):
     assert [x["seq"] for x in lines] == list(range(5))
     parts = [gzip.decompress(members[x["offset"] : x["offset"] + x["length"]]) for x in lines]
     assert b"".join(parts) == whole
+    for part in parts:
+        (headers, _), = warc.Reader(iter([part]))
+        assert re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", headers["WARC-Date"])
     assert fs.FileSystem.from_uri(clean)[0].get_file_info(clean).type == fs.FileType.Directory
 
 
+def test_archives_roll_by_records(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 4000)
+    df = spark.createDataFrame([(i, None, None, "") for i in range(100)], PAGES).coalesce(1)
+    rows = warc.write(df, str(tmp_path)).groupBy("archive").count().collect()
+    assert len(rows) > 5 and max(r["count"] for r in rows) < 20
+
+
+def test_headers_without_blanks():
+    (headers, block), = warc.Reader(iter([b"WARC/1.1\r\nA:b:c\r\nContent-Length:3\r\n\r\nabc\r\n\r\n"]))
+    assert (headers, block) == ({"A": "b:c"}, b"abc")
+
+
 def test_cut_off_record():
     whole = warc.record({"WARC-Type": "response"}, b"abc")
     with pytest.raises(ValueError):
