@@ -143,3 +143,27 @@ def test_bridge_between_saturated_ends(spark):
 
 def test_empty(spark):
     assert neighbours.cluster(spark.createDataFrame([], SCHEMA), 0.98).rows.count() == 0
+
+
+def test_enlarged_lists_find_the_bridge(spark):
+    """The step alone: lists hold the LIST best of the own group, and the groups are components so far."""
+    rng = np.random.default_rng(9)
+    axis, side = np.linalg.qr(rng.standard_normal((32, 2)))[0].T
+    rows = []
+    for at, inward in ((0.0, 0.026), (0.25, 0.224)):
+        for k in range(200):
+            angle, noise = (inward, 0.0) if k == 0 else (at, 0.003)
+            rows.append(np.cos(angle) * axis + np.sin(angle) * side + rng.standard_normal(32) * noise)
+    x = neighbours._unit(rows)
+    cosine = x @ x.T
+    linked = {(int(i), int(j)) for i, j in np.argwhere(cosine >= 0.98) if i // 200 != j // 200}
+    assert linked
+    members = spark.createDataFrame(
+        [(i, i // 200, "0", 32, x[i].tolist()) for i in range(400)],
+        "cid long, component long, label string, dim int, vec array<double>")
+    lists = spark.createDataFrame(
+        [(i, int(j), float(cosine[i, j]), True) for i in range(400)
+         for j in sorted(set(range(i // 200 * 200, i // 200 * 200 + 200)) - {i}, key=lambda j: -cosine[i, j])[: neighbours.LIST]],
+        "a long, b long, cosine double, old boolean")
+    found = {(r.a, r.b) for links in neighbours._between(lists, members, 0.98) for r in links.collect()}
+    assert found and found <= linked
