@@ -52,6 +52,7 @@ FAR = 4
 WIDE = 48
 ENVOYS = 8
 UNMEASURED = -2.0
+OUT = 20000
 
 EDGE = "a long, b long, cosine double"
 EDGE_FIELDS = [("a", pa.int64()), ("b", pa.int64()), ("cosine", pa.float64())]
@@ -62,59 +63,106 @@ class Result(NamedTuple):
     recall: float
 
 
-def _batch(rows: list[tuple], fields) -> pa.RecordBatch:
-    columns = zip(*rows) if rows else [[] for _ in fields]
+def _columns(columns: list[np.ndarray], fields) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields)], names=[n for n, _ in fields])
 
 
+def _batch(rows: list[tuple], fields) -> pa.RecordBatch:
+    return _columns(list(zip(*rows)) if rows else [[] for _ in fields], fields)
+
+
 def _rows_of(batch: pa.RecordBatch):
     lists = [pa.types.is_list(c.type) for c in batch.columns]
     return zip(*[c.to_numpy(zero_copy_only=False) if x else c.to_pylist() for c, x in zip(batch.columns, lists)])
 
 
+def _array(parts: list[pa.Array]) -> np.ndarray:
+    """Values of a column; lists, which are of one length, become the rows of a matrix."""
+    if not pa.types.is_list(parts[0].type):
+        return np.concatenate([part.to_numpy(zero_copy_only=False) for part in parts])
+    return np.concatenate([part.flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1) for part in parts])
+
+
 def _runs(batches: Iterator[pa.RecordBatch], keys: int, limit: int | None = None):
-    """(key, rows without it) for neighbouring rows of one key, at most ``limit`` at a time."""
-    held: list[tuple] = []
-    current = None
+    """(key, arrays of the other columns) for neighbouring rows of one key, at most ``limit`` at a time."""
+    held: list[pa.RecordBatch] = []
+    size, current = 0, None
+
+    def arrays() -> list[np.ndarray]:
+        return [_array([part.column(i) for part in held]) for i in range(keys, held[0].num_columns)]
+
     for batch in batches:
-        for row in _rows_of(batch):
-            key = row[:keys]
-            if held and (key != current or len(held) == limit):
-                yield current, held
-                held = []
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
+        change = np.zeros(batch.num_rows, dtype=bool)
+        for column in columns:
+            change[1:] |= column[1:] != column[:-1]
+        starts = [0, *np.flatnonzero(change).tolist()]
+        for start, end in zip(starts, [*starts[1:], batch.num_rows]):
+            key = tuple(column[start] for column in columns)
+            if held and key != current:
+                yield current, arrays()
+                held, size = [], 0
             current = key
-            held.append(row[keys:])
+            while start < end:
+                take = end - start if limit is None else min(end - start, limit - size)
+                held.append(batch.slice(start, take))
+                start, size = start + take, size + take
+                if size == limit:
+                    yield current, arrays()
+                    held, size = [], 0
+    if held:
+        yield current, arrays()
+
+
+def _written(found: Iterator[list[np.ndarray]], fields) -> Iterator[pa.RecordBatch]:
+    """Record batches of about OUT rows of what each run found."""
+    held: list[list[np.ndarray]] = []
+    size = 0
+    for columns in found:
+        if len(columns[0]):
+            held.append(columns)
+            size += len(columns[0])
+        if size >= OUT:
+            yield _columns([np.concatenate(c) for c in zip(*held)], fields)
+            held, size = [], 0
     if held:
-        yield current, held
+        yield _columns([np.concatenate(c) for c in zip(*held)], fields)
 
 
 def _unit(vectors) -> np.ndarray:
-    x = np.stack(vectors).astype(np.float64)
-    x /= np.abs(x).max(axis=1, keepdims=True)
+    x = np.asarray(vectors if isinstance(vectors, np.ndarray) else np.stack(vectors), dtype=np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _compare(ids: np.ndarray, unit: np.ndarray, threshold: float, size: int, fresh: np.ndarray | None = None) -> list[tuple]:
-    """Best ``size`` neighbours of each row, and links that span what is connected.
+def _best(cosine: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and values of the ``size`` largest of each row, in any order."""
+    if cosine.shape[1] <= size:
+        return np.broadcast_to(np.arange(cosine.shape[1]), cosine.shape), cosine
+    places = np.argpartition(-cosine, size - 1, axis=1)[:, :size]
+    return places, np.take_along_axis(cosine, places, axis=1)
+
+
+def _edges(ids: np.ndarray, unit: np.ndarray, threshold: float, size: int, fresh: np.ndarray | None = None,
+           floor: np.ndarray | None = None) -> list[np.ndarray]:
+    """Best ``size`` neighbours of each row, and links that span what is connected: a, b, cosine.
 
-    With ``fresh``, only pairs of which one is fresh count.
+    With ``fresh``, only pairs of which one is fresh count. A row's neighbours at or below its ``floor``
+    are left out; the spanning links are not.
     """
     cosine = unit @ unit.T
-    np.fill_diagonal(cosine, -2)
-    cosine[ids[:, None] == ids[None, :]] = -2
+    cosine[ids[:, None] == ids[None, :]] = UNMEASURED
     if fresh is not None:
-        cosine[~(fresh[:, None] | fresh[None, :])] = -2
-    near = cosine > -2
-    busy = np.flatnonzero(near.any(axis=1))
-    if not len(busy):
-        return []
-    out = []
-    for i in busy:
-        best = np.flatnonzero(near[i])
-        if len(best) > size:
-            best = best[np.argsort(-cosine[i, best], kind="stable")[:size]]
-        out += [(int(ids[i]), int(ids[j]), float(cosine[i, j])) for j in best]
+        cosine[~(fresh[:, None] | fresh[None, :])] = UNMEASURED
+    places, values = _best(cosine, size)
+    wanted = values > (UNMEASURED if floor is None else floor[:, None])
+    one, column = np.nonzero(wanted)
+    out = [ids[one], ids[places[one, column]], values[one, column]]
     linked = cosine >= threshold
+    if not linked.any():
+        return out
     label = np.arange(len(ids))
     while True:
         least = np.minimum(label, np.where(linked, label[None, :], len(ids)).min(axis=1))
@@ -123,8 +171,13 @@ def _compare(ids: np.ndarray, unit: np.ndarray, threshold: float, size: int, fre
             break
         label = least
     # A span link joins rows of one component; the threshold stands for its cosine.
-    out += [(int(ids[i]), int(ids[label[i]]), threshold) for i in np.flatnonzero(label != np.arange(len(ids)))]
-    return out
+    spans = np.flatnonzero(label != np.arange(len(ids)))
+    return [np.concatenate(c) for c in zip(out, (ids[spans], ids[label[spans]], np.full(len(spans), threshold)))]
+
+
+def _compare(ids: np.ndarray, unit: np.ndarray, threshold: float, size: int) -> list[tuple]:
+    """The rows of ``_edges``."""
+    return list(zip(*(column.tolist() for column in _edges(ids, unit, threshold, size))))
 
 
 def _classes(vectors: DataFrame, key: str, vector: str, label: str) -> tuple[DataFrame, DataFrame]:
@@ -146,26 +199,33 @@ def _classes(vectors: DataFrame, key: str, vector: str, label: str) -> tuple[Dat
 
 
 def _in_leaves(classes: DataFrame, compare, first_tree: int, schema: str, fields) -> DataFrame:
-    """What ``compare`` makes of the rows (cid, unit vector, component or null) of each leaf of TREES trees."""
+    """What ``compare`` makes of the rows (cid, unit vectors, components) of each leaf of TREES trees."""
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fields = [("tree", pa.int32()), ("label", pa.string()), ("dim", pa.int32()), ("signs", pa.int64()),
-                  ("along", pa.float64()), ("cid", pa.int64()), ("vec", pa.list_(pa.float64())), ("component", pa.int64())]
-        planes: dict[tuple[int, int], np.ndarray] = {}
+        fields = [("tree", pa.int32()), ("signs", pa.int64()), ("along", pa.float64())]
+        planes: dict[int, np.ndarray] = {}
+        powers = 1 << np.arange(SIGNS - 1, -1, -1, dtype=np.int64)
         for batch in batches:
-            rows = []
-            for cid, label, dim, vec, component in _rows_of(batch):
-                unit = _unit([vec])[0]
-                for tree in range(first_tree, first_tree + TREES):
-                    if (tree, dim) not in planes:
-                        planes[tree, dim] = np.random.default_rng([tree, dim]).standard_normal((SIGNS + 1, dim))
-                    value = planes[tree, dim] @ unit
-                    bits = int("".join("1" if v > 0 else "0" for v in value[:SIGNS]), 2)
-                    rows.append((tree, label, dim, bits, float(value[SIGNS]), cid, unit, component))
-            yield _batch(rows, fields)
+            dims = batch.column("dim").to_numpy()
+            for dim in np.unique(dims).tolist():
+                if dim not in planes:
+                    planes[dim] = np.concatenate([
+                        np.random.default_rng([tree, dim]).standard_normal((SIGNS + 1, dim))
+                        for tree in range(first_tree, first_tree + TREES)])
+                own = batch.filter(pa.array(dims == dim))
+                unit = _unit(_array([own.column("vec")]))
+                values = (unit @ planes[dim].T).reshape(own.num_rows, TREES, SIGNS + 1)
+                signs = (values[:, :, :SIGNS] > 0) @ powers
+                vec = pa.ListArray.from_arrays(
+                    pa.array(np.arange(own.num_rows + 1, dtype=np.int32) * np.int32(dim)), pa.array(unit.ravel()))
+                for n in range(TREES):
+                    placed = _columns([np.full(own.num_rows, first_tree + n), signs[:, n], values[:, n, SIGNS]], fields)
+                    tree, bits, along = placed.columns
+                    yield pa.RecordBatch.from_arrays(
+                        [tree, own.column("label"), own.column("dim"), bits, along, own.column("cid"), vec, own.column("component")],
+                        names=["tree", "label", "dim", "signs", "along", "cid", "vec", "component"])
 
     def leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _runs(batches, 3, LEAF):
-            yield _batch(compare(rows), fields)
+        yield from _written((compare(*columns) for _, columns in _runs(batches, 3, LEAF)), fields)
 
     signed = map_arrow(classes.select("cid", "label", "dim", "vec", "component"), sign,
                        "tree int, label string, dim int, signs long, along double, cid long, vec array<double>, component long")
@@ -177,10 +237,10 @@ def _in_leaves(classes: DataFrame, compare, first_tree: int, schema: str, fields
 
 def _leaves(classes: DataFrame, threshold: float, first_tree: int) -> DataFrame:
     """Edges within the leaves of TREES trees."""
-    def compare(rows: list[tuple]) -> list[tuple]:
-        return _compare(np.array([r[0] for r in rows]), _unit([r[1] for r in rows]), threshold, LIST)
+    def compare(ids: np.ndarray, vectors: np.ndarray, _) -> list[np.ndarray]:
+        return _edges(ids, vectors, threshold, LIST)
 
-    return _in_leaves(classes.withColumn("component", F.lit(None).cast("long")), compare, first_tree, EDGE, EDGE_FIELDS)
+    return _in_leaves(classes.withColumn("component", F.col("cid")), compare, first_tree, EDGE, EDGE_FIELDS)
 
 
 def _lists(edges: DataFrame) -> DataFrame:
@@ -198,7 +258,10 @@ def _top(edges: DataFrame, by: list[str], size: int) -> DataFrame:
 
 
 def _meet(lists: DataFrame, classes: DataFrame, threshold: float, turn: int) -> DataFrame:
-    """Edges found where neighbours and reverse neighbours of a class meet, one of each pair new to it."""
+    """Edges found where neighbours and reverse neighbours of a class meet, one of each pair new to it.
+
+    What could not enter a full list, because its last entry is better, is not written; links are.
+    """
     both = lists.select(F.col("a").alias("at"), F.col("b").alias("cid"), (~F.col("old")).alias("new")).unionByName(
         lists.select(F.col("b").alias("at"), F.col("a").alias("cid"), (~F.col("old")).alias("new")))
     own = lists.select(F.col("a").alias("at"), F.col("a").alias("cid"), F.lit(False).alias("new")).distinct()
@@ -207,36 +270,44 @@ def _meet(lists: DataFrame, classes: DataFrame, threshold: float, turn: int) ->
         F.ceil(F.count(F.lit(1)) / MEETING).alias("rooms"), F.max("new").alias("any")).where("any").drop("any")
     seated = guests.join(sizes, "at").select(
         "at", F.pmod(F.xxhash64("cid", "at", F.lit(turn)), F.col("rooms")).alias("room"), "cid", "new"
-    ).join(classes.select("cid", "vec"), "cid")
+    )
+    floors = lists.groupBy(F.col("a").alias("cid")).agg(
+        F.when(F.count(F.lit(1)) >= LIST, F.min("cosine")).otherwise(UNMEASURED).alias("floor"))
+    seated = seated.join(floors, "cid", "left").join(classes.select("cid", "vec"), "cid")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _runs(batches, 2):
-            ids, fresh = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-            yield _batch(_compare(ids, _unit([r[2] for r in rows]), threshold, LIST, fresh), EDGE_FIELDS)
+        found = (_edges(ids, _unit(vectors), threshold, LIST, fresh.astype(bool), floor)
+                 for _, (ids, fresh, floor, vectors) in _runs(batches, 2))
+        yield from _written(found, EDGE_FIELDS)
 
     parts = max(1, int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rooms = seated.select("at", "room", "cid", "new", "vec").repartition(parts, "at", "room").sortWithinPartitions("at", "room")
+    rooms = seated.select(
+        "at", "room", "cid", "new", F.coalesce("floor", F.lit(UNMEASURED)).alias("floor"), "vec").repartition(parts, "at", "room").sortWithinPartitions("at", "room")
     return map_arrow(rooms, meet, EDGE)
 
 
-def _rectangle(near: list[tuple], far: list[tuple]) -> list[tuple]:
-    """Rows (a, component of a, b, component of b, cosine): the FAR best of each component for each row.
+def _rectangle(side: np.ndarray, ids: np.ndarray, home: np.ndarray, vectors: np.ndarray) -> list[np.ndarray]:
+    """a, component of a, b, component of b, cosine: the FAR best of each component for each row.
 
-    ``near`` and ``far``: id, component, vector; near rows share a component that no far row has.
+    Rows of side 0 share a component that no row of side 1 has.
     """
-    cosine = _unit([r[2] for r in near]) @ _unit([r[2] for r in far]).T
-    home = near[0][1]
-    theirs = np.array([r[1] for r in far])
-    out = []
-    for component in np.unique(theirs):
-        of = np.flatnonzero(theirs == component)
-        for i, row in enumerate(near):
-            for j in of[np.argsort(-cosine[i, of], kind="stable")[:FAR]]:
-                out.append((row[0], home, far[j][0], int(component), float(cosine[i, j])))
-    for j, row in enumerate(far):
-        for i in np.argsort(-cosine[:, j], kind="stable")[:FAR]:
-            out.append((row[0], row[1], near[i][0], home, float(cosine[i, j])))
-    return out
+    near, far = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    out = [[ids[:0], home[:0], ids[:0], home[:0], np.zeros(0)]]
+    if not len(near) or not len(far):
+        return out[0]
+    unit = _unit(vectors)
+    cosine = unit[near] @ unit[far].T
+
+    def take(rows: np.ndarray, others: np.ndarray, values: np.ndarray) -> None:
+        places, best = _best(values, FAR)
+        a, b = np.repeat(rows, best.shape[1]), others[places.ravel()]
+        out.append([ids[a], home[a], ids[b], home[b], best.ravel()])
+
+    for component in np.unique(home[far]):
+        of = np.flatnonzero(home[far] == component)
+        take(near, far[of], cosine[:, of])
+    take(far, near, cosine.T)
+    return [np.concatenate(c) for c in zip(*out)]
 
 
 FAR_EDGE = "a long, ca long, b long, cb long, cosine double"
@@ -252,18 +323,13 @@ def _envoys(full: DataFrame) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("component").orderBy(F.xxhash64("cid"), "cid"))
     envoys = settle(full.withColumn("place", place).where(F.col("place") <= ENVOYS).drop("place"), "envoys")
 
-    def leaf(rows: list[tuple]) -> list[tuple]:
-        ids = np.array([r[0] for r in rows])
-        home = np.array([r[2] for r in rows])
-        unit = _unit([r[1] for r in rows])
-        cosine = unit @ unit.T
+    def leaf(ids: np.ndarray, vectors: np.ndarray, home: np.ndarray) -> list[np.ndarray]:
+        cosine = vectors @ vectors.T
         cosine[home[:, None] == home[None, :]] = UNMEASURED
-        out = []
-        for i in range(len(ids)):
-            best = np.argsort(-cosine[i], kind="stable")[: 2 * LIST * FAR]
-            out += [(int(ids[i]), int(home[i]), int(ids[j]), int(home[j]), float(cosine[i, j]))
-                    for j in best if cosine[i, j] > UNMEASURED]
-        return out
+        places, values = _best(cosine, 2 * LIST * FAR)
+        one, column = np.nonzero(values > UNMEASURED)
+        two = places[one, column]
+        return [ids[one], home[one], ids[two], home[two], values[one, column]]
 
     edges = _in_leaves(envoys, leaf, 0, FAR_EDGE, FAR_FIELDS)
     doors = edges.groupBy("ca", "cb", "b").agg(F.max("cosine").alias("cosine"))
@@ -296,9 +362,7 @@ def _visit(fresh: DataFrame, lists: DataFrame, full: DataFrame) -> DataFrame:
         "at", "near", "far", "side", "cid", "component", "vec")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _runs(batches, 3):
-            sides = [[r[1:] for r in rows if r[0] == side] for side in (0, 1)]
-            yield _batch(_rectangle(*sides) if all(sides) else [], FAR_FIELDS)
+        yield from _written((_rectangle(*columns) for _, columns in _runs(batches, 3)), FAR_FIELDS)
 
     parts = max(1, int(fresh.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keys = ["at", "near", "far"]
@@ -331,18 +395,17 @@ def _between(lists: DataFrame, members: DataFrame, threshold: float) -> list[Dat
 def _counts(members: DataFrame, threshold: float) -> DataFrame:
     """cid, links: linked copies of other classes, over pairs of blocks of each component."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, low, high), rows in _runs(batches, 3):
-            side = np.array([r[0] for r in rows])
-            ids = np.array([r[1] for r in rows])
-            copies = np.array([r[2] for r in rows])
-            unit = _unit([r[3] for r in rows])
-            one, two = side == low, side == high
-            linked = unit[one] @ unit[two].T >= threshold
-            linked &= ids[one][:, None] != ids[two][None, :]
-            out = list(zip(ids[one].tolist(), (linked @ copies[two]).tolist()))
-            if low != high:
-                out += zip(ids[two].tolist(), (copies[one] @ linked).tolist())
-            yield _batch(out, [("cid", pa.int64()), ("links", pa.int64())])
+        yield from _written((pairs(*key[1:], *columns) for key, columns in _runs(batches, 3)),
+                            [("cid", pa.int64()), ("links", pa.int64())])
+
+    def pairs(low: int, high: int, side: np.ndarray, ids: np.ndarray, copies: np.ndarray, vectors: np.ndarray) -> list[np.ndarray]:
+        unit = _unit(vectors)
+        one, two = side == low, side == high
+        linked = unit[one] @ unit[two].T >= threshold
+        linked &= ids[one][:, None] != ids[two][None, :]
+        if low == high:
+            return [ids[one], linked @ copies[two]]
+        return [np.concatenate([ids[one], ids[two]]), np.concatenate([linked @ copies[two], copies[one] @ linked])]
 
     sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(
         "component", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
