@@ -226,6 +226,8 @@ QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) = 1""",
     "feed_batches": """
 SELECT page_id, row_number() OVER (ORDER BY page_id) - 1 AS idx,
   (row_number() OVER (ORDER BY page_id) - 1) // 25 + 1 AS batch_id FROM pages""",
+    "feed_objects": """
+SELECT url, (row_number() OVER (ORDER BY page_id) - 1) // 25 + 1 AS batch_id, md5(html) AS content_md5 FROM pages""",
     "feed_roundtrip": "SELECT url, md5(html) AS content_md5 FROM pages",
     "feed_arrays": r"""
 WITH e AS (

@@ -24,6 +24,7 @@ from ..operators.stored_search import search_stored as search_stored_files
 from ..schemas import STORED_COLUMNS
 from ..session import scratch_path, settle
 from ..sources.feed import number_batches, read_feed, read_feed_array, write_feed
+from ..sources.objects import write_feed_objects
 from ..sources.pages import filter_status, page_source, spread, to_raw_page
 from ..sources.seeds import seed_source
 from ..sources.store import read_store, scan_store, to_stored_doc
@@ -238,6 +239,15 @@ def feed_batches(spark, sf_dir):
     )
 
 
+def feed_objects(spark, sf_dir):
+    """Numbered objects, written by the sink and read back: the number is the file's name."""
+    path = scratch_path(spark, "objects")
+    write_feed_objects(_pages(spark, sf_dir), path, ["page_id"])
+    number = F.regexp_extract("_file", r"(\d+)\.json$", 1).cast("long")
+    return read_feed(spark, f"{path}/*").select(
+        "url", number.alias("batch_id"), F.md5(F.col("content").cast("binary")).alias("content_md5"))
+
+
 def feed_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "feed")
     write_feed(to_raw_page(_pages(spark, sf_dir)), path)
@@ -602,7 +612,7 @@ QUERIES = {
         rejected_docs, document_quarantine, document_winners, clean_documents,
         clean_conversations, clean_benchmark, page_nav_links, page_link_edges, page_url_parts,
         undiscovered_links, undiscovered_seeds, frontier_urls, frontier_reach, fetched_pages,
-        refused_pages, crawl_stats_by_host, unique_urls, unique_sources, feed_batches,
+        refused_pages, crawl_stats_by_host, unique_urls, unique_sources, feed_batches, feed_objects,
         feed_roundtrip, store_ingest, stream_ingest, assign_ids, seen_users, seen_event_types,
         seen_users_stream, seen_pages_lookup, crawled_turns, seen_whole_span, dropped_users_stream,
         feed_faults, feed_fields, document_links, crawl_next, search_stored, clean_spoken,
