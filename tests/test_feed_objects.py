@@ -1,9 +1,13 @@
 """The sink of numbered feed objects."""
 
 import json
+import os
+import subprocess
+import sys
 
 import pyarrow as pa
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from pagetrove.sources.objects import _sink, write_feed_objects
@@ -62,3 +66,20 @@ def test_only_attempts_that_report_are_published(tmp_path):
     writer.commit([reported, None])
     assert {n: len(rows) for n, rows in objects_of(tmp_path / "feed").items()} == {1: 25, 2: 5}
     assert not (tmp_path / "staging").exists()
+
+
+def test_the_sink_needs_no_package_on_executors(tmp_path):
+    """What Spark sends to executors is loaded and run by a Python that cannot import this package."""
+    options = {"path": str(tmp_path / "feed"), "staging": str(tmp_path / "staging"), "rows": "3", "share": "25", "per_object": "25"}
+    (tmp_path / "writer").write_bytes(cloudpickle.dumps(_sink()(options).writer(None, False)))
+    code = """
+import importlib.util, pickle, sys
+import pyarrow as pa
+assert importlib.util.find_spec("pagetrove") is None
+writer = pickle.load(open("writer", "rb"))
+lines = pa.RecordBatch.from_pydict({"part": pa.array([0] * 3, pa.int32()), "line": ["{}"] * 3})
+writer.commit([writer.write(iter([lines]))])
+"""
+    clean = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=clean, check=True, timeout=60)
+    assert objects_of(tmp_path / "feed") == {1: [{}, {}, {}]}
