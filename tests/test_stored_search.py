@@ -88,6 +88,33 @@ def test_anchored_equals_one_by_one(spark, store, monkeypatch, bound):
     assert {q: sorted(v) for q, v in got.items()} == {q: v for q, v in want.items() if v}
 
 
+@pytest.mark.parametrize("first", [7, 100])
+def test_anchored_in_rounds_equals_one_by_one(spark, store, monkeypatch, first):
+    monkeypatch.setattr(S, "FIRST_DOCS", first)
+    docs = scan_store(spark, store)
+    more = ["zebra_ er", "file0_7x", "the%zebra%on", "file003x tion the", "x\x01y", "title 1_ file", "o\\_n", "\x00", "\x00\x00", "\x02", "\x03"]
+    queries = QUERIES + more
+    got = {}
+    for r in S.search_anchored(docs, spark.createDataFrame([(q,) for q in queries], "q string")).collect():
+        got.setdefault(r.q, []).append(tuple(r)[1:])
+    want = {q: rows_of(S.search(docs, q)) for q in queries}
+    assert {q: sorted(v) for q, v in got.items()} == {q: v for q, v in want.items() if v}
+
+
+def test_anchored_queries_meet_as_few_rows_as_match(spark, store):
+    """Each trigram of a query is frequent, all of it is rare; a query with 20 rows takes no further documents."""
+    asked = spark.createDataFrame([("on%r on",), ("file01_x",), ("er on t",), ("a longer query than a window",)], "q string")
+    marked = asked.select("q", S._marked(F.lower(S._pattern(F.col("q")))).alias("m"))
+    windows = {r.q: sorted(r.w) for r in marked.select("q", S._query_windows(F.col("m")).alias("w")).collect()}
+    assert windows["on%r on"] == ["r on"] and windows["file01_x"] == ["file01"] and windows["er on t"] == ["er on t"]
+    assert len(windows["a longer query than a window"]) == 21
+    docs = scan_store(spark, store).select(F.struct("*").alias("_d"), F.col("id").alias("_id"), F.lit("ab1cd").alias("_text"), "id")
+    rounds = S._rounds(docs, 10_000)
+    assert len(rounds) > 1
+    counts = [docs.where(r).count() for r in rounds]
+    assert sum(counts) == 1200 and all(0 < a < b for a, b in zip(counts, counts[1:-1]))
+
+
 def test_anchored_meets_only_rows_with_the_rarest_gram(spark, store):
     asked = spark.createDataFrame([("the file017x",), ("e file017x er",)], "q string")
     frame = S.search_anchored(scan_store(spark, store), asked)
