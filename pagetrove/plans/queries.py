@@ -485,7 +485,7 @@ def seen_users_in_order(spark, sf_dir):
     # Slices are taken up in the order of their files' times.
     for i in range(STREAM_SLICES):
         arrived = events.where(F.floor((F.col("late") - low) / width) == i).drop("late")
-        arrived.coalesce(1).write.mode("append").parquet(feed)
+        arrived.repartition(1).write.mode("append").parquet(feed)
     end.write.mode("append").parquet(feed)
     before = spark.conf.get(ROCKSDB[0])
     spark.conf.set(*ROCKSDB)

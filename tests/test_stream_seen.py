@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_seen import replay
 
+from pagetrove.streaming import seen
 from pagetrove.streaming.seen import ROCKSDB, drop_seen, seen_in_order, seen_stream
 
 SCHEMA = "key string, t long, id long"
@@ -87,3 +88,19 @@ def test_in_order_form_equals_replay_whatever_the_batches(spark, tmp_path, rocks
     run(len(parts))  # a second query takes up the state of the first
     got = [tuple(r) for r in spark.read.schema(SCHEMA).parquet(out).select("key", "t", "id").collect()]
     assert len(got) == len(set(got)) and set(got) == replay(rows, ttl)
+
+
+@pytest.mark.parametrize("piece", [4, 5])
+def test_in_order_form_in_short_pieces(spark, tmp_path, rocksdb, monkeypatch, piece):
+    """What waits is split and taken in pieces; rows go before, between and into the pieces that are there."""
+    monkeypatch.setattr(seen, "PIECE_ROWS", piece)
+    rng = random.Random(piece)
+    rows = [("k" if i % 9 else "rare", rng.randrange(1, 60_000), i) for i in range(250)]
+    rows.sort(key=lambda r: r[1] + rng.randrange(20_000))
+    rows = [(k, t, i) for k, t, i in rows] + [("k", rows[-1][1], 999), (None, 10**10, 0)]
+    out = str(tmp_path / "out")
+    query = seen_in_order(in_batches(spark, str(tmp_path / "in"), rows, 90), 700, 20_000).writeStream.format("parquet").option(
+        "checkpointLocation", str(tmp_path / "progress")).option("path", out).trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = [tuple(r) for r in spark.read.schema(SCHEMA).parquet(out).select("key", "t", "id").collect()]
+    assert len(got) == len(set(got)) and set(got) == replay(rows[:-1], 700)
