@@ -24,6 +24,10 @@ from ..sources.store import (
 )
 
 
+# Columns of a judged record that only stored ones need.
+TEXTS = ["author", "content", "content_text", "description", "published_date", "title"]
+
+
 class IngestError(Exception):
     """Bad records in a feed that must hold none."""
 
@@ -58,7 +62,9 @@ def ingest(
     create_store(spark, store_path)
     good, refused = F.col("reject_reason").isNull(), F.col("reject_reason").startswith("too_long:")
     counted = Observation()
-    judged = settle(judge(lines).observe(counted, F.count_if(good | refused).alias("attempts")), "judged")
+    # What is not stored is known by its place and reason from here on; its texts, often the longest, are not written.
+    judged = judge(lines).observe(counted, F.count_if(good | refused).alias("attempts"))
+    judged = settle(judged.withColumns({c: F.when(good, F.col(c)) for c in TEXTS}), "judged")
     number, first = counted.get["attempts"], next_id(spark, store_path, run, batch)
     attempts = assign_id(judged.where(good | refused), order, first)
     taken = attempts.where(good)

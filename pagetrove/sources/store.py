@@ -45,6 +45,9 @@ SEARCHED = ("title", "description", "content")
 # URL in five thousand that is not there passes. Numbers of words are powers of two, so that few differ.
 BLOOM_BITS = 6
 
+# URLs of a part that one task writes, about.
+SHARE_ROWS = 1_000_000
+
 # Parts of batches that are named in a filter; beyond that their list would be longer than it saves.
 NAMED_PARTS = 1_024
 
@@ -119,9 +122,11 @@ def append_store(
     def side(name: str, table: DataFrame, *split: str) -> None:
         table.write.mode("overwrite").partitionBy(*split).parquet(f"{path}/{name}/{own}")
 
-    urls = rows.select("url", url_part(F.col("url")).alias(PART))
-    side("_urls", urls, PART)
-    side("_blooms", bloom_words(urls, written.get["rows"]), PART)
+    # Dealt out by part first, else every task writes a file for each of them.
+    urls, share = rows.select("url", url_part(F.col("url")).alias(PART)), -(-written.get["rows"] // (PARTS * SHARE_ROWS))
+    side("_urls", urls.repartition(PART, F.pmod(F.xxhash64("url", F.lit("share")), F.lit(max(share, 1)))), PART)
+    held = spark.read.schema(_SIDES["_urls"]).parquet(f"{path}/_urls/{own}")
+    side("_blooms", bloom_words(held, written.get["rows"]), PART)
     in_files = rows.select("*", F.col("_metadata.file_name").alias("file"))
     side("_files", in_files.groupBy("file").agg(
         F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("rows")))

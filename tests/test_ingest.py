@@ -287,3 +287,26 @@ def test_filter_on_fields_stays_above_the_extraction(spark):
     pages = spark.createDataFrame([("u", "<title>t</title><h1>a b c</h1>")], "url string, content string")
     plan = parse_pages(pages).where("title is not null")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("</title") == plan[plan.index("Generate"):].count("</title")
+
+
+def test_refused_texts_are_not_written_and_parts_have_a_file(spark, tmp_path, monkeypatch):
+    import pagetrove.plans.ingest as plan
+
+    written = {}
+
+    def settled(df, name, settle=plan.settle):
+        written[name] = settle(df, name)
+        return written[name]
+
+    monkeypatch.setattr(plan, "settle", settled)
+    lines = [json.dumps(page(f"http://a.example/{i}", "t" * (300 if i % 2 else 20))) for i in range(400)]
+    store = str(tmp_path / "store")
+    stored, rejects = ingest(read_feed(spark, feed(tmp_path, "feed", lines)).repartition(4), store, 0, file_rows=10)
+    refused = written["judged"].where("reject_reason is not null")
+    assert refused.where("title is null and content_text is null and url is not null").count() == refused.count() == 200
+    assert {(r.title, r.content) for r in stored.collect()} == {("t" * 20, "{hi}")} and stored.count() == 200
+    assert {(r.reject_reason, r.url) for r in rejects.collect()} == {
+        ("too_long:title", f"http://a.example/{i}") for i in range(1, 400, 2)}
+    files = [str(f.parent) for f in (tmp_path / "store" / "_urls").rglob("*.parquet")]
+    assert len(files) == len(set(files)) > 16
+    assert read_side(spark, store, "_urls").count() == 200
